@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -148,13 +149,9 @@ class LevelModel:
 
         A text without an embedding has no cluster and no score.
         """
-        encoded = self.encoder.encode(df, text)
-        known = F.col(EMBEDDING).isNotNull()
-        width = len(self.kmeans.clusterCenters()[0])
-        filled = encoded.withColumn(
-            EMBEDDING, F.coalesce(EMBEDDING, F.array_repeat(F.lit(0.0).cast("float"), width))
-        ).withColumn("__known", known)
-        assigned = self.kmeans.transform(filled)
+        encoded = self.encoder.encode(df, text).withColumn("__known", F.col(EMBEDDING).isNotNull())
+        blank = F.array_repeat(F.lit(0.0).cast("float"), len(self.kmeans.clusterCenters()[0]))
+        assigned = self.kmeans.transform(encoded.withColumn(EMBEDDING, F.coalesce(EMBEDDING, blank)))
         assigned = assigned.withColumn("cluster_id", F.when(F.col("__known"), F.col("cluster_id")))
         named = attach_cluster_label(assigned, self.label_table(df.sparkSession))
         score = F.when(F.col("__known"), project_score(EMBEDDING, self.weights))
@@ -172,8 +169,8 @@ def fit_level(
     n: str = "n",
     seed: int = params.SEED,
     bounds: tuple[float, float] = params.SENTIMENT_BOUNDS,
-) -> LevelModel:
-    """Fit one level on its (text, n) dictionary."""
+) -> tuple[LevelModel, DataFrame]:
+    """Fit one level on its (text, n) dictionary: the model, still without cluster labels, and the clustered texts."""
     spark = dictionary.sparkSession
     size = dictionary.agg(F.count("*"), F.sum(n)).first()
     texts, rows = size[0], size[1] or 0
@@ -183,25 +180,27 @@ def fit_level(
     parts = min(max(1, -(-texts // ROWS_PER_PART)), max(shuffle_parts(spark), 1) * 4)
     placed = dictionary.select("text", n).repartition(parts, "text").sortWithinPartitions("text")
     encoder = fit_encoder(placed)
-    encoded = encoder.encode(placed, "text").filter(F.col(EMBEDDING).isNotNull()).persist()
-    try:
-        kmeans = fit_clusters(encoded, cluster_count(level.clusters, rows, texts), n, seed)
-        clustered = pinned(kmeans.transform(encoded).select("cluster_id", "text", n))
-    finally:
-        encoded.unpersist()
-    labels = cluster_keywords(clustered, ["cluster_id"], "text", "text", n).take(level.clusters + 1)
+    encoded = pinned(encoder.encode(placed, "text").filter(F.col(EMBEDDING).isNotNull()))
+    kmeans = fit_clusters(encoded, cluster_count(level.clusters, rows, texts), n, seed)
     weights = None
     if level.seeds:
         seeds = local_table(spark, [(level.tab, s, v) for s, v in level.seeds], schemas.SEEDS)
         weights = seed_direction(encoder.encode(seeds, "seed_text"))
-    return LevelModel(
-        level.tab,
-        encoder,
-        kmeans,
-        tuple(sorted((r.cluster_id, r.label) for r in labels)),
-        tuple(weights) if weights is not None else None,
-        bounds,
-    )
+    model = LevelModel(level.tab, encoder, kmeans, (), tuple(weights) if weights is not None else None, bounds)
+    clustered = kmeans.transform(encoded).select(F.lit(level.tab).alias("tab"), "cluster_id", "text", F.col(n).alias("n"))
+    return model, clustered
+
+
+def name_clusters(models: Sequence[tuple[LevelModel, DataFrame]]) -> dict[str, LevelModel]:
+    """Give the clusters of all levels their keyword labels, in one pass over the clustered dictionaries."""
+    clustered = reduce(DataFrame.unionByName, [texts for _, texts in models])
+    labels = small_rows(cluster_keywords(clustered, ["tab", "cluster_id"], "text", "text", "n"))
+    if labels is None:
+        raise ValueError("too many clusters")
+    return {
+        model.tab: replace(model, labels=tuple(sorted((r.cluster_id, r.label) for r in labels if r.tab == model.tab)))
+        for model, _ in models
+    }
 
 
 @dataclass(frozen=True)
@@ -274,11 +273,9 @@ def fit_semantics(
             log.warning("column %s is missing and is skipped", level.tab)
     if dictionary is None:
         dictionary = pinned(text_dictionary(df, [level.tab for level in present], null_text))
-    models = {}
-    for level in present:
-        own = dictionary.filter((F.col("tab") == level.tab) & (F.col("n_fit") > 0))
-        models[level.tab] = fit_level(own.select("text", F.col("n_fit").alias("n")), level, fit_encoder, seed=seed)
-    return SemanticModel(models, null_text)
+    fitted = dictionary.filter(F.col("n_fit") > 0).select("tab", "text", F.col("n_fit").alias("n"))
+    models = [fit_level(fitted.filter(F.col("tab") == x.tab), x, fit_encoder, seed=seed) for x in present]
+    return SemanticModel(name_clusters(models) if models else {}, null_text)
 
 
 def enrich(
