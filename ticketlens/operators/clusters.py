@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ticketlens import params
 from ticketlens.functions.text import one_and_two_grams, term_counts, tokens
 from ticketlens.operators.joins import lookup_join
-from ticketlens.runtime import pinned
+from ticketlens.runtime import bounded, pinned
 
 
 def term_scores(texts: DataFrame, group: Sequence[str], key: str, text: str = "text", n: str = "n") -> DataFrame:
@@ -24,7 +24,7 @@ def term_scores(texts: DataFrame, group: Sequence[str], key: str, text: str = "t
     words = texts.select(*group, key, n, tokens(text).alias("words"))
     grams = words.select(*group, key, n, one_and_two_grams("words").alias("grams"))
     counted = grams.select(*group, key, n, term_counts("grams").alias("terms"))
-    corpus = texts.groupBy(*group).agg(F.sum(n).alias("corpus_rows"), F.count("*").alias("corpus_texts"))
+    corpus = bounded(texts.groupBy(*group).agg(F.sum(n).alias("corpus_rows"), F.count("*").alias("corpus_texts")))
     # The outer form, as the inner one makes the optimiser push "has terms" below the projections, which would
     # tokenise each text many times over.
     exploded = counted.select(*group, key, n, F.inline_outer("terms")).filter(F.col("term").isNotNull())
@@ -34,7 +34,7 @@ def term_scores(texts: DataFrame, group: Sequence[str], key: str, text: str = "t
         F.sum(n).alias("df"), F.count("*").alias("uses")
     )
     idf = (
-        lookup_join(document_frequency, pinned(corpus), group, "corpus_texts", ["term"])
+        lookup_join(document_frequency, corpus, group, "corpus_texts", ["term"])
         .withColumn("idf", F.log((1 + F.col("corpus_rows")) / (1 + F.col("df"))) + 1)
         .select(*group, "term", "idf", "corpus_rows", "uses")
     )

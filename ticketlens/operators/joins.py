@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketlens.runtime import shuffle_parts
+from ticketlens.runtime import bounded, shuffle_parts
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 48 << 20
@@ -83,9 +83,9 @@ def lookup_join(
 def attach_cluster_label(df: DataFrame, labels: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """Add the keyword label of each cluster id; an id without a label reads ``cluster_<id>``.
 
-    ``labels`` has a row per cluster of a fitted model, so at most k rows.
+    ``labels`` has a row per cluster; it is broadcast if it is as small as a fitted model makes it.
     """
     named = labels.select(F.col("cluster_id").alias(cluster), F.col("label").alias("semantic_group"))
-    joined = df.join(F.broadcast(named), cluster, "left")
+    joined = df.join(bounded(named), cluster, "left")
     default = F.concat(F.lit("cluster_"), F.col(cluster).cast("string"))
     return joined.withColumn("semantic_group", F.coalesce("semantic_group", default))

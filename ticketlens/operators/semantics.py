@@ -221,10 +221,13 @@ class SemanticModel:
         present = self._present(df)
         if dictionary is None:
             dictionary = pinned(text_dictionary(df, present, self.null_text))
+        if not present:
+            return df
+        scored = [self.levels[tab].score(dictionary.filter(F.col("tab") == tab)) for tab in present]
+        named = pinned(reduce(DataFrame.unionByName, scored))
         out = df
         for tab in present:
-            own = dictionary.filter(F.col("tab") == tab).select("text", "n")
-            named = self.levels[tab].score(own).select(
+            lookup = named.filter(F.col("tab") == tab).select(
                 F.col("text").alias("__text"),
                 F.col("semantic_group").alias(f"{tab}_GROUP"),
                 F.col("sentiment_score").alias(f"{tab}_SENT_SCORE"),
@@ -232,7 +235,7 @@ class SemanticModel:
                 "n",
             )
             keyed = out.withColumn("__text", prepare_text(tab, self.null_text))
-            out = lookup_join(keyed, pinned(named), ["__text"], "n", salt_by or df.columns).drop("__text")
+            out = lookup_join(keyed, lookup, ["__text"], "n", salt_by or df.columns).drop("__text")
         return out
 
     def transform_rows(self, df: DataFrame) -> DataFrame:

@@ -11,11 +11,10 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticketlens import params
 from ticketlens.operators.joins import lookup_join
-from ticketlens.runtime import local_table, pinned, small_rows
+from ticketlens.runtime import bounded, local_table, pinned, small_rows
 
 PREFIX_DIGITS = 5  # 16^5 buckets per class: one cut bucket holds about a millionth of the class
 _HASH = "__hash"
@@ -65,9 +64,10 @@ def split_cuts(df: DataFrame, label: str, key: str, seed: int, shares: tuple[flo
         .filter(holds_cut)
         .select(label, "bucket", "cut", "position", "before", "total")
     )
-    # Two rows per class at most, so the hint is safe wherever the labels are classes.
+    # Two rows per class; a literal table if that is few, which is checked, and a plain join otherwise.
+    cut_buckets = bounded(cut_buckets)
     inside = (
-        keyed.join(F.broadcast(cut_buckets), [label, "bucket"])
+        keyed.join(cut_buckets, [label, "bucket"])
         .groupBy(label, "cut", "position", "before", "total", _HASH)
         .agg(F.count("*").alias("rows"))
     )
@@ -101,10 +101,9 @@ def stratified_split(
     rows = small_rows(cuts)
     hashed = df.withColumn(_HASH, key_hash(key, seed))
     if rows is not None:
-        schema = T.StructType([df.schema[label], *cuts.schema.fields[1:]])
-        placed = hashed.join(F.broadcast(local_table(df.sparkSession, [tuple(r) for r in rows], schema)), label, "left")
+        placed = hashed.join(F.broadcast(local_table(df.sparkSession, rows, cuts.schema)), label, "left")
     else:  # a label with very many classes
-        placed = lookup_join(hashed, pinned(cuts.withColumn("w", F.col("class_rows"))), [label], "w", [key])
+        placed = lookup_join(hashed, pinned(cuts), [label], "class_rows", [key])
     split = (
         F.when(F.col(_HASH) < F.coalesce("validation_from", F.lit(_AFTER_ALL)), "train")
         .when(F.col(_HASH) < F.coalesce("test_from", F.lit(_AFTER_ALL)), "validation")

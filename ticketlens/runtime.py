@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -34,7 +36,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_base(spark).rstrip('/')}/ticketlens/{uuid.uuid4().hex}/{name}"
 
 
-def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
     """Rows as a literal table: Catalyst knows its exact size and ships it with the plan."""
     columns = list(zip(*rows)) if rows else [[] for _ in schema.fields]
     arrow_schema = to_arrow_schema(schema)
@@ -51,6 +53,12 @@ def small_rows(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> list | None:
     return rows if len(rows) <= limit else None
 
 
+def bounded(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
+    """``df`` as a literal table with a broadcast hint if it has at most ``limit`` rows, else unchanged."""
+    rows = small_rows(df, limit)
+    return df if rows is None else F.broadcast(local_table(df.sparkSession, rows, df.schema))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
