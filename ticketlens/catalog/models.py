@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens import fixtures as X
@@ -13,7 +14,7 @@ from ticketlens.functions.vectors import nearest_centroid
 from ticketlens.operators import encoders, training
 from ticketlens.operators import semantics as S
 from ticketlens.operators.features import build_features
-from ticketlens.operators.prepare import drop_leaks
+from ticketlens.operators.prepare import drop_leaks, prepare
 from ticketlens.operators.split import customer_folds
 from ticketlens.operators.training import feature_matrix, input_names
 from ticketlens.plans.end_to_end import Run, run
@@ -33,8 +34,18 @@ def trained(spark, sf_dir) -> Run:
 
 def _split_tickets(spark, sf_dir):
     """Raw tickets with their split."""
-    split = X.split_semantic(spark, sf_dir).select("PROTOCOLO", "split")
-    return X.tickets(spark, sf_dir).join(split, "PROTOCOLO")
+    return prepare(X.tickets(spark, sf_dir), keep=["PROTOCOLO"])
+
+
+_ENRICHED: dict[tuple[str, str], tuple[S.SemanticModel, DataFrame]] = {}
+
+
+def enriched_tickets(spark, sf_dir) -> tuple[S.SemanticModel, DataFrame]:
+    """Semantic model and enriched table, fitted once per session and table folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ENRICHED:
+        _ENRICHED[key] = S.enrich(_split_tickets(spark, sf_dir), salt_by=["PROTOCOLO"])
+    return _ENRICHED[key]
 
 
 _SPLIT_TEXTS = f"""{X.oracle_views('split_semantic')}, texts AS (
@@ -140,7 +151,7 @@ def fit_transform(spark, sf_dir):
     f"{_SPLIT_TEXTS} SELECT tab, split, count(*) AS rows, count(*) AS enriched FROM texts GROUP BY tab, split",
 )
 def enrich_all_splits(spark, sf_dir):
-    enriched = trained(spark, sf_dir).enriched
+    _, enriched = enriched_tickets(spark, sf_dir)
     cells = F.array(
         *[
             F.struct(
@@ -161,7 +172,7 @@ def enrich_all_splits(spark, sf_dir):
 @query("S9_save_load_semantics", f"{_SPLIT_TEXTS} SELECT tab, count(DISTINCT text) AS texts, count(DISTINCT text) AS same FROM texts GROUP BY tab")
 def save_load_semantics(spark, sf_dir):
     """A loaded model gives each text what the saved one gave it."""
-    model = trained(spark, sf_dir).semantics
+    model, _ = enriched_tickets(spark, sf_dir)
     path = scratch_path(spark, "semantics")
     S.save_semantics(model, spark, path)
     loaded = S.load_semantics(spark, path)
