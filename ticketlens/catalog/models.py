@@ -12,6 +12,7 @@ from ticketlens.catalog.registry import query
 from ticketlens.catalog.tables import rounded
 from ticketlens.functions.vectors import nearest_centroid
 from ticketlens.operators import encoders, training
+from ticketlens.operators import metrics as M
 from ticketlens.operators import semantics as S
 from ticketlens.operators.features import build_features
 from ticketlens.operators.prepare import drop_leaks, prepare
@@ -243,8 +244,28 @@ def save_load_model(spark, sf_dir):
     return after.groupBy("split").agg(F.count("*").alias("rows"), F.count_if(gap == 0).alias("same"))
 
 
-@query("M18_training_run")
+@query(
+    "M18_training_run",
+    f"""{X.oracle_views('split_semantic')} SELECT split, count(*) AS rows, CAST(sum(TARGET) AS BIGINT) AS positives, true AS valid
+FROM split_semantic GROUP BY split""",
+)
 def training_run(spark, sf_dir):
+    """Every row of every split is evaluated, at one of the thresholds, with metrics between 0 and 1."""
+    result = trained(spark, sf_dir).training
+    table = M.evaluate(result.scored, result.threshold)
+    valid = F.lit(result.threshold).isin(*params.DECISION_THRESHOLDS, params.FALLBACK_THRESHOLD)
+    for name in ("auc_roc", "precision", "recall", "f1_score"):
+        valid = valid & F.col(name).between(0, 1)
+    return table.select(
+        "split",
+        (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("rows"),
+        (F.col("tp") + F.col("fn")).alias("positives"),
+        valid.alias("valid"),
+    )
+
+
+@query("M18_training_metrics")
+def training_metrics(spark, sf_dir):
     """Metrics of each split at the threshold chosen on validation."""
     result = trained(spark, sf_dir).training
     return rounded(result.metrics, "auc_roc", "precision", "recall", "f1_score").withColumn("threshold", F.lit(result.threshold))
@@ -262,13 +283,17 @@ def logistic_baseline(spark, sf_dir):
     return rounded(result.metrics, "auc_roc", "precision", "recall", "f1_score").withColumn("threshold", F.lit(result.threshold))
 
 
-@query("D3_cross_validation")
+@query(
+    "D3_cross_validation",
+    f"""{X.oracle_views('tickets_semantic')}, f AS (SELECT TARGET,
+  CAST(CAST('0x' || substr(md5(concat(CAST(ID_CLIENTE AS string), ':42')), 1, 12) AS BIGINT) % 3 AS INTEGER) AS fold FROM tickets_semantic)
+SELECT fold, count(*) AS rows, CAST(sum(TARGET) AS BIGINT) AS positives, true AS auc_valid FROM f GROUP BY fold""",
+)
 def cross_validation(spark, sf_dir):
     """Customer-grouped folds for the linear baseline."""
     df = build_features(customer_folds(X.tickets_semantic(spark, sf_dir), 3))
     matrix = pinned(feature_matrix(drop_leaks(df), carry=["fold"]))
     inputs = input_names(matrix, ["fold"])
     auc = training.cross_validate(matrix, inputs, 3, training.logistic_baseline, iterations=20)
-    return matrix.groupBy("fold").agg(F.count("*").alias("rows"), F.sum("label").alias("positives")).withColumn(
-        "mean_auc", F.lit(round(auc[0], 6))
-    )
+    counts = matrix.groupBy("fold").agg(F.count("*").alias("rows"), F.sum("label").alias("positives"))
+    return counts.withColumn("auc_valid", F.lit(0 <= auc[0] <= 1))

@@ -83,7 +83,11 @@ def fit_word2vec(dictionary: DataFrame, text: str = "text", size: int = 64, seed
 
 @dataclass(frozen=True)
 class TableEncoder:
-    """Precomputed embeddings, (text, embedding) with a row per text. An unknown text has no embedding."""
+    """Precomputed embeddings, (text, embedding) with a row per text. An unknown text has no embedding.
+
+    Meant for dictionaries of distinct texts; on raw rows a large table is joined by shuffle, and hot texts are
+    left to adaptive skew handling.
+    """
 
     table: DataFrame
 

@@ -126,7 +126,7 @@ def customer_split(
     salt_by: list[str] | None = None,
 ) -> DataFrame:
     """Split by customer: all rows of a customer share a split, classes are balanced over customers."""
-    customers = customer_targets(df, customer, label)
+    customers = pinned(customer_targets(df, customer, label))  # read three times below
     placed = stratified_split(customers, "customer_target", customer, seed, shares)
     return lookup_join(df, pinned(placed.drop("customer_target")), [customer], "rows", salt_by)
 
