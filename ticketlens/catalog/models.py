@@ -170,6 +170,23 @@ def enrich_all_splits(spark, sf_dir):
     return long.groupBy("tab", "split").agg(F.count("*").alias("rows"), F.count_if("ok").alias("enriched"))
 
 
+@query(
+    "X2_own_text_level",
+    f"""{X.oracle_views('tickets')} SELECT CANAL, count(*) AS rows, 1 AS groups, CASE CANAL WHEN 'error' THEN -1.0 WHEN 'purchase' THEN 1.0 END::DOUBLE
+  AS seed_score FROM tickets GROUP BY CANAL""",
+)
+def own_text_level(spark, sf_dir):
+    """Another text column by parameters alone. A seed that is a text itself scores what it was given."""
+    levels = S.text_levels(["CANAL"], {"CANAL": 3}, [("CANAL", "error", -1.0), ("CANAL", "purchase", 1.0)])
+    _, enriched = S.enrich(X.tickets(spark, sf_dir), levels, salt_by=["PROTOCOLO"])
+    seed_score = F.when(F.col("CANAL").isin("error", "purchase"), F.round("CANAL_SENT_SCORE", 6))
+    return enriched.groupBy("CANAL").agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("CANAL_GROUP").cast("int").alias("groups"),
+        F.max(seed_score).alias("seed_score"),
+    )
+
+
 @query("S9_save_load_semantics", f"{_SPLIT_TEXTS} SELECT tab, count(DISTINCT text) AS texts, count(DISTINCT text) AS same FROM texts GROUP BY tab")
 def save_load_semantics(spark, sf_dir):
     """A loaded model gives each text what the saved one gave it."""

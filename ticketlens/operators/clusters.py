@@ -36,17 +36,20 @@ def term_scores(texts: DataFrame, group: Sequence[str], key: str, text: str = "t
     idf = (
         lookup_join(document_frequency, corpus, group, "corpus_texts", ["term"])
         .withColumn("idf", F.log((1 + F.col("corpus_rows")) / (1 + F.col("df"))) + 1)
-        .select(*group, "term", "idf", "corpus_rows", "uses")
+        .select(*group, "term", "idf", "uses")
     )
     weighed = lookup_join(exploded, pinned(idf), [*group, "term"], "uses", [key]).withColumn(
         "w", F.col("tf") * F.col("idf")
     )
     # One text's own terms meet here; that is bounded by the length of a text.
     per_text = Window.partitionBy(*group, key)
-    return (
+    totals = (
         weighed.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_text)))
         .groupBy(*group, "term")
-        .agg(F.sum(F.col(n) * F.col("w") / F.col("norm") / F.col("corpus_rows")).alias("score"))
+        .agg(F.sum(F.col(n) * F.col("w") / F.col("norm")).alias("total"))
+    )
+    return lookup_join(totals, corpus, group, "corpus_texts", ["term"]).select(
+        *group, "term", (F.col("total") / F.col("corpus_rows")).alias("score")
     )
 
 
