@@ -7,6 +7,8 @@ from ticketlens.catalog.rows import features
 from ticketlens.catalog.tables import document_groups
 from ticketlens.catalog.text import top_terms
 from ticketlens.operators import metrics as M
+from ticketlens.operators.features import build_features
+from ticketlens.runtime import pinned
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -22,6 +24,18 @@ def test_features_are_one_narrow_jvm_stage(spark):
     assert all("*(1)" in line for line in text.strip().splitlines() if "ColumnarToRow" not in line and "Scan" not in line)
 
 
+def test_generated_code_is_small_enough_to_be_compiled(spark):
+    """The JVM leaves methods above 8000 bytes to the interpreter."""
+    from ticketlens.operators.training import feature_matrix
+
+    enriched = pinned(X.split_semantic(spark, SF_DIR))
+    stages = feature_matrix(build_features(enriched))._jdf.queryExecution().debug().codegenToSeq().iterator()
+    sizes = []
+    while stages.hasNext():
+        sizes.append(stages.next()._3().maxMethodCodeSize())
+    assert sizes and max(sizes) < 8000
+
+
 def test_scan_reads_only_what_is_asked(spark):
     df = features(spark, SF_DIR).select("PROTOCOLO", "flag_bloqueado")
     read = [line for line in plan(df).splitlines() if "ReadSchema" in line]

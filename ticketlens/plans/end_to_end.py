@@ -15,6 +15,7 @@ from ticketlens.operators.prepare import prepare
 from ticketlens.operators.semantics import SemanticModel, TextLevel, enrich, save_semantics
 from ticketlens.operators.training import TrainingRun, save_model, train
 from ticketlens.plans import report
+from ticketlens.runtime import pinned
 from ticketlens.sources.tables import read_splits, write_importances, write_splits, write_table
 
 
@@ -49,8 +50,8 @@ def run_from_splits(
 ) -> Run:
     """From existing splits: enrich, describe, train. With ``output`` the results are written below that path.
 
-    The enriched table is written once when there is an output; features are one projection over it, and the
-    training reads a checkpointed matrix, so no stage is computed twice.
+    The enriched table is written once (to the output, else as a checkpoint); features are one projection over it,
+    and the training reads a checkpointed matrix, so no stage is computed twice.
     """
     spark = split_table.sparkSession
     semantics, enriched = enrich(split_table, levels, fit_encoder)
@@ -59,6 +60,8 @@ def run_from_splits(
         enriched = read_splits(spark, f"{output}/enriched")
         save_semantics(semantics, spark, f"{output}/semantics")
         write_table(semantics.cluster_dictionary(spark), f"{output}/cluster_dictionary")
+    else:
+        enriched = pinned(enriched)
     features = build_features(enriched)
     training = train(features, **settings)
     if output:
