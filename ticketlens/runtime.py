@@ -1,7 +1,8 @@
-"""Small helpers every job shares: checkpoints, scratch paths, size-checked small tables."""
+"""Small helpers every job shares: written intermediate tables, scratch paths, size-checked small tables."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -14,12 +15,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows a table may have and still be brought to the driver and sent back as a literal table.
 SMALL_TABLE_ROWS = 10_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_base(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: what the cluster names, else (tests) an own temporary one."""
+    """Shared folder for intermediate tables: what the session names in ``spark.checkpoint.dir``.
+
+    Only a local master may go without one and gets an own temporary folder; on a cluster that would be a folder per machine.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if configured is None and context.getCheckpointDir() is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="ticketlens-"))
     return configured or context.getCheckpointDir()
@@ -31,6 +38,25 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and go on from the written copy.
+
+    Unlike a checkpoint it keeps columns apart, so later reads are pruned. The shuffle files behind it go when it is written.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; no two calls return the same one."""
     return f"{checkpoint_base(spark).rstrip('/')}/ticketlens/{uuid.uuid4().hex}/{name}"
