@@ -5,18 +5,21 @@ added up, give each partition's global offset; a document's global offset is the
 window borders that its range crosses, a record per piece. No text or token is shuffled, and there is no padding but in the last window.
 
 Words between white space are tokenised one by one and remembered by each worker (a bounded table), which gives the same ids as
-tokenising whole texts, because the tokenizer never joins across white space (see ``chunks_stand_alone``).
+tokenising whole texts, because the tokenizer never joins across white space.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; an empty table gives no piece.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,34 +32,68 @@ WINDOW = 4096
 END_ID = 2
 #: Words a worker remembers at most; then it starts anew.
 WORDS_KEPT = 600_000
+#: Latin-1 without its two white space characters.
+SIMPLE_RE = regex.compile(r"[\x21-\x7e\xa1-\xff]+")
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, "Words"] = {}
 
 
-def _tokenizer(path: str) -> tuple:
-    """The tokenizer and the remembered words of this worker."""
-    if path not in _loaded:
-        import os
+class Words:
+    """A tokenizer that remembers words.
+
+    A new word is normalised, split and given to the tokenizer's own model piece by piece where that is simple: Latin-1 letters, which
+    normalisation only lower-cases, and a tokenizer built as NFC, one space for white space, lower case, split by pattern, byte level.
+    All other words go through the whole tokenizer.
+    """
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
-    return _loaded[path]
-
-
-def encode(texts: list[str], path: str) -> list[np.ndarray]:
-    """Token ids of each text, without special tokens, as unsigned 32-bit integers."""
-    tokenizer, known = _tokenizer(path)
-    split = [t.encode("utf-8").split() for t in texts]
-    if len(known) > WORDS_KEPT:
-        known.clear()
-    new = list({w for words in split for w in words if w not in known})
-    for at in range(0, len(new), 20_000):
-        some = new[at : at + 20_000]
-        for word, encoding in zip(some, tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)):
-            known[word] = np.array(encoding.ids, "<u4").tobytes()
-    return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        normal = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
+        split = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+        simple = normal == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in split] == ["Split", "ByteLevel"] and split[0]["invert"]
+        self.split = regex.compile(split[0]["pattern"]["Regex"]) if simple else None
+        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        others = (b for b in range(256) if b not in set(printable))
+        self.letters = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}  # byte level: a visible letter per byte
+
+    def piece(self, piece: str) -> bytes:
+        if piece not in self.pieces:
+            shown = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+            self.pieces[piece] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        return self.pieces[piece]
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8")
+        if self.split is not None and (text.isascii() or SIMPLE_RE.fullmatch(text)) and "<|" not in text:
+            return b"".join(map(self.piece, self.split.findall(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        words = text.encode("utf-8").split()
+        known = self.known
+        for word in words:
+            if word not in known:
+                known[word] = self.word(word)
+        out = b"".join(map(known.__getitem__, words))
+        if len(known) > WORDS_KEPT:
+            known.clear()
+            self.pieces.clear()
+        return out
+
+
+def encode(texts: list[str], path: str) -> list[bytes]:
+    """Token ids of each text, without special tokens, as little-endian unsigned 32-bit integers."""
+    if path not in _loaded:
+        _loaded[path] = Words(path)
+    return [_loaded[path].encode(text) for text in texts]
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
@@ -68,7 +105,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             texts = texts_of(batch)
             for at in range(0, len(texts), 500):  # keeps the ids of a batch small in memory
                 rows = batch.slice(at, 500)
-                ids = [a.tobytes() + end for a in encode(texts[at : at + 500], path)]
+                ids = [a + end for a in encode(texts[at : at + 500], path)]
                 n = np.array([len(b) // 4 for b in ids], np.int64)
                 starts = offset + np.cumsum(n) - n
                 yield pa.RecordBatch.from_arrays(
