@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ticketlens.runtime import shuffle_parts
+from ticketlens.runtime import ship_package, shuffle_parts
 
 #: A word is a run of anything but space and U+0009 to U+000D; for bytes this is what ``bytes.split()`` does.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,7 +36,13 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return stream_map(df, run, schema)
+
+
+def stream_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with this package sent to the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ticketlens.llm.common import texts_of
+from ticketlens.llm.common import stream_map, texts_of
 from ticketlens.runtime import written
 
 WINDOW = 4096
@@ -122,7 +122,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 place, offset = place + len(ids), offset + int(n.sum())
 
     schema = "part int, place long, local_start long, doc_id long, doc_tokens long, ids binary"
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "tokens")
+    return written(stream_map(docs.select(F.col("doc_id").cast("long"), "text"), run, schema), "tokens")
 
 
 def offsets(tokens: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return placed.mapInArrow(run, PIECE + (", ids binary" if with_ids else ""))
+    return stream_map(placed, run, PIECE + (", ids binary" if with_ids else ""))
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:

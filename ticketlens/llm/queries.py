@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import mixing, packing, secrets, sharding
+from ticketlens.llm import classifier, mixing, packing, rules, secrets, sharding
 from ticketlens.llm.common import table
+from ticketlens.runtime import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +36,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_decision_list")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statistics = written(rules.text_statistics(table(spark, sf_dir, "documents")), "statistics")
+    learned = rules.fit(statistics, table(spark, sf_dir, "labels"))
+    return rules.judged(statistics, learned).select("doc_id", *rules.COUNTS, "base_failed", "kept", "rule")
+
+
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT), 0) AS size,
@@ -74,6 +82,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+@query("op7_ftrl_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality(spark, sf_dir)
+
+
 @query("op9_concatenate_and_cut")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
