@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import classifier, mixing, packing, rules, secrets, sharding
+from ticketlens.llm import classifier, language, minhash, mixing, packing, rules, secrets, sharding
 from ticketlens.llm.common import table
 from ticketlens.runtime import written
 
@@ -36,6 +36,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_zstd_language")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(spark, sf_dir)
+
+
 @query("op4_decision_list")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     statistics = written(rules.text_statistics(table(spark, sf_dir, "documents")), "statistics")
@@ -90,3 +95,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_concatenate_and_cut")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_minhash_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprints(table(spark, sf_dir, "documents"))
