@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import classifier, language, minhash, mixing, packing, rules, secrets, sharding
+from ticketlens.llm import classifier, language, minhash, mixing, ngram_join, packing, rules, secrets, sharding
 from ticketlens.llm.common import table
 from ticketlens.runtime import written
 
@@ -27,6 +27,11 @@ def query(key: str, sql: str | None = None):
     return register
 
 
+@query("op1_ngram_jaccard_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 @query("op2_hypergeometric_shards")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.digest(table(spark, sf_dir, "documents"))
