@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import classifier, language, minhash, mixing, ngram_join, packing, rules, secrets, sharding
+from ticketlens.llm import classifier, language, minhash, mixing, ngram_join, packing, rules, secrets, sharding, suffix_dedup
 from ticketlens.llm.common import table
 from ticketlens.runtime import written
 
@@ -97,6 +97,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality(spark, sf_dir)
 
 
+@query("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 @query("op9_concatenate_and_cut")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
