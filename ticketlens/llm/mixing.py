@@ -20,17 +20,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ticketlens.llm.common import n_words, running_totals
+from ticketlens.runtime import bounded
 
 #: Weight at the start and at the end of training of the first, second, third source, and so on in turn; integrals 1, 2, 3.
 SCHEDULE = ((0.5, 1.5), (2.0, 2.0), (4.5, 1.5))
 MAX_EPOCHS = 3
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """What the mix needs of each document: id, source, number of words, hash key."""
-    return docs.select(
-        "doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key")
-    )
+def sized(docs: DataFrame, *carried: Column) -> DataFrame:
+    """What the mix needs of each document: id, source, number of words, hash key; and columns carried along."""
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), *carried)
 
 
 def source_targets(rows: DataFrame, schedule: Sequence[tuple[float, float]] = SCHEDULE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -64,8 +64,8 @@ def position(share: Column, start: Column, end: Column) -> Column:
 def mix(rows: DataFrame, schedule: Sequence[tuple[float, float]] = SCHEDULE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``rows`` of ``sized`` with their source's size and target, the words ``taken``, whole ``epochs``, words of the last, cut one
     (``part``), how many times the document starts (``copies``), and the words of the source before it in an epoch (``before``)."""
-    targets = source_targets(rows, schedule, max_epochs).withColumnRenamed("source", "_source")
-    rows = rows.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    targets = bounded(source_targets(rows, schedule, max_epochs)).withColumnRenamed("source", "_source")  # broadcast where it is small
+    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = running_totals(rows, ["source"], "key", {"before": F.col("size")}, ["size"])
     whole = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0)
@@ -86,8 +86,5 @@ def ordered(mixed: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, schedule: Sequence[tuple[float, float]] = SCHEDULE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The documents the mix takes, whole, once per epoch that starts them, range-sorted by training position; columns as in ``docs``."""
-    plan = ordered(mix(sized(docs), schedule, max_epochs)).select(F.col("doc_id").alias("_id"), "source", "size", "position", "key")
-    plan = plan.groupBy("_id", F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.collect_list("position").alias("_positions"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    numbered = docs.withColumn("_n", n_words(F.col("text")))
-    return numbered.join(plan, same).withColumn("_position", F.explode("_positions")).orderBy("_position", "doc_id").select(*docs.columns)
+    rows = sized(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return ordered(mix(rows, schedule, max_epochs)).select("_row.*")

@@ -83,7 +83,7 @@ FROM e
 
 @query("op5_curriculum_mix", MIX_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(mixing.sized(table(spark, sf_dir, "documents")))
+    mixed = mixing.mix(written(mixing.sized(table(spark, sf_dir, "documents")), "sized"))
     return mixed.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
