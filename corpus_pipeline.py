@@ -27,7 +27,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     weights = classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return classifier.scored(docs, weights).filter(F.col("score") >= 0.5).select(*docs.columns)
+    return classifier.scored(docs, weights, "_chance_of_good").filter(F.col("_chance_of_good") >= 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -136,8 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_in=None, limit: int = FIT_ROWS)
     return train(docs, label_sample(labels, "quality", limit, held_in))
 
 
-def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Columns of ``docs`` and ``score``, the chance of label 1."""
+def scored(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
+    """Columns of ``docs`` and the chance of label 1 as ``name``; a column of that name is replaced."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -147,10 +148,10 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             h = features(text)
             raw.append(float(w[-1]) + (float(w[h].sum(dtype=np.float64)) / np.sqrt(len(h)) if len(h) else 0.0))
         score = 1 / (1 + np.exp(-np.clip(np.array(raw), -35, 35)))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(score, 6))], [*batch.schema.names, "score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(score, 6))], [*batch.schema.names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return arrow_map(docs, run, f"{fields}, score double")
+    return arrow_map(docs, run, f"{fields}, `{name}` double")
 
 
 def held_out(doc_id: Column) -> Column:

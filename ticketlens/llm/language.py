@@ -39,7 +39,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 def training_slices(docs: DataFrame, keep: Column) -> dict[str, bytes]:
     """Dictionary content per language, from rows where ``keep`` holds."""
-    rows = docs.filter(keep & F.col("lang").isNotNull() & (F.length("text") > 0))
+    rows = docs.select("doc_id", "lang", "text").filter(keep & F.col("lang").isNotNull() & (F.length("text") > 0))
     keyed = rows.select(F.col("doc_id").alias("_id"), "lang", F.md5("text").alias("key"))
     different = keyed.groupBy("lang", "key").agg(F.min("_id").alias("_id"))
     first = Window.partitionBy("lang").orderBy("key")
@@ -96,7 +96,8 @@ def guesser(dictionaries: dict[str, bytes]) -> Guesser:
 
 
 def identified(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """Columns of ``docs`` with ``lang_pred``, ``score`` and ``rejected``."""
+    """Columns of ``docs`` with ``lang_pred``, ``score`` and ``rejected``; columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

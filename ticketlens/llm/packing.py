@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +39,10 @@ SIMPLE_RE = regex.compile(r"[\x21-\x7e\xa1-\xff]+")
 _loaded: dict[str, "Words"] = {}
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Words:
     """A tokenizer that remembers words.
 
@@ -67,22 +72,26 @@ class Words:
     def piece(self, piece: str) -> bytes:
         if piece not in self.pieces:
             shown = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-            self.pieces[piece] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            self.pieces[piece] = _bytes([t.id for t in self.model.tokenize(shown)])
         return self.pieces[piece]
 
     def word(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
         if self.split is not None and (text.isascii() or SIMPLE_RE.fullmatch(text)) and "<|" not in text:
             return b"".join(map(self.piece, self.split.findall(text.lower())))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         words = text.encode("utf-8").split()
         known = self.known
-        for word in words:
-            if word not in known:
-                known[word] = self.word(word)
-        out = b"".join(map(known.__getitem__, words))
+        ids = list(map(known.get, words))
+        if None in ids:
+            for i, (word, found) in enumerate(zip(words, ids)):
+                if found is None:
+                    if word not in known:
+                        known[word] = self.word(word)
+                    ids[i] = known[word]
+        out = b"".join(ids)
         if len(known) > WORDS_KEPT:
             known.clear()
             self.pieces.clear()
@@ -100,7 +109,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """Written table: part, place in the part, first token's offset in the part, doc_id, number of tokens, ids (32-bit, little-endian)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, place, offset, end = TaskContext.get().partitionId(), 0, 0, np.array([end_id], "<u4").tobytes()
+        part, place, offset, end = TaskContext.get().partitionId(), 0, 0, _bytes([end_id])
         for batch in batches:
             texts = texts_of(batch)
             for at in range(0, len(texts), 500):  # keeps the ids of a batch small in memory

@@ -103,7 +103,8 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Columns of ``docs`` and ``spans``: array of (kind, begin, stop)."""
+    """Columns of ``docs`` and ``spans``: array of (kind, begin, stop); a column of that name is replaced."""
+    docs = docs.drop("spans")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("stop", pa.int64())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
