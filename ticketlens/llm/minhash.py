@@ -91,13 +91,13 @@ class _Row:
         new = digits(signature(shingle_hashes(edited)))
         return (
             self.doc_id, len(self.text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
-            self.print.tobytes().hex(), new.tobytes().hex(), likeness(self.print, new), likeness(self.print, following.print),
+            self.print.tobytes(), new.tobytes(), likeness(self.print, new), likeness(self.print, following.print),
         )
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _NAMES = [f.split()[0] for f in RESULT.split(", ")]
-_TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.split()[1]] for f in RESULT.split(", ")]
+_TYPES = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}[f.split()[1]] for f in RESULT.split(", ")]
 
 
 def _batch(rows: list[tuple], extra: list[tuple]) -> pa.RecordBatch:
@@ -155,7 +155,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             columns = list(zip(*done)) if done else [()] * len(_NAMES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
 
-    return inner.unionByName(stream_map(pairs, finish, RESULT))
+    every = inner.unionByName(stream_map(pairs, finish, RESULT))
+    return every.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def banded(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.llm.common import arrow_map, ascii_lower, parts, stream_map, texts_of
 from ticketlens.llm.graph import components
-from ticketlens.runtime import written
+from ticketlens.runtime import bounded, written
 
 SHINGLE, PERCENT = 3, 90
 PARTS = 40
@@ -217,7 +217,8 @@ def links(docs: DataFrame, classes: DataFrame, grouped: DataFrame, size: int, pe
     members = grouped.join(leads, "node").join(classes, "node")
     size_of = members.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     chunks = F.ceil(F.greatest(F.col("n") / CHUNK_DOCS, F.col("s") / CHUNK_SHINGLES)).cast("int")
-    members = members.join(size_of.select("lead", chunks.alias("chunks")), "lead")
+    cut = bounded(size_of.select("lead", chunks.alias("chunks")).filter("chunks > 1"))  # few groups are cut, so members need not move
+    members = members.join(cut, "lead", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     members = members.withColumn("chunk", F.pmod(F.xxhash64("node", "lead"), F.col("chunks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiles = members.select(
