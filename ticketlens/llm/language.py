@@ -42,8 +42,11 @@ def training_slices(docs: DataFrame, keep: Column) -> dict[str, bytes]:
     rows = docs.select("doc_id", "lang", "text").filter(keep & F.col("lang").isNotNull() & (F.length("text") > 0))
     keyed = rows.select(F.col("doc_id").alias("_id"), "lang", F.md5("text").alias("key"))
     different = keyed.groupBy("lang", "key").agg(F.min("_id").alias("_id"))
-    first = Window.partitionBy("lang").orderBy("key")
-    chosen = different.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= TEXTS_PER_LANGUAGE)
+    # the lowest of each language in two steps, so that no task gets the candidates of all tasks for a frequent language
+    chosen = different.withColumn("_b", F.substring("key", 31, 2))
+    for by in (("lang", "_b"), ("lang",)):
+        first = Window.partitionBy(*by).orderBy("key")
+        chosen = chosen.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= TEXTS_PER_LANGUAGE)
     chosen = written(chosen.select("_id", F.col("lang").alias("_lang"), "key"), "chosen")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.md5("text") == F.col("key"))
     data = F.encode("text", "utf-8")

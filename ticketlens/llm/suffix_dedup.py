@@ -6,7 +6,8 @@ A byte goes if it lies in a ``WINDOW``-byte string that also starts earlier (sma
    found in two different texts, or twice in one, can belong to repeats. They are counted with partial aggregation.
 2. Consecutive windows with one such minimiser are cut out as a string (at most ``RUN`` windows). Of equal strings only the first
    occurrence goes on; all later ones are repeats altogether.
-3. The different strings of a minimiser meet in one task, many minimisers in a batch of bounded size. For a batch the suffix order of the
+3. The different strings of a minimiser meet in one task. Parts of them whose core no other string shares are left out, and of equal
+   parts only the first goes on. What is left of many minimisers makes a batch of bounded size. For a batch the suffix order of the
    collection is built column by column: each round inserts the next symbol, from the right, of every string at the place its rank in
    the Burrows-Wheeler transform gives, and updates the common prefixes with range minima. Windows are suffixes of at least ``WINDOW``
    bytes, and equal windows are neighbours with common prefixes that long; all but the first of them are repeats.
@@ -41,6 +42,8 @@ RUN = 64
 HOT = 2000
 #: Strings whose suffixes are ordered together; a batch ends with the minimiser that reaches it.
 BATCH_STRINGS = 3000
+#: Classes of windows by the place of their minimiser.
+CORES = 3
 _LAST = (1 << 63) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -82,8 +85,9 @@ def seen_minimisers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return distinct, count > 1
 
 
-def cut_strings(data: bytes, wanted: np.ndarray) -> list[tuple[int, int, int, int, bool, bytes]]:
-    """(minimiser, checksum of the string, first window, number of windows, has the minimiser twice, string) for the wanted minimisers."""
+def cut_strings(data: bytes, wanted: np.ndarray) -> list[tuple]:
+    """For the wanted minimisers: (minimiser, checksum of the string, first window, number of windows, whether the string holds the
+    minimiser twice, its place there, string)."""
     least, places, at_places = minimisers(data)
     start = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     end, values = np.r_[start[1:], len(least)], least[start]
@@ -93,8 +97,8 @@ def cut_strings(data: bytes, wanted: np.ndarray) -> list[tuple[int, int, int, in
             count = min(RUN, int(end[i]) - at)
             piece = data[at : at + count - 1 + WINDOW]
             a, b = np.searchsorted(places, (at, at + count + WINDOW - KMER))
-            twice = b - a > 1 and int((at_places[a:b] == values[i]).sum()) > 1
-            out.append((int(values[i].view(np.int64)), xxhash.xxh3_64_intdigest(piece) - (1 << 63), at, count, twice, piece))
+            own = places[a:b][at_places[a:b] == values[i]]
+            out.append((int(values[i].view(np.int64)), xxhash.xxh3_64_intdigest(piece) - (1 << 63), at, count, len(own) > 1, int(own[0]) - at, piece))
     return out
 
 
@@ -210,7 +214,7 @@ def _repeated_minimisers(rows: DataFrame) -> DataFrame:
     return kept.groupBy("t").agg(F.collect_set("h").alias("hs"))  # bounded by the text's own length
 
 
-STRING = "h long, sid long, d long, t long, start long, n int, twice boolean, string binary"
+STRING = "h long, sid long, d long, t long, start long, n int, twice boolean, m int, string binary"
 
 
 def _strings(rows: DataFrame, firsts: DataFrame, lists: DataFrame) -> DataFrame:
@@ -223,9 +227,9 @@ def _strings(rows: DataFrame, firsts: DataFrame, lists: DataFrame) -> DataFrame:
             columns = (batch.column("d").to_pylist(), batch.column("t").to_pylist(), texts_of(batch), batch.column("hs").to_pylist())
             for d, t, text, hs in zip(*columns):
                 data = text.encode("utf-8", "surrogatepass")
-                out += [(h, sid, d, t, at, n, twice, s) for h, sid, at, n, twice, s in cut_strings(data, np.array(hs, np.int64).view(np.uint64))]
+                out += [(h, sid, d, t, at, n, twice, m, s) for h, sid, at, n, twice, m, s in cut_strings(data, np.array(hs, np.int64).view(np.uint64))]
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [f.split()[0] for f in STRING.split(", ")])
 
     return stream_map(chosen, run, STRING)
@@ -238,40 +242,77 @@ def _ranges(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), (), ()))], ["d", "t", "low", "high"])
 
 
-def _batch_ranges(rows: list[tuple]) -> list[tuple]:
-    """Repeated ranges among the strings (h, d, t, start, twice, string) of a batch."""
-    groups: dict[int, int] = {}
-    for r in rows:
-        groups[r[0]] = groups.get(r[0], 0) + 1
-    rows = [r for r in rows if groups[r[0]] > 1 or r[4]]
+def _window_ranges(rows: list[tuple]) -> list[tuple]:
+    """Repeated ranges among strings (d, t, start, string), from the suffix order of the collection."""
     if not rows:
         return []
-    place = {dt: i for i, dt in enumerate(sorted({(r[1], r[2]) for r in rows}))}
-    positions = np.array([place[r[1], r[2]] * (1 << 40) + r[3] for r in rows], np.int64)
-    who, offset = repeated_windows([r[5] for r in rows], positions)
+    place = {dt: i for i, dt in enumerate(sorted({(r[0], r[1]) for r in rows}))}
+    positions = np.array([place[r[0], r[1]] * (1 << 40) + r[2] for r in rows], np.int64)
+    who, offset = repeated_windows([r[3] for r in rows], positions)
     if not len(who):
         return []
     order = np.lexsort((offset, who))
     who, offset = who[order], offset[order]
     new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (offset[1:] != offset[:-1] + 1)])
     last = np.r_[new[1:], len(who)] - 1
-    return [(rows[w][1], rows[w][2], rows[w][3] + int(a), rows[w][3] + int(b) + WINDOW) for w, a, b in zip(who[new], offset[new], offset[last])]
+    return [(rows[w][0], rows[w][1], rows[w][2] + int(a), rows[w][2] + int(b) + WINDOW) for w, a, b in zip(who[new], offset[new], offset[last])]
+
+
+def _families(group: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """Of the strings (h, d, t, start, twice, m, string) of one minimiser: ranges that are repeats, and parts to be ordered.
+
+    Equal windows hold the minimiser at the same place, so windows are put into ``CORES`` classes by that place. All windows of a
+    class have a common core; where no other string has the same core, none of them can be a repeat. Of equal parts the first
+    goes on. A string that holds the minimiser twice has no such places and its whole group goes on as it is.
+    """
+    if len(group) == 1 and not group[0][4]:
+        return [], []
+    if any(r[4] for r in group):
+        return [], [(r[1], r[2], r[3], r[6]) for r in group]
+    width = -(-(WINDOW - KMER + 1) // CORES)
+    by_core: dict[tuple, list[tuple]] = {}
+    for _, d, t, start, _, m, string in group:
+        n = len(string) - WINDOW + 1
+        for q in range(CORES):
+            low, high = max(0, m - (q + 1) * width + 1), min(n - 1, m - q * width)  # windows of this class
+            if low <= high:
+                core = string[max(0, m - q * width) : m - (q + 1) * width + 1 + WINDOW]
+                by_core.setdefault((q, core), []).append((d, t, start + low, string[low : high + WINDOW]))
+    ranges, ordered = [], []
+    for parts_ in by_core.values():
+        if len(parts_) > 1:
+            first: dict[bytes, tuple] = {}
+            for part in sorted(parts_):
+                if first.setdefault(part[3], part)[:3] != part[:3]:  # a repeated row gives the same part twice
+                    ranges.append((part[0], part[1], part[2], part[2] + len(part[3])))
+            if len(first) > 1:
+                ordered += first.values()
+    return ranges, ordered
 
 
 def _within_tasks(strings: DataFrame) -> DataFrame:
     dealt = strings.repartition(4 * parts(strings.sparkSession), "h").sortWithinPartitions("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        group: list[tuple] = []
+        found: list[tuple] = []
+        ordered: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "d", "t", "start", "twice", "string"))):
-                if len(rows) >= BATCH_STRINGS and row[0] != rows[-1][0]:
-                    yield _ranges(_batch_ranges(rows))
-                    rows = []
-                rows.append(row)
-        yield _ranges(_batch_ranges(rows))
-
-    return stream_map(dealt.select("h", "d", "t", "start", "twice", "string"), run, RANGE)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "d", "t", "start", "twice", "m", "string"))):
+                if group and row[0] != group[-1][0]:
+                    ranges, parts_ = _families(group)
+                    found += ranges
+                    ordered += parts_
+                    group = []
+                    if len(ordered) >= BATCH_STRINGS or len(found) >= 100_000:
+                        yield _ranges(found + _window_ranges(ordered))
+                        found, ordered = [], []
+                group.append(row)
+        if group:
+            ranges, parts_ = _families(group)
+            yield _ranges(found + ranges + _window_ranges(ordered + parts_))
+
+    return stream_map(dealt.select("h", "d", "t", "start", "twice", "m", "string"), run, RANGE)
 
 
 def _spread_windows(strings: DataFrame) -> DataFrame:
@@ -298,7 +339,7 @@ def _repeated_ranges(strings: DataFrame) -> DataFrame:
     first = strings.groupBy("h", "sid").agg(F.min(F.struct("d", "t", "start")).alias("first"))
     is_first = F.struct("d", "t", "start") == F.col("first")
     judged = strings.join(first, ["h", "sid"]).withColumn("is_first", is_first)
-    judged = written(judged.select("h", "d", "t", "start", "n", "twice", "is_first", F.when(is_first, F.col("string")).alias("string")), "judged")
+    judged = written(judged.select("h", "d", "t", "start", "n", "twice", "m", "is_first", F.when(is_first, F.col("string")).alias("string")), "judged")
     whole = judged.filter("NOT is_first").select("d", "t", F.col("start").alias("low"), (F.col("start") + F.col("n") - 1 + WINDOW).alias("high"))
     different = judged.filter("is_first")
     crowded = written(different.groupBy("h").count().filter(F.col("count") > HOT).select("h"), "hot")
