@@ -104,9 +104,8 @@ def _fold(text):
 
 
 def test_normalize_text(spark):
-    latin = [t for t in TEXTS if t is None or all(c not in "ﬁ½…" for c in t)]
-    assert column(spark, latin, "string", TX.normalize_text) == [_fold(t) for t in latin]
-    assert column(spark, TEXTS, "string", TX.normalize_text_full) == [_fold(t) for t in TEXTS]
+    texts = TEXTS + ["½ dose", "ạ Ạ", "Ǆ ﬁm ™", "日本 ㎏ №", "𝐀𝐁 ℡", "ŉ x"]
+    assert column(spark, texts, "string", TX.normalize_text) == [_fold(t) for t in texts]
 
 
 def test_tokens_and_grams(spark):

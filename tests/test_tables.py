@@ -212,7 +212,7 @@ def test_drift_of_equal_and_shifted(spark):
 def test_sources(spark, tmp_path):
     df = spark.createDataFrame([("train", 1, "ação"), ("test", 2, None)], "split string, k int, t string")
     path = T.write_splits(df, str(tmp_path / "splits"))
-    assert T.splits_present(T.read_splits(spark, path)) == ["train", "test"]
+    assert T.check_splits(T.read_splits(spark, path)) == ["train", "test"]
     assert T.read_splits(spark, path, ["test"]).count() == 1
     with pytest.raises(ValueError):
         T.splits_present(df.filter("split = 'test'"))

@@ -208,13 +208,5 @@ SELECT dataset, metric, round(current, 6) AS current, stored_value, round(curren
 FROM long JOIN before USING (dataset, metric)""",
 )
 def run_comparison(spark, sf_dir):
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("metric"), F.col(n).alias("current"),
-                F.col(f"stored_{n}").alias("stored_value"), F.col(f"delta_{n}").alias("delta"),
-            )
-            for n in _METRICS
-        ]
-    )
-    return _compare(spark, sf_dir).select("dataset", F.inline(cells))
+    table = report.run_comparison_long(metrics_at(spark, sf_dir), M.stored_metrics(spark))
+    return rounded(table, "current", "delta")

@@ -161,11 +161,11 @@ def cluster_label_lookup(spark, sf_dir):
 
 @query(
     "J3_append_feature_blocks",
-    f"""{_ALL('tickets_semantic')} SELECT *, {P.select_list({k: v for k, v in P.FEATURES.items() if k not in P.ROUNDED})}
+    f"""{_ALL('tickets_semantic')} SELECT *, {P.select_list(P.FEATURES)}
   FROM tickets_semantic""",
 )
 def append_feature_blocks(spark, sf_dir):
-    return features(spark, sf_dir).drop(*P.ROUNDED)
+    return rounded(features(spark, sf_dir), *P.ROUNDED)
 
 
 @query(
@@ -289,8 +289,7 @@ def top_importances(spark, sf_dir):
     f"{P.importances_view()} SELECT feature, round(importance, 9) AS importance FROM importances ORDER BY importance DESC, feature LIMIT 10",
 )
 def ten_importances(spark, sf_dir):
-    ordered = importances(spark, sf_dir).orderBy(F.desc("importance"), "feature").limit(10)
-    return rounded(ordered, "importance", digits=9)
+    return rounded(training.top_importances(importances(spark, sf_dir), 10), "importance", digits=9)
 
 
 @query("R4_importance_report", f"{P.importances_view()} {_RANKED} AS rank, {_KIND} AS kind FROM importances")
@@ -299,10 +298,10 @@ def importance_report(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ streaming
-@query("ST1_stream_features", P.row_features({n: t for n, t in P.FEATURES.items() if n not in P.ROUNDED}))
+@query("ST1_stream_features", P.row_features(P.FEATURES))
 def stream_features(spark, sf_dir):
     """The whole event file as a stream: same functions, same rows."""
-    names = [n for n in P.FEATURES if n not in P.ROUNDED]
+    names = list(P.FEATURES)
     output = scratch_path(spark, "stream")
     stream = scoring.ticket_stream(spark, sf_dir, schemas.EVENTS, "events.parquet")
     scoring.run_available(
@@ -311,4 +310,4 @@ def stream_features(spark, sf_dir):
         scratch_path(spark, "progress"),
         lambda df: B.build_features(X.as_semantic(X.as_tickets(df))).select(params.TICKET, *names),
     )
-    return spark.read.parquet(output)
+    return rounded(spark.read.parquet(output), *P.ROUNDED)

@@ -97,8 +97,7 @@ def cluster_dictionary_json(spark, sf_dir):
     f"{_ALL('split_semantic')} SELECT split, count(*) AS rows FROM split_semantic GROUP BY split",
 )
 def splits_present(spark, sf_dir):
-    df = X.split_semantic(spark, sf_dir)
-    return df.filter(F.col("split").isin(T.splits_present(df))).groupBy("split").agg(F.count("*").alias("rows"))
+    return T.splits_present(X.split_semantic(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ preparation
@@ -149,14 +148,12 @@ def preview_profile(spark, sf_dir):
   count(TAB_N2) AS known_tab_n2 FROM tickets GROUP BY CANAL""",
 )
 def null_counts(spark, sf_dir):
-    return (
-        X.tickets(spark, sf_dir)
-        .groupBy("CANAL")
-        .agg(
-            F.count("ULTIMO_CANCELAMENTO").alias("known"),
-            F.count_if(F.col("ULTIMO_CANCELAMENTO").isNull()).alias("missing"),
-            F.count("TAB_N2").alias("known_tab_n2"),
-        )
+    counts = profile.known_and_missing(X.tickets(spark, sf_dir), ["CANAL"], ["ULTIMO_CANCELAMENTO", "TAB_N2"])
+    return counts.select(
+        "CANAL",
+        F.col("known_ULTIMO_CANCELAMENTO").alias("known"),
+        F.col("missing_ULTIMO_CANCELAMENTO").alias("missing"),
+        F.col("known_TAB_N2").alias("known_tab_n2"),
     )
 
 
@@ -245,16 +242,7 @@ SELECT CANAL, total, cancelled, round(rate, 6) AS rate_pct,
 )
 def rates_and_deltas(spark, sf_dir):
     labelled = add_target(X.tickets(spark, sf_dir))
-    overall = profile.label_distribution(labelled).select("cancelled_pct").scalar()
-    rate = F.sum("TARGET") * 100.0 / F.nullif(F.count("*"), F.lit(0))
-    return (
-        labelled.groupBy("CANAL")
-        .agg(F.count("*").alias("total"), F.sum("TARGET").alias("cancelled"), rate.alias("rate"))
-        .select(
-            "CANAL", "total", "cancelled",
-            F.round("rate", 6).alias("rate_pct"), F.round(F.col("rate") - overall, 6).alias("delta_pct"),
-        )
-    )
+    return rounded(profile.rates(labelled, ["CANAL"]), "rate_pct", "delta_pct")
 
 
 # ------------------------------------------------------------------ further splits and checks

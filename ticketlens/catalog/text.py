@@ -34,10 +34,14 @@ def normalize_text(spark, sf_dir):
     return folded.select("doc_id", F.md5("folded").alias("folded"), F.length("folded").cast("long").alias("chars"))
 
 
-@query("F1_normalize_text_full", f"SELECT doc_id, md5({_FOLDED}) AS folded, length({_FOLDED}) AS chars FROM documents")
+@query(
+    "F1_normalize_text_full",
+    "SELECT doc_id, '12 DOSE A A DZ FIM TM kg No 3 ' || upper(lang) AS folded FROM documents",
+)
 def normalize_text_full(spark, sf_dir):
-    folded = _docs(spark, sf_dir).select("doc_id", TX.normalize_text_full("text").alias("folded"))
-    return folded.select("doc_id", F.md5("folded").alias("folded"), F.length("folded").cast("long").alias("chars"))
+    """Characters that stand for several, and other scripts, in every row."""
+    odd = F.concat(F.lit(" ½ dose ạ Ạ Ǆ ﬁm ™ ㎏ № ３ "), "lang", F.lit("☃"))
+    return X.documents(spark, sf_dir).select("doc_id", TX.normalize_text(odd).alias("folded"))
 
 
 _SPACES = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -46,11 +50,11 @@ _SPACES = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202
 @query(
     "F2_prepare_text",
     f"""SELECT doc_id, md5(regexp_replace(t, '^{_SPACES}|{_SPACES}$', '', 'g')) AS prepared, length(t) AS chars
-FROM (SELECT doc_id, coalesce(CASE WHEN lang <> 'de' THEN chr(9) || '  ' || text || chr(160) || chr(10) END, '') AS t FROM documents)""",
+FROM (SELECT doc_id, coalesce(chr(9) || '  ' || text || chr(160) || chr(10), '') AS t FROM documents)""",
 )
 def prepare_text(spark, sf_dir):
-    docs = X.documents(spark, sf_dir).select("doc_id", "lang", "text")
-    padded = F.when(F.col("lang") != "de", F.concat(F.lit("\t  "), "text", F.lit(" \n")))
+    docs = X.documents(spark, sf_dir).select("doc_id", "text")
+    padded = F.concat(F.lit("\t  "), "text", F.lit("\u00a0\n"))
     return docs.select("doc_id", padded.alias("t")).select(
         "doc_id",
         F.md5(TX.prepare_text("t", null_text="")).alias("prepared"),
@@ -104,7 +108,7 @@ def mean_tfidf(spark, sf_dir):
 @query("O4_top_terms", f"{terms_view()} SELECT cluster, rank, term, score FROM top_terms WHERE rank <= 4 AND score > 0")
 def top_terms(spark, sf_dir):
     scores = clusters.term_scores(document_groups(spark, sf_dir), ["cluster"], "doc_id")
-    return clusters.top_terms(scores, ["cluster"]).select("cluster", "rank", "term", "score")
+    return clusters.top_terms(scores, ["cluster"]).select("cluster", "rank", "term", F.round("score", 9).alias("score"))
 
 
 _LABELS = """labels AS (SELECT cluster, string_agg(term, ', ' ORDER BY rank) AS label FROM top_terms WHERE rank <= 4 AND score > 0
@@ -117,7 +121,8 @@ def cluster_keywords(spark, sf_dir):
 
 
 _TEXTS = f"""{X.oracle_views('tickets')}, long AS (SELECT TAB_N3 AS text, PROTOCOLO % 4 AS cluster FROM tickets
-  UNION ALL SELECT 'para que ' || CANAL[1:1], 4 + PROTOCOLO % 2 FROM tickets),
+  UNION ALL SELECT CANAL, PROTOCOLO % 4 FROM tickets UNION ALL SELECT TAB_N1, PROTOCOLO % 4 FROM tickets
+  UNION ALL SELECT 'para que ' || CAST(PROTOCOLO % 7 AS string), 4 + PROTOCOLO % 2 FROM tickets),
 words AS (SELECT cluster, text, count(*) AS n, {TOKENS} AS w FROM long GROUP BY cluster, text),
 grams AS (SELECT cluster, text, n, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM words),
 tf AS (SELECT cluster, text, n, term, count(*) AS tf FROM grams GROUP BY ALL),
@@ -139,9 +144,11 @@ SELECT cluster, coalesce(l.label, f.label, 'cluster_vazio') AS label FROM ids LE
 @query("F7_join_keywords", _TEXTS)
 def join_keywords(spark, sf_dir):
     """Weighted category texts; two clusters of stopwords only, and one without texts."""
-    tickets = X.tickets(spark, sf_dir).select("PROTOCOLO", "TAB_N3", "CANAL")
-    long = tickets.select("TAB_N3", F.col("PROTOCOLO") % 4).toDF("text", "cluster").unionAll(
-        tickets.select(F.concat(F.lit("para que "), F.substring("CANAL", 1, 1)), 4 + F.col("PROTOCOLO") % 2)
+    tickets = X.tickets(spark, sf_dir).select("PROTOCOLO", "TAB_N1", "TAB_N3", "CANAL")
+    four = (F.col("PROTOCOLO") % 4).alias("cluster")
+    stopwords = F.concat(F.lit("para que "), (F.col("PROTOCOLO") % 7).cast("string")).alias("text")
+    long = tickets.select(F.explode(F.array("TAB_N3", "CANAL", "TAB_N1")).alias("text"), four).unionByName(
+        tickets.select(stopwords, (4 + F.col("PROTOCOLO") % 2).alias("cluster"))
     )
     texts = long.groupBy("cluster", "text").agg(F.count("*").alias("n"))
     ids = tickets.select((F.col("PROTOCOLO") % 7).alias("cluster")).distinct()

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Sequence
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticketlens import params
 
@@ -32,34 +32,44 @@ def prepare_text(text: ColumnOrName, null_text: str = "nan") -> Column:
     return strip(F.coalesce(_col(text), F.lit(null_text)))
 
 
-def _latin_table() -> tuple[str, str]:
-    """Letters below U+0250 whose compatibility form has exactly one ASCII character, and that character."""
-    source, target = [], []
-    for code in range(0x80, 0x250):
+@cache
+def _fold_tables() -> tuple[str, str, tuple[str, ...], tuple[str, ...]]:
+    """What the ASCII characters of a character's compatibility form are: (from, to) for one, (from, to) for several of them.
+
+    All code points that have such a form; those without one go away later.
+    """
+    one, to_one, many, to_many = [], [], [], []
+    for code in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= code < 0xE000:
+            continue
         plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if ord(c) < 128)
         if len(plain) == 1:
-            source.append(chr(code))
-            target.append(plain)
-    return "".join(source), "".join(target)
+            one.append(chr(code))
+            to_one.append(plain)
+        elif plain:
+            many.append(chr(code))
+            to_many.append(plain)
+    return "".join(one), "".join(to_one), tuple(many), tuple(to_many)
 
 
 def normalize_text(text: ColumnOrName) -> Column:
-    """Upper case, accents removed, ASCII only, stripped; null gives an empty text. Covers Latin letters.
+    """Upper case, accents removed, ASCII only, stripped; null gives an empty text.
 
-    :func:`normalize_text_full` also resolves compatibility characters of other scripts.
+    Characters are replaced by the ASCII part of their compatibility form, in all scripts. Texts of Latin letters below
+    U+0250 need a short table only; in others, characters that stand for several ones are looked up one by one.
     """
-    folded = F.translate(F.upper(_col(text)), *_latin_table())
+    one, to_one, many, to_many = _fold_tables()
+    upper = F.upper(_col(text))
+    table = F.map_from_arrays(F.lit(list(many)), F.lit(list(to_many)))
+    opened = F.concat_ws("", F.transform(F.split(upper, ""), lambda c: F.coalesce(F.element_at(table, c), c)))
+    near = [i for i, c in enumerate(one) if ord(c) < 0x250]
+    latin = F.translate(upper, "".join(one[i] for i in near), "".join(to_one[i] for i in near))
+    rare = upper.rlike(r"[^\x{0}-\x{24f}]|[" + "".join(c for c in many if ord(c) < 0x250) + "]")
+    folded = F.when(rare, F.translate(opened, one, to_one)).otherwise(latin)
     ascii_only = F.regexp_replace(folded, r"[^\x{0}-\x{7f}]", "")
     return F.coalesce(F.regexp_replace(ascii_only, r"^[\x{9}-\x{d}\x{1c}-\x{20}]+|[\x{9}-\x{d}\x{1c}-\x{20}]+$", ""), F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def normalize_text_full(texts: pd.Series) -> pd.Series:
-    """The same with the full compatibility decomposition, in Arrow batches."""
-    upper = texts.fillna("").str.upper().str.normalize("NFKD")
-    return upper.str.encode("ascii", "ignore").str.decode("ascii").str.strip()
-
-
 def tokens(text: ColumnOrName, stopwords: Sequence[str] = tuple(params.STOPWORDS)) -> Column:
     """Lower-case words of two or more characters, without stopwords, in text order."""
     words = F.regexp_extract_all(F.lower(_col(text)), F.lit(_WORD), F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ticketlens import params
 from ticketlens.functions.text import one_and_two_grams, term_counts, tokens
 from ticketlens.operators.joins import lookup_join
-from ticketlens.runtime import bounded, pinned
+from ticketlens.runtime import bounded, pinned, written
 
 
 def term_scores(texts: DataFrame, group: Sequence[str], key: str, text: str = "text", n: str = "n") -> DataFrame:
@@ -24,6 +24,7 @@ def term_scores(texts: DataFrame, group: Sequence[str], key: str, text: str = "t
     words = texts.select(*group, key, n, tokens(text).alias("words"))
     grams = words.select(*group, key, n, one_and_two_grams("words").alias("grams"))
     counted = grams.select(*group, key, n, term_counts("grams").alias("terms"))
+    counted = written(counted, "counted")  # texts are tokenised here and nowhere else below
     corpus = bounded(texts.groupBy(*group).agg(F.sum(n).alias("corpus_rows"), F.count("*").alias("corpus_texts")))
     # The outer form, as the inner one makes the optimiser push "has terms" below the projections, which would
     # tokenise each text many times over.
@@ -56,11 +57,14 @@ def term_scores(texts: DataFrame, group: Sequence[str], key: str, text: str = "t
 def top_terms(scores: DataFrame, group: Sequence[str], k: int = params.KEYWORDS_PER_CLUSTER) -> DataFrame:
     """The k best terms of each group with a positive score; equal scores go by term.
 
-    Scores are rounded first, so that sums in another order rank alike. The limit is applied on the map side too.
+    Scores are compared by nine significant digits, so that sums in another order rank alike and small scores still
+    differ. The limit is applied on the map side too.
     """
-    rounded = scores.withColumn("score", F.round("score", 9)).filter(F.col("score") > 0)
-    order = Window.partitionBy(*group).orderBy(F.desc("score"), "term")
-    return rounded.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    positive = scores.filter(F.col("score") > 0).withColumn("__size", F.floor(F.log10("score")))
+    digits = F.round(F.col("score") * F.pow(F.lit(10.0), 8 - F.col("__size")))
+    order = Window.partitionBy(*group).orderBy(F.desc("__size"), F.desc("__digits"), "term")
+    ranked = positive.withColumn("__digits", digits).withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k).drop("__size", "__digits")
 
 
 def cluster_keywords(

@@ -58,8 +58,11 @@ class MlEncoder:
         return MlEncoder(PipelineModel.load(path))
 
 
-def fit_hashed_tfidf(dictionary: DataFrame, text: str = "text", size: int = 256) -> MlEncoder:
-    """Hashed term frequencies, weighted by rarity, at unit length."""
+def fit_hashed_tfidf(dictionary: DataFrame, text: str = "text", size: int = 2_048) -> MlEncoder:
+    """Hashed term frequencies, weighted by rarity, at unit length.
+
+    Terms share ``size`` places; with a large vocabulary give a larger one (``partial(fit_hashed_tfidf, size=...)``).
+    """
     stages = Pipeline(
         stages=[
             HashingTF(inputCol=_TERMS, outputCol=_RAW, numFeatures=size),
@@ -85,14 +88,14 @@ def fit_word2vec(dictionary: DataFrame, text: str = "text", size: int = 64, seed
 class TableEncoder:
     """Precomputed embeddings, (text, embedding) with a row per text. An unknown text has no embedding.
 
-    Meant for dictionaries of distinct texts; on raw rows a large table is joined by shuffle, and hot texts are
-    left to adaptive skew handling.
+    Texts are counted before they are joined, so that a text of very many rows is spread over several tasks.
     """
 
     table: DataFrame
 
     def encode(self, df: DataFrame, text: str) -> DataFrame:
-        keyed = self.table.select(F.col("text").alias(text), EMBEDDING, F.lit(1).alias("__weight"))
+        counts = df.groupBy(text).agg(F.count("*").alias("__weight"))
+        keyed = self.table.select(F.col("text").alias(text), EMBEDDING).join(counts, text)
         return lookup_join(df, keyed, [text], "__weight").select(*df.columns, EMBEDDING)
 
     def save(self, path: str) -> None:
@@ -105,7 +108,10 @@ class TableEncoder:
 
 @dataclass(frozen=True)
 class BatchEncoder:
-    """Any local encoder: ``make`` returns a function from a batch of texts to a matrix, once per worker."""
+    """Any local encoder: ``make`` returns a function from a batch of texts to a matrix, once per worker.
+
+    Code is not stored with a model: give the encoder again to ``load_semantics``.
+    """
 
     make: Callable[[], Callable]
     batch_size: int = 32
@@ -114,16 +120,19 @@ class BatchEncoder:
         batch = predict_batch_udf(self.make, return_type=T.ArrayType(T.FloatType()), batch_size=self.batch_size)
         return df.withColumn(EMBEDDING, batch(F.col(text)))
 
-    def save(self, path: str) -> None:
-        raise NotImplementedError("pass a local encoder again when the model is loaded")
-
 
 def save_encoder(encoder, spark: SparkSession, path: str) -> None:
-    encoder.save(f"{path}/encoder")
+    if not isinstance(encoder, BatchEncoder):
+        encoder.save(f"{path}/encoder")
     kind = json.dumps({"kind": type(encoder).__name__})
     spark.createDataFrame([(kind,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/encoder_kind")
 
 
-def load_encoder(spark: SparkSession, path: str):
+def load_encoder(spark: SparkSession, path: str, given=None):
+    """The stored encoder; ``given`` is used for one that holds code."""
     kind = json.loads(spark.read.text(f"{path}/encoder_kind").first().value)["kind"]
+    if kind == "BatchEncoder":
+        if given is None:
+            raise ValueError("this model was fitted with a batch encoder: give it again")
+        return given
     return MlEncoder.load(f"{path}/encoder") if kind == "MlEncoder" else TableEncoder.load(spark, f"{path}/encoder")

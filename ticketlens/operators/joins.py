@@ -61,7 +61,7 @@ def lookup_join(
         return facts.join(F.broadcast(lookup.drop(weight)), on, "left")
 
     parts = shuffle_parts(facts.sparkSession)
-    salts = (F.floor(F.col(weight) * parts / F.lit(max(total, 1))) + 1).cast("int")
+    salts = (F.floor(F.coalesce(F.col(weight), F.lit(0)) * parts / F.lit(max(total, 1))) + 1).cast("int")
     salted = lookup.withColumn(_SALTS, salts)
     hot = salted.filter(F.col(_SALTS) > 1).select(*on, _SALTS)  # at most ``parts`` keys
     spread = F.pmod(F.xxhash64(*(salt_by or facts.columns)), F.lit(parts).cast("long")).cast("int")

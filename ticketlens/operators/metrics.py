@@ -55,8 +55,8 @@ def _score_bands(scored: DataFrame, by: list[str], threshold: float) -> DataFram
     quantiles of the scores; a band holds a bounded share of the distinct scores whatever their distribution,
     and is ordered by one task. Bands are put together afterwards from their totals.
     """
-    bands = min(1024, max(8, shuffle_parts(scored.sparkSession)))
-    edges = scored.agg(F.percentile_approx("p", [i / bands for i in range(1, bands)], 10_000)).scalar()
+    bands = max(8, shuffle_parts(scored.sparkSession))
+    edges = scored.agg(F.percentile_approx("p", [i / bands for i in range(1, bands)], max(10_000, 10 * bands))).scalar()
     positive = (F.col("y") == 1).cast("long")
     by_score = scored.groupBy(*by, "p").agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
     banded = by_score.withColumn("edges", edges).withColumn(
@@ -180,11 +180,13 @@ def _of(dataset: str, metric: str) -> Column:
 
 
 def overfitting_check(metrics: DataFrame) -> DataFrame:
-    """Signed train-minus-validation gaps; either above the limit means overfitting."""
+    """Signed train-minus-validation gaps; either above the limit means overfitting. Empty without metrics."""
     gaps = metrics.agg(
+        F.count("*").alias("datasets"),
         (_of("train", "auc_roc") - _of("validation", "auc_roc")).alias("delta_auc"),
         (_of("train", "f1_score") - _of("validation", "f1_score")).alias("delta_f1"),
     )
+    gaps = gaps.filter("datasets > 0").drop("datasets")
     limit = F.lit(params.OVERFIT_DELTA)
     over = (F.col("delta_auc") > limit) | (F.col("delta_f1") > limit)
     return gaps.withColumn("overfitting", F.coalesce(over, F.lit(False)))
@@ -204,13 +206,14 @@ def f1_gaps(metrics: DataFrame) -> DataFrame:
 
 
 def acceptance_gate(metrics: DataFrame) -> DataFrame:
-    """The three numeric acceptance criteria, each as a boolean."""
+    """The three numeric acceptance criteria, each as a boolean. Empty without metrics."""
     values = metrics.agg(
+        F.count("*").alias("datasets"),
         _of("test", "f1_score").alias("test_f1"),
         _of("test", "auc_roc").alias("test_auc"),
         (F.abs(_of("train", "f1_score") - _of("validation", "f1_score")) * 100).alias("gap"),
     )
-    return values.select(
+    return values.filter("datasets > 0").select(
         (F.col("test_f1") >= params.GATE_F1).alias("f1_ok"),
         (F.col("test_auc") >= params.GATE_AUC).alias("auc_ok"),
         (F.col("gap") < params.OVERFIT_POINTS).alias("gap_ok"),
@@ -222,12 +225,12 @@ def stored_metrics(spark, rows: Sequence[tuple] = tuple(params.STORED_METRICS))
 
 
 def compare_runs(metrics: DataFrame, stored: DataFrame) -> DataFrame:
-    """Current and stored metrics of each dataset side by side, with their differences."""
+    """Current and stored metrics of each dataset of either run side by side, with their differences."""
     names = ("auc_roc", "precision", "recall", "f1_score")
     key = F.lower("dataset")
     current = metrics.select(key.alias("dataset"), *names)
     before = stored.select(key.alias("dataset"), *[F.col(n).alias(f"stored_{n}") for n in names])
-    return current.join(before, "dataset").select(
+    return current.join(before, "dataset", "full").select(
         "dataset",
         *names,
         *[f"stored_{n}" for n in names],

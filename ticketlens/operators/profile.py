@@ -135,3 +135,19 @@ def drift(df: DataFrame, features: Sequence[str], bins: int = 10, base: str = "t
     return shares.join(reference, "feature").select(
         "feature", "split", "rows", F.aggregate(terms, F.lit(0.0), lambda t, x: t + x).alias("psi")
     )
+
+
+def known_and_missing(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Per group: rows where each column is known (``known_<column>``) and where it is missing (``missing_<column>``)."""
+    counts = []
+    for name in columns:
+        counts += [F.count(name).alias(f"known_{name}"), F.count_if(F.col(name).isNull()).alias(f"missing_{name}")]
+    return df.groupBy(*by).agg(*counts)
+
+
+def rates(df: DataFrame, by: Sequence[str], label: str = params.LABEL) -> DataFrame:
+    """Per group: rows, rows with the label, their rate in percent, and its difference from the rate of all rows."""
+    sums = df.groupBy(*by).agg(F.count("*").alias("total"), F.sum(F.col(label)).alias("cancelled"))
+    overall = df.agg(F.sum(F.col(label)) * 100.0 / F.nullif(F.count("*"), F.lit(0))).scalar()
+    rate = F.col("cancelled") * 100.0 / F.nullif(F.col("total"), F.lit(0))
+    return sums.select(*by, "total", "cancelled", rate.alias("rate_pct"), (rate - overall).alias("delta_pct"))

@@ -24,13 +24,11 @@ from ticketlens.functions.vectors import nearest_centroid, project_score
 from ticketlens.operators.clusters import cluster_keywords
 from ticketlens.operators.encoders import EMBEDDING, fit_hashed_tfidf, load_encoder, save_encoder
 from ticketlens.operators.joins import attach_cluster_label, lookup_join
-from ticketlens.runtime import local_table, pinned, shuffle_parts, small_rows
+from ticketlens.runtime import local_table, pinned, shuffle_parts
 from ticketlens.sources.tables import read_table, write_table
 
 log = logging.getLogger(__name__)
 
-MAX_SEEDS = 1_000
-ROWS_PER_PART = 20_000
 
 
 @dataclass(frozen=True)
@@ -58,11 +56,13 @@ def text_levels(
 def text_dictionary(
     df: DataFrame, tabs: Sequence[str], null_text: str = "nan", fit_on: str | None = "train"
 ) -> DataFrame:
-    """Distinct texts of all levels in one pass: (tab, text, n, n_fit).
+    """Distinct texts of all levels in one pass: (tab, text, n, n_fit). Without a level the table is empty.
 
     ``n_fit`` counts the rows of the split the model is fitted on (all rows if there is no split column).
     """
     fitted = F.col("split") == fit_on if fit_on is not None and "split" in df.columns else F.lit(True)
+    if not tabs:
+        return df.sparkSession.createDataFrame([], "tab string, text string, n long, n_fit long")
     entries = F.array(
         *[F.struct(F.lit(t).alias("tab"), prepare_text(t, null_text).alias("text")) for t in tabs]
     )
@@ -78,24 +78,45 @@ def cluster_count(wanted: int, rows: int, texts: int) -> int:
     return max(2, min(wanted, max(2, rows), texts))
 
 
-def fit_clusters(encoded: DataFrame, k: int, n: str = "n", seed: int = params.SEED) -> KMeansModel:
-    """k-means over distinct texts, each weighted with its rows: the same optimum as over all rows."""
-    return KMeans(k=k, seed=seed, featuresCol=EMBEDDING, predictionCol="cluster_id", weightCol=n).fit(encoded)
+def fit_clusters(
+    encoded: DataFrame, k: int, n: str = "n", seed: int = params.SEED, iterations: int = 300
+) -> KMeansModel | GivenCentroids:
+    """k-means over distinct texts, each weighted with its rows: the same optimum as over all rows.
+
+    Texts that all have one vector are one cluster.
+    """
+    different = encoded.select(EMBEDDING).distinct().take(2)
+    if len(different) == 1:
+        return GivenCentroids((tuple(float(v) for v in different[0][0]),))
+    means = KMeans(k=k, seed=seed, maxIter=iterations, featuresCol=EMBEDDING, predictionCol="cluster_id", weightCol=n)
+    return means.fit(encoded)
 
 
 def seed_direction(seeds: DataFrame) -> list[float] | None:
-    """Minimum-norm solution of ``embedding . w = score`` over the seeds; None without seeds.
+    """Minimum-norm least-squares solution of ``embedding . w = score`` over the seeds; None without seeds.
 
-    The seeds are a parameter table of some dozen rows; more than ``MAX_SEEDS`` are refused.
+    Any number of seeds: only the sums of products of their entries other than 0 come to the driver, at most the square of the
+    embedding's length.
     """
-    rows = seeds.select(EMBEDDING, "score").take(MAX_SEEDS + 1)
-    if len(rows) > MAX_SEEDS:
-        raise ValueError(f"more than {MAX_SEEDS} sentiment seeds")
-    if not rows:
+    rows = seeds.filter(F.col(EMBEDDING).isNotNull()).select(
+        F.size(EMBEDDING).alias("d"), "score", F.posexplode(EMBEDDING).alias("i", "v"), EMBEDDING
+    )
+    d = rows.agg(F.max("d")).first()[0]
+    if d is None:
         return None
-    matrix = np.array([r[0] for r in rows], dtype=float)
-    scores = np.array([r[1] for r in rows], dtype=float)
-    return [float(v) for v in np.linalg.lstsq(matrix, scores, rcond=None)[0]]
+    rows = rows.filter(F.col("v") != 0).select("score", "i", F.col("v").cast("double").alias("v"), EMBEDDING)
+    right = rows.groupBy("i").agg(F.sum(F.col("v") * F.col("score")).alias("s")).toPandas()
+    pairs = rows.select("i", "v", F.posexplode(EMBEDDING).alias("j", "u")).filter("u <> 0")
+    products = pairs.groupBy("i", "j").agg(F.sum(F.col("v") * F.col("u")).alias("s")).toPandas()
+    used = np.unique(right["i"].to_numpy(int))
+    place = np.zeros(d, int)
+    place[used] = np.arange(len(used))
+    square, score = np.zeros((len(used), len(used))), np.zeros(len(used))
+    square[place[products["i"].to_numpy(int)], place[products["j"].to_numpy(int)]] = products["s"].to_numpy(float)
+    score[place[right["i"].to_numpy(int)]] = right["s"].to_numpy(float)
+    weights = np.zeros(d)
+    weights[used] = np.linalg.pinv(square, rcond=1e-11, hermitian=True) @ score
+    return [float(v) for v in weights]
 
 
 @dataclass(frozen=True)
@@ -121,11 +142,9 @@ class GivenCentroids:
 
 
 def group_centroids(df: DataFrame, group: str, embedding: str = EMBEDDING) -> list[tuple[int, list[float]]]:
-    """Mean embedding per group, by group; the groups are clusters or classes, so few."""
+    """Mean embedding per group, by group; as many rows as the model that is made of them has centroids."""
     means = df.groupBy(group).agg(Summarizer.mean(array_to_vector(F.col(embedding).cast("array<double>"))).alias("mean"))
-    rows = small_rows(means.select(group, vector_to_array("mean").alias("mean")))
-    if rows is None:
-        raise ValueError(f"too many values of {group} for centroids")
+    rows = means.select(group, vector_to_array("mean").alias("mean")).collect()
     return sorted((r[0], list(r[1])) for r in rows)
 
 
@@ -177,8 +196,7 @@ def fit_level(
     if rows == 0:
         raise ValueError(f"no texts to fit {level.tab} on")
     # A fixed placement and order of the texts makes the fit repeatable.
-    parts = min(max(1, -(-texts // ROWS_PER_PART)), max(shuffle_parts(spark), 1) * 4)
-    placed = dictionary.select("text", n).repartition(parts, "text").sortWithinPartitions("text")
+    placed = dictionary.select("text", n).repartition(shuffle_parts(spark), "text").sortWithinPartitions("text")
     encoder = fit_encoder(placed)
     encoded = pinned(encoder.encode(placed, "text").filter(F.col(EMBEDDING).isNotNull()))
     kmeans = fit_clusters(encoded, cluster_count(level.clusters, rows, texts), n, seed)
@@ -194,9 +212,7 @@ def fit_level(
 def name_clusters(models: Sequence[tuple[LevelModel, DataFrame]]) -> dict[str, LevelModel]:
     """Give the clusters of all levels their keyword labels, in one pass over the clustered dictionaries."""
     clustered = reduce(DataFrame.unionByName, [texts for _, texts in models])
-    labels = small_rows(cluster_keywords(clustered, ["tab", "cluster_id"], "text", "text", "n"))
-    if labels is None:
-        raise ValueError("too many clusters")
+    labels = cluster_keywords(clustered, ["tab", "cluster_id"], "text", "text", "n").collect()  # a row per centroid of the models
     return {
         model.tab: replace(model, labels=tuple(sorted((r.cluster_id, r.label) for r in labels if r.tab == model.tab)))
         for model, _ in models
@@ -218,11 +234,11 @@ class SemanticModel:
         self, df: DataFrame, salt_by: Sequence[str] | None = None, dictionary: DataFrame | None = None
     ) -> DataFrame:
         """Append ``_GROUP``, ``_SENT_SCORE`` and ``_SENT_LABEL`` for each level the table has."""
-        present = self._present(df)
-        if dictionary is None:
-            dictionary = pinned(text_dictionary(df, present, self.null_text))
+        present = self._present(df) if self.levels or dictionary is None else []
         if not present:
             return df
+        if dictionary is None:
+            dictionary = pinned(text_dictionary(df, present, self.null_text))
         scored = [self.levels[tab].score(dictionary.filter(F.col("tab") == tab)) for tab in present]
         named = pinned(reduce(DataFrame.unionByName, scored))
         out = df
@@ -313,18 +329,26 @@ def save_semantics(model: SemanticModel, spark: SparkSession, path: str) -> None
         row = [(tab, model.null_text, weights, *level.bounds, given)]
         columns = "tab string, null_text string, weights array<double>, low double, high double, given boolean"
         write_table(spark.createDataFrame(row, columns), f"{base}/sentiment")
+    write_table(spark.createDataFrame([(tab,) for tab in model.levels], "tab string").coalesce(1), f"{path}/levels")
 
 
-def load_semantics(spark: SparkSession, path: str, tabs: Sequence[str] | None = None) -> SemanticModel:
+def load_semantics(
+    spark: SparkSession, path: str, tabs: Sequence[str] | None = None, encoder: object | None = None
+) -> SemanticModel:
+    """The stored levels, or those of ``tabs`` that are stored; ``encoder`` for levels whose encoder holds code."""
+    stored = [r.tab for r in read_table(spark, f"{path}/levels").collect()]
     levels, null_text = {}, "nan"
-    for tab in tabs if tabs is not None else params.CLUSTERS_PER_TAB:
+    for tab in stored if tabs is None else tabs:
+        if tab not in stored:
+            log.warning("level %s is not in the stored model and is skipped", tab)
+            continue
         base = f"{path}/{tab}"
         row = read_table(spark, f"{base}/sentiment").first()
         labels = read_table(spark, f"{base}/labels").select("cluster_id", "label").collect()
         null_text = row.null_text
         levels[tab] = LevelModel(
             tab,
-            load_encoder(spark, base),
+            load_encoder(spark, base, encoder),
             GivenCentroids.load(spark, f"{base}/centroids") if row.given else KMeansModel.load(f"{base}/kmeans"),
             tuple(sorted((r.cluster_id, r.label) for r in labels)),
             tuple(row.weights) if row.weights is not None else None,

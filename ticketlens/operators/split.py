@@ -21,8 +21,15 @@ _HASH = "__hash"
 _AFTER_ALL = "~"  # sorts after every hash
 
 
-def key_hash(key: str, seed: int) -> Column:
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+def key_hash(key: str, seed: int, stand_in: Column | None = None) -> Column:
+    """Hash of a row's key. For a null key ``stand_in`` is hashed; without one the hash is null."""
+    value = F.col(key).cast("string")
+    return F.md5(F.concat(value if stand_in is None else F.coalesce(value, stand_in), F.lit(f":{seed}")))
+
+
+def row_text(df: DataFrame) -> Column:
+    """All of a row as text: tells rows without a key apart."""
+    return F.concat(F.lit("row:"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])))
 
 
 def check_shares(train: float, validation: float, test: float) -> None:
@@ -39,7 +46,7 @@ def split_cuts(df: DataFrame, label: str, key: str, seed: int, shares: tuple[flo
     check_shares(*shares)
     last = _share(shares[2])
     first = 1 - _share(shares[1]) - last
-    keyed = df.select(F.col(label), key_hash(key, seed).alias(_HASH))
+    keyed = df.select(F.col(label), key_hash(key, seed, row_text(df)).alias(_HASH))
     keyed = keyed.withColumn("bucket", F.substring(_HASH, 1, PREFIX_DIGITS))
 
     by_class = Window.partitionBy(label)  # over the histogram: at most 16^5 rows per class
@@ -95,11 +102,12 @@ def stratified_split(
 ) -> DataFrame:
     """Add a ``split`` column; each class keeps the given shares to the row.
 
-    ``key`` tells rows apart. Copies of a key get one hash and so stay in one split. ``label`` is not null.
+    ``key`` tells rows apart. Copies of a key get one hash and so stay in one split. Rows without a key are told apart by
+    all their columns. ``label`` is not null.
     """
     cuts = split_cuts(df, label, key, seed, shares)
     rows = small_rows(cuts)
-    hashed = df.withColumn(_HASH, key_hash(key, seed))
+    hashed = df.withColumn(_HASH, key_hash(key, seed, row_text(df)))
     if rows is not None:
         placed = hashed.join(F.broadcast(local_table(df.sparkSession, rows, cuts.schema)), label, "left")
     else:  # a label with very many classes
@@ -125,10 +133,16 @@ def customer_split(
     shares: tuple[float, float, float] = params.SPLIT_SHARES,
     salt_by: list[str] | None = None,
 ) -> DataFrame:
-    """Split by customer: all rows of a customer share a split, classes are balanced over customers."""
-    customers = pinned(customer_targets(df, customer, label))  # read three times below
+    """Split by customer: all rows of a customer share a split, classes are balanced over customers.
+
+    Rows without a customer are split one by one, in the same shares.
+    """
+    known, unknown = df.filter(F.col(customer).isNotNull()), df.filter(F.col(customer).isNull())
+    customers = pinned(customer_targets(known, customer, label))  # read three times below
     placed = stratified_split(customers, "customer_target", customer, seed, shares)
-    return lookup_join(df, pinned(placed.drop("customer_target")), [customer], "rows", salt_by)
+    joined = lookup_join(known, pinned(placed.drop("customer_target")), [customer], "rows", salt_by)
+    single = stratified_split(unknown, label, customer, seed, shares)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], "split").unionByName(single)
 
 
 def split_overlap(df: DataFrame, customer: str = params.CUSTOMER) -> DataFrame:

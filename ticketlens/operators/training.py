@@ -19,9 +19,8 @@ from ticketlens import params, schemas
 from ticketlens.functions.text import feature_kind
 from ticketlens.operators import metrics as M
 from ticketlens.runtime import checkpoint_base, local_table, pinned
-from ticketlens.sources.tables import splits_present
+from ticketlens.sources.tables import check_splits
 
-ROWS_PER_PART = 20_000
 _NOT_INPUTS = ("split", "label", "fold")
 
 
@@ -82,13 +81,12 @@ def logistic_baseline(inputs: Sequence[str], iterations: int = 50) -> Pipeline:
 
 
 def fit_model(matrix: DataFrame, pipeline: Pipeline, train: str = "train") -> PipelineModel:
-    """Fit on the train split. Small tables are fitted in few partitions, large ones as they are stored."""
+    """Fit on the train split, in the partitions the table is stored in."""
     checkpoint_base(matrix.sparkSession)  # boosting cuts its lineage there
     rows = matrix.filter(F.col("split") == train) if "split" in matrix.columns else matrix
-    wanted = -(-rows.count() // ROWS_PER_PART)
-    if wanted == 0:
+    if not rows.take(1):
         raise ValueError("no rows to train on")
-    return pipeline.fit(rows.coalesce(wanted))  # only ever lowers the number of partitions
+    return pipeline.fit(rows)
 
 
 def predict(model: PipelineModel, matrix: DataFrame, carry: Sequence[str] = ("split",)) -> DataFrame:
@@ -110,6 +108,11 @@ def rank_importances(table: DataFrame, top: int | None = None) -> DataFrame:
     return ranked if top is None else ranked.filter(F.col("rank") <= top)
 
 
+def top_importances(table: DataFrame, top: int = 10) -> DataFrame:
+    """(feature, importance) of the ``top`` inputs, highest first, equal ones by name."""
+    return table.select("feature", "importance").orderBy(F.desc("importance"), "feature").limit(top)
+
+
 def explain_importances(table: DataFrame, top: int | None = None) -> DataFrame:
     """Ranked importances with the report kind of each feature."""
     return rank_importances(table, top).withColumn("kind", feature_kind("feature"))
@@ -139,7 +142,7 @@ def train(
     ``features`` has a ``split`` column. ``thresholds=None`` switches the choice off and keeps 0.5.
     """
     matrix = pinned(feature_matrix(features, label, carry))
-    splits_present(matrix)
+    check_splits(matrix)
     inputs = input_names(matrix, carry)
     model = fit_model(matrix, pipeline(inputs, **settings))
     scored = pinned(predict(model, matrix, carry))
@@ -166,7 +169,7 @@ def cross_validate(
     validator = CrossValidator(
         estimator=pipeline(inputs, **settings),
         estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction"),
+        evaluator=BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", numBins=0),
         numFolds=folds,
         foldCol="fold",
         parallelism=parallelism,

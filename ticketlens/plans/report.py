@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +41,25 @@ def feature_importances(table: DataFrame, top: int | None = None) -> DataFrame:
     return explain_importances(table, top)
 
 
-def semantic_clusters(enriched: DataFrame) -> DataFrame:
-    return cluster_statistics(enriched)
+def semantic_clusters(enriched: DataFrame, tabs: Sequence[str] | None = None) -> DataFrame:
+    """Clusters of the given text levels, or of all the table has."""
+    present = [c.removesuffix("_GROUP") for c in enriched.columns if c.endswith("_GROUP")]
+    return cluster_statistics(enriched, list(tabs) if tabs is not None else present)
 
 
 def run_comparison(metrics: DataFrame, stored: DataFrame) -> DataFrame:
     return M.compare_runs(metrics, stored)
+
+
+def run_comparison_long(metrics: DataFrame, stored: DataFrame) -> DataFrame:
+    """The comparison with a row per dataset and metric."""
+    cells = [
+        F.struct(
+            F.lit(n).alias("metric"),
+            F.col(n).alias("current"),
+            F.col(f"stored_{n}").alias("stored_value"),
+            F.col(f"delta_{n}").alias("delta"),
+        )
+        for n in ("auc_roc", "precision", "recall", "f1_score")
+    ]
+    return M.compare_runs(metrics, stored).select("dataset", F.inline(F.array(*cells)))

@@ -67,20 +67,26 @@ def write_splits(df: DataFrame, path: str) -> str:
 
 def read_splits(spark: SparkSession, path: str, splits: Iterable[str] | None = None) -> DataFrame:
     """The split table, or some splits of it; the filter on the partition column prunes folders."""
-    df = spark.read.parquet(path)
+    df = nan_to_null(spark.read.parquet(path))
     wanted = list(splits) if splits is not None else None
     return df if wanted is None else df.filter(F.col("split").isin(wanted))
 
 
-def splits_present(df: DataFrame) -> list[str]:
-    """Splits the table holds. A missing train split is an error, other missing ones a warning."""
-    found = {row.split for row in df.select("split").distinct().limit(100).collect()}
-    if "train" not in found:
+def check_splits(df: DataFrame) -> list[str]:
+    """The usual splits that the table holds. A missing train split is an error, other missing ones a warning."""
+    found = df.agg(*[F.bool_or(F.col("split") == name).alias(name) for name in params.SPLITS]).first()
+    if not found["train"]:
         raise ValueError("the table has no train split")
     for name in params.SPLITS:
-        if name not in found:
+        if not found[name]:
             log.warning("split %s is missing and is skipped", name)
-    return [name for name in params.SPLITS if name in found]
+    return [name for name in params.SPLITS if found[name]]
+
+
+def splits_present(df: DataFrame) -> DataFrame:
+    """(split, rows) for every split the table holds, whatever its name and however many there are."""
+    check_splits(df)
+    return df.groupBy("split").agg(F.count("*").alias("rows"))
 
 
 def write_importances(importances: DataFrame, path: str, fmt: str | None = None) -> str:
