@@ -225,12 +225,16 @@ def stored_metrics(spark, rows: Sequence[tuple] = tuple(params.STORED_METRICS))
 
 
 def compare_runs(metrics: DataFrame, stored: DataFrame) -> DataFrame:
-    """Current and stored metrics of each dataset of either run side by side, with their differences."""
+    """Current and stored metrics of each dataset of either run side by side, with their differences.
+
+    Empty without current metrics.
+    """
     names = ("auc_roc", "precision", "recall", "f1_score")
     key = F.lower("dataset")
     current = metrics.select(key.alias("dataset"), *names)
     before = stored.select(key.alias("dataset"), *[F.col(n).alias(f"stored_{n}") for n in names])
-    return current.join(before, "dataset", "full").select(
+    any_current = current.agg(F.count(F.lit(1)) > 0).scalar()
+    return current.join(before, "dataset", "full").filter(any_current).select(
         "dataset",
         *names,
         *[f"stored_{n}" for n in names],
