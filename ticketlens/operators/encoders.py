@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, Word2Vec
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,7 +118,8 @@ class BatchEncoder:
 
     def encode(self, df: DataFrame, text: str) -> DataFrame:
         batch = predict_batch_udf(self.make, return_type=T.ArrayType(T.FloatType()), batch_size=self.batch_size)
-        return df.withColumn(EMBEDDING, batch(F.col(text)))
+        plain = vector_to_array(array_to_vector(batch(F.col(text))), "float32")  # elements are never null, as clustering asks
+        return df.withColumn(EMBEDDING, plain)
 
 
 def save_encoder(encoder, spark: SparkSession, path: str) -> None:
