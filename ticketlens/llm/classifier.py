@@ -124,7 +124,7 @@ def train(docs: DataFrame, sample: DataFrame, shards: int = SHARDS, epochs: int
             at = np.append(used, -1).astype(np.int32)  # a row at -1 counts the models
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(w[used], 1.0))], ["at", "w"])
 
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "key", F.md5("text"))
+    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "key", F.md5("text"))
     models = written(stream_map(dealt, run, "at int, w double"), "models")
     total = models.groupBy("at").agg(F.sum("w").alias("w")).toPandas()  # at most 2 ** BITS + 2 rows
     out = np.zeros((1 << BITS) + 2)
