@@ -4,7 +4,6 @@ import pytest
 
 from ticketlens import fixtures as X
 from ticketlens.catalog.rows import features
-from ticketlens.catalog.tables import document_groups
 from ticketlens.catalog.text import top_terms
 from ticketlens.operators import metrics as M
 from ticketlens.operators.features import build_features
@@ -61,7 +60,3 @@ def test_top_terms_are_limited_before_the_shuffle(spark):
 def test_metrics_have_no_cross_join_or_single_task_sort(spark, query):
     text = plan(query(X.scored(spark, SF_DIR)))
     assert "Cartesian" not in text and "NestedLoop" not in text and "SinglePartition" not in text.split("Subquery")[0]
-
-
-def test_no_query_uses_a_cross_join(spark):
-    assert "Cartesian" not in plan(document_groups(spark, SF_DIR))

@@ -110,6 +110,21 @@ def kmeans_fit(spark, sf_dir):
     )
 
 
+@query(
+    "M3_kmeans_of_documents",
+    "SELECT count(DISTINCT trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS texts, count(DISTINCT trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS at_nearest FROM documents",
+)
+def kmeans_of_documents(spark, sf_dir):
+    """The same with very many more texts than clusters: whole documents, 18 clusters."""
+    dictionary = pinned(S.text_dictionary(X.documents(spark, sf_dir).select("text"), ["text"]))
+    encoded = pinned(encoders.fit_hashed_tfidf(dictionary, size=128).encode(dictionary, "text"))
+    model = S.fit_clusters(encoded, 18)
+    centroids = [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())]
+    checked = model.transform(encoded).withColumn("best", nearest_centroid("embedding", centroids))
+    own = F.element_at(F.array(*[nearest_centroid("embedding", [c])["distance"] for c in centroids]), F.col("cluster_id") + 1)
+    return checked.agg(F.count("*").alias("texts"), F.count_if(own <= F.col("best.distance") + 1e-9).alias("at_nearest"))
+
+
 @query(
     "M7_semantic_fit",
     f"""{_SPLIT_TEXTS}, d AS (SELECT tab, count(*) AS fitted_rows, count(DISTINCT text) AS texts FROM texts WHERE split = 'train' GROUP BY tab)
