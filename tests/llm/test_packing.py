@@ -5,7 +5,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from ticketlens.llm import packing
+from ticketlens.llm import mixing, packing
+from ticketlens.runtime import written
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -64,3 +65,55 @@ def test_words_are_forgotten(monkeypatch):
     monkeypatch.setattr(packing, "WORDS_KEPT", 3)
     texts = ["a b c d e", "f g h", "a b c"] * 2
     assert [np.frombuffer(b, "<u4").tolist() + [2] for b in packing.encode(texts, PATH)] == [plain(t) for t in texts]
+
+
+def positions(pieces, window=4096):
+    return {p.doc_id: p.sequence_id * window + p.offset for p in pieces.filter("start = 0").collect()}
+
+
+def test_order_of_files(spark, tmp_path):
+    """Files of very different sizes, dealt to tasks by size and the large ones cut in splits, are packed in the order of the table."""
+    path, before = str(tmp_path / "docs"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    sizes = [1, 400, 3, 4000, 50, 2, 900, 10, 2500, 5, 30, 700]
+    cuts = [sum(sizes[:i]) for i in range(len(sizes) + 1)]
+    rows = spark.createDataFrame([(i, " ".join(map(str, range(i, i + 40)))) for i in range(cuts[-1])], "doc_id long, text string")
+    for i in range(len(sizes)):  # a job per file: files named by hand as one writer names them
+        part = rows.filter(f"doc_id >= {cuts[i]} AND doc_id < {cuts[i + 1]}").coalesce(1).sortWithinPartitions("doc_id")
+        part.write.option("parquet.block.size", 65536).parquet(f"{path}-{i}")
+        (one,) = (tmp_path / f"docs-{i}").glob("part-*.parquet")
+        (tmp_path / "docs").mkdir(exist_ok=True)
+        one.rename(tmp_path / "docs" / f"part-{i:05d}-c000.snappy.parquet")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        docs = spark.read.parquet(path)
+        assert docs.rdd.getNumPartitions() > 3
+        for table in (docs, docs.filter("doc_id <> 7").select("text", "doc_id")):
+            at = positions(packing.pack(table, PATH))
+            assert len(at) == table.count() and sorted(at, key=at.get) == sorted(at)
+        twice = check(spark.read.parquet(path, path))  # each split twice: packed twice, without overlap
+        assert sum(p["length"] for p in twice) == 2 * sum(p["length"] for p in check(docs))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_order_of_partitions(spark):
+    """A plan that is not a scan is packed in its own order."""
+    docs = spark.createDataFrame([(i, f"a{i} b") for i in range(500)], "doc_id long, text string").repartition(7)
+    at = positions(packing.pack(docs.orderBy("doc_id"), PATH))
+    assert sorted(at, key=at.get) == list(range(500))
+
+
+def test_curriculum_reaches_the_sequences(spark, real_docs):
+    """The mixed table, written to many files and read again, is packed in the order of training positions."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = [r.doc_id for r in mixing.ordered(mixing.mix(mixing.sized(real_docs))).collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = written(mixing.mixed_documents(real_docs), "mixed")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        assert len(mixed.inputFiles()) > 3
+        pieces = packing.pack(mixed, PATH).filter("start = 0").orderBy("sequence_id", "offset").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [p.doc_id for p in pieces] == want

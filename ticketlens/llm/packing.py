@@ -1,9 +1,12 @@
 """Packing: concatenate all documents' tokens and cut the stream into fixed windows.
 
-First pass: every task tokenises its documents and writes ids with the token offset inside the task's partition. The partitions' totals,
-added up, give each partition's global offset; a document's global offset is the sum of the two. Second pass: each document is cut at the
+First pass: every task tokenises its documents and writes ids with the token offset inside its part. The parts' totals, added up in the
+order of the table, give each part's global offset; a document's global offset is the sum of the two. Second pass: each document is cut at the
 window borders that its range crosses, a record per piece. No text or token is shuffled, and there is no padding but in the last window.
 
+The stream has the order of the table. A scan deals splits of files to tasks by size, so there a part is a run of rows of one split, and
+parts go by file (Spark's numbered names) and start of the split in it; of any other plan a part is a partition, in their order.
+
 Words between white space are tokenised one by one and remembered by each worker (a bounded table), which gives the same ids as
 tokenising whole texts, because the tokenizer never joins across white space.
 
@@ -105,39 +108,64 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     return [_loaded[path].encode(text) for text in texts]
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether the plan is one scan of files with nothing but projections and filters on it."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() in ("LogicalRelation", "Relation") and "_metadata" in [a.name() for a in _attributes(plan.metadataOutput())]
+
+
+def _attributes(found) -> list:
+    return [found.apply(i) for i in range(found.size())]
+
+
 def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """Written table: part, place in the part, first token's offset in the part, doc_id, number of tokens, ids (32-bit, little-endian)."""
+    """Written table: file and start of the split, part, place in the part, first token's offset in the part, doc_id, number of tokens, ids
+    (32-bit, little-endian). ``part`` is the partition's number times 2^32 and the number of the run in it."""
+    stored = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start")) if _is_scan(docs) else (F.lit(""), F.lit(0))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", stored[0].alias("file"), stored[1].cast("long").alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, place, offset, end = TaskContext.get().partitionId(), 0, 0, _bytes([end_id])
+        part, place, offset, end = (TaskContext.get().partitionId() << 32) - 1, 0, 0, _bytes([end_id])
+        last = None
         for batch in batches:
             texts = texts_of(batch)
-            for at in range(0, len(texts), 500):  # keeps the ids of a batch small in memory
-                rows = batch.slice(at, 500)
-                ids = [a + end for a in encode(texts[at : at + 500], path)]
-                n = np.array([len(b) // 4 for b in ids], np.int64)
-                starts = offset + np.cumsum(n) - n
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(ids), part, np.int32)),
-                        pa.array(np.arange(place, place + len(ids), dtype=np.int64)),
-                        pa.array(starts),
-                        rows.column("doc_id"),
-                        pa.array(n),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    ["part", "place", "local_start", "doc_id", "doc_tokens", "ids"],
-                )
-                place, offset = place + len(ids), offset + int(n.sum())
-
-    schema = "part int, place long, local_start long, doc_id long, doc_tokens long, ids binary"
-    return written(stream_map(docs.select(F.col("doc_id").cast("long"), "text"), run, schema), "tokens")
+            splits = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist()))
+            borders = [i for i in range(1, len(texts)) if splits[i] != splits[i - 1]]
+            for begin, stop in zip([0, *borders], [*borders, len(texts)]):
+                if begin == stop:
+                    continue
+                if splits[begin] != last:
+                    part, place, offset, last = part + 1, 0, 0, splits[begin]
+                for at in range(begin, stop, 500):  # keeps the ids of a batch small in memory
+                    rows = batch.slice(at, min(500, stop - at))
+                    ids = [a + end for a in encode(texts[at : at + rows.num_rows], path)]
+                    n = np.array([len(b) // 4 for b in ids], np.int64)
+                    starts = offset + np.cumsum(n) - n
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            rows.column("file"),
+                            rows.column("block"),
+                            pa.array(np.full(len(ids), part, np.int64)),
+                            pa.array(np.arange(place, place + len(ids), dtype=np.int64)),
+                            pa.array(starts),
+                            rows.column("doc_id"),
+                            pa.array(n),
+                            pa.array(ids, pa.binary()),
+                        ],
+                        ["file", "block", "part", "place", "local_start", "doc_id", "doc_tokens", "ids"],
+                    )
+                    place, offset = place + len(ids), offset + int(n.sum())
+
+    schema = "file string, block long, part long, place long, local_start long, doc_id long, doc_tokens long, ids binary"
+    return written(stream_map(rows, run, schema), "tokens")
 
 
 def offsets(tokens: DataFrame) -> DataFrame:
-    """One row per part: tokens of all parts before it. The window runs over one row per part."""
-    totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    """One row per part: tokens of all parts before it. The window runs over one row per part. Names with more digits come later."""
+    totals = tokens.groupBy("file", "block", "part").agg(F.sum("doc_tokens").alias("total"))
+    before = Window.orderBy(F.length("file"), "file", "block", "part").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(F.col("part").alias("_part"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("part_start"))
 
 
