@@ -1,9 +1,10 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
 
-from ticketlens.llm import minhash
+from ticketlens.llm import minhash, ngram_join
 
 
 def word_shingles(text, k=5):
@@ -66,3 +67,44 @@ def test_near_duplicates(real_docs):
     ids = sorted(sets)
     near = {(i, j) for n, i in enumerate(ids) for j in ids[n + 1 :] if sets[i] and len(sets[i] & sets[j]) >= 0.95 * len(sets[i] | sets[j])}
     assert near and sum(i in linked and j in linked for i, j in near) >= 0.9 * len(near)
+
+
+def chain_family():
+    """Each text differs in some words from the one before: neighbours are near, the ends are not; some copies; and boilerplate."""
+    rnd, words = random.Random(3), [f"w{i}" for i in range(400)]
+    texts = []
+    for step in range(24):
+        texts.append(" ".join(words))
+        for _ in range(2):
+            words[rnd.randrange(400)] = f"x{step}{rnd.random()}"
+    common = " ".join(f"b{i}" for i in range(120))
+    texts += [f"{common} " + " ".join(f"t{n}_{i}" for i in range(20 + n)) for n in range(20)] + [texts[5], texts[5].upper()]
+    ids = list(range(len(texts)))
+    rnd.shuffle(ids)
+    return list(zip(ids, texts))
+
+
+def near_pairs(docs):
+    sets = {i: word_shingles(t) for i, t in docs}
+    return {(i, j) for i in sets for j in sets if i != j and sets[i] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+
+
+def test_every_near_pair(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK_DOCS", 5)
+    docs = chain_family()
+    want, frame = near_pairs(docs), spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert len(want) < len(docs) ** 2 / 2 and any((i, k) not in want for i, j in want for j2, k in want if j == j2 and i != k)
+    counts = {r.doc_id: r.n_near for r in minhash.with_near(frame).collect()}
+    assert counts == {i: sum(a == i for a, _ in want) for i, _ in docs}
+    least = {frozenset(word_shingles(t)): min(i for i, u in docs if word_shingles(u) == word_shingles(t)) for _, t in docs}
+    rep = {i: least[frozenset(word_shingles(t))] for i, t in docs}
+    listed = sorted((r.doc_id, r.leader) for r in minhash.near_duplicates(frame).collect())
+    assert listed == sorted({(i, j) for i, j in want if rep[i] == i > j == rep[j]} | {(i, rep[i]) for i in rep if rep[i] != i})
+
+
+def test_near_counts_of_odd_rows(odd_docs, no_docs):
+    found = {}
+    for r in minhash.with_near(odd_docs).collect():
+        found.setdefault(r.doc_id, []).append(r.n_near)
+    assert found[0] == found[1] == found[2] == [4] and found[3] == [4, 4]  # 0, 1, 2 and both rows of 3
+    assert found[None] == found[4] == found[5] == [0] and minhash.with_near(no_docs).count() == 0

@@ -4,10 +4,14 @@ A text's shingles are its distinct runs of five lower-cased words (with fewer wo
 functions are applied to all shingle hashes in numpy blocks; the least value of each, cut to its low ``DIGIT_BITS`` bits, is a place of
 the fingerprint. The likeness of two fingerprints is the share of equal places, with the share that agrees by chance taken out.
 
-For near duplicates bands of the full signature are joined in Spark (``near_duplicates``) and the exact Jaccard index decides.
+For near duplicates bands of the full signature are joined in Spark. Documents with equal shingle sets are one class. Classes that share
+a band are compared, all pairs of them, in the tiles of ``ngram_join`` by the exact Jaccard index of their shingles (64-bit hashes, words
+lower-cased in A to Z); a pair at 0.8 shares no band with probability 5e-8. ``near_counts`` counts every document's near duplicates,
+``near_duplicates`` lists them.
 
 Defined results: null text is empty; a text without words has the fingerprint of no shingle (all digits at their highest), which is like
-another such text (1) and unlike all others (0); equal texts have equal fingerprints; repeated rows give repeated results. Whole texts are read.
+another such text (1) and unlike all others (0); equal texts have equal fingerprints; repeated rows give repeated results.
+A text without words has no near duplicate; a row without an id has none and counts as none. Whole texts are read.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ticketlens.llm import ngram_join
 from ticketlens.llm.common import ascii_lower, parts, stream_map, texts_of
 from ticketlens.runtime import written
 
@@ -73,6 +78,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return round(max(0.0, (same - chance) / (1 - chance)), 6)
 
 
+def text_key(text: str) -> int:
+    """Tells texts of the same id apart."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def edited_text(text: str, following: str) -> str:
     """``text`` with its last third replaced by the first as many code points of ``following``."""
     third = len(text) // 3
@@ -91,11 +101,11 @@ class _Row:
         new = digits(signature(shingle_hashes(edited)))
         return (
             self.doc_id, len(self.text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
-            self.print.tobytes(), new.tobytes(), likeness(self.print, new), likeness(self.print, following.print),
+            self.print.tobytes(), new.tobytes(), likeness(self.print, new), likeness(self.print, following.print), text_key(self.text),
         )
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, text_key long"
 _NAMES = [f.split()[0] for f in RESULT.split(", ")]
 _TYPES = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}[f.split()[1]] for f in RESULT.split(", ")]
 
@@ -112,7 +122,12 @@ def _batch(rows: list[tuple], extra: list[tuple]) -> pa.RecordBatch:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprint of each text and of its edited text, and how like they and the next document's are.
+    """``keyed`` without the key."""
+    return keyed(docs).drop("text_key")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Fingerprint of each text and of its edited text, how like they and the next document's are, and a key of the text.
 
     The next document has the next lower id (after the lowest comes the highest; null ids come last; rows with the same id go by text).
     Documents are range-partitioned by id, so the next one lies in the same task but for the last of each partition. Those rows, two per
@@ -160,43 +175,62 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """One row per document and band of its signature: doc_id, band, key, and the text's checksum."""
+    """Written table, one row per document with an id and a word: doc_id, key of the text, class, number of shingles, a key per band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, bands, keys = [], [], []
+            rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                hashes = shingle_hashes(text)
-                if len(hashes):
-                    full = signature(hashes)
-                    for b in range(BANDS):
-                        ids.append(doc_id)
-                        bands.append(b)
-                        keys.append(hashlib.blake2b(full[b * ROWS_PER_BAND : (b + 1) * ROWS_PER_BAND].tobytes(), digest_size=8).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bands, pa.int32()), pa.array(keys, pa.string())], ["doc_id", "band", "key"])
+                exact = ngram_join.shingles(text, SHINGLE)
+                if len(exact):
+                    full = signature(shingle_hashes(text))
+                    bands = [bytes([b]) + full[b * ROWS_PER_BAND : (b + 1) * ROWS_PER_BAND].tobytes() for b in range(BANDS)]
+                    keys = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in bands]
+                    rows.append((doc_id, text_key(text), ngram_join.set_id(exact), len(exact), keys))
+            columns = list(zip(*rows)) if rows else [()] * 5
+            types = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "text_key", "node", "n_shingles", "keys"])
+
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+    return written(stream_map(known, run, "doc_id long, text_key long, node long, n_shingles long, keys array<long>"), "bands")
+
+
+def _compared(docs: DataFrame, threshold: float, listed: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with their class, the classes, and what ``ngram_join.links`` finds among classes that share a band."""
+    bands = banded(docs)
+    classes = bands.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.first("n_shingles").alias("n_shingles"))
+    classes = written(classes, "classes")
+    one = bands.groupBy("node").agg(F.first("keys").alias("keys"))  # equal sets have equal keys
+    grouped = ngram_join.meeting(one.select("node", F.explode("keys").alias("key")))
+    found = written(ngram_join.links(docs, classes, grouped, SHINGLE, round(100 * threshold, 6), listed), "links")
+    return bands, classes, found
 
-    return stream_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, band int, key string")
 
+def near_counts(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, text_key, n_near): how many other documents are near duplicates, for documents that have some."""
+    bands, classes, found = _compared(docs, threshold, False)
+    degrees = found.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("degree"))
+    n_near = F.col("n_docs") - 1 + F.coalesce("degree", F.lit(0))
+    counts = classes.join(degrees, "node", "left").select("node", n_near.cast("long").alias("n_near")).filter("n_near > 0")
+    return written(bands.join(counts, "node").select("doc_id", "text_key", "n_near").distinct(), "near")
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (doc_id, leader, jaccard) of documents whose shingles are alike, each with the smallest id of a band bucket it is in.
 
-    A bucket gives one pair per member, not all pairs of members, so a huge group of copies stays linear.
-    """
-    bands = banded(docs)
-    leaders = bands.groupBy("band", "key").agg(F.min("doc_id").alias("leader"))
-    pairs = bands.join(leaders, ["band", "key"]).filter("doc_id <> leader").select("doc_id", "leader").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    pairs = pairs.join(texts.withColumnRenamed("_text", "text"), F.col("doc_id") == F.col("_id")).drop("_id")
-    pairs = pairs.join(texts.withColumnRenamed("_text", "leader_text"), F.col("leader") == F.col("_id")).drop("_id")
+def with_near(docs: DataFrame) -> DataFrame:
+    """``fingerprints`` and, for each document, the number of its near duplicates."""
+    near = near_counts(docs)
+    near = near.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("n_near").alias("_n"))
+    rows = keyed(docs)
+    joined = rows.join(near, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    return joined.withColumn("n_near", F.coalesce("_n", F.lit(0))).drop("_id", "_key", "_n", "text_key")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            jaccard = []
-            for a, b in zip(texts_of(batch), texts_of(batch, "leader_text")):
-                x, y = shingle_hashes(a), shingle_hashes(b)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                jaccard.append(both / max(1, len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("leader"), pa.array(jaccard, pa.float64())], ["doc_id", "leader", "jaccard"])
-
-    return stream_map(pairs, run, "doc_id long, leader long, jaccard double").filter(F.col("jaccard") >= threshold)
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (doc_id, leader, jaccard) of near duplicates: every document with the smallest id of those with equal shingles, and all pairs
+    of such smallest ids, each once with the smaller as leader. So exact copies stay linear, near copies are all listed."""
+    bands, classes, found = _compared(docs, threshold, True)
+    reps = classes.select("node", "rep", "n_shingles")
+    copies = bands.join(reps.drop("n_shingles"), "node").filter("doc_id <> rep").select("doc_id", F.col("rep").alias("leader"), F.lit(1.0).alias("jaccard")).distinct()
+    a, b = (reps.toDF(c, f"{c}_rep", f"{c}_size") for c in ("a", "b"))
+    pairs = found.join(a, "a").join(b, "b").filter("a_rep <> b_rep")
+    jaccard = F.col("n") / (F.col("a_size") + F.col("b_size") - F.col("n"))
+    return copies.unionByName(pairs.select(F.greatest("a_rep", "b_rep").alias("doc_id"), F.least("a_rep", "b_rep").alias("leader"), jaccard.alias("jaccard")))

@@ -136,7 +136,11 @@ def blocks(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(lead, node): classes that have to be compared are together under at least one lead."""
-    rows = blocks(docs, size, percent)
+    return meeting(blocks(docs, size, percent))
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """(lead, node) of classes that share a key, from (key, node)."""
     shared = rows.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("top")).filter("lead < top").drop("top")
     found = rows.join(shared, "key").filter("node <> lead").select("lead", "node").distinct()
     found = written(found, "groups")
@@ -181,8 +185,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> n
     return np.argwhere(_reaches(overlap, a[:, None], b[None, :], percent))
 
 
-def _tile_rows(lead: int, same: bool, rows: list[tuple], percent: int) -> list[tuple[int, int, int]]:
-    """Rows (a, b, 0): links of a spanning forest; (a, a, n): n documents linked to class a by pairs that count here."""
+def _tile_rows(lead: int, same: bool, rows: list[tuple], percent: int, listed: bool = False) -> list[tuple[int, int, int]]:
+    """Rows (a, b, 0): links of a spanning forest; (a, a, n): n documents linked to class a by pairs that count here.
+
+    ``listed``: instead, rows (a, b, common n-grams) of all pairs that count here.
+    """
     members = {r[0]: r for r in rows}  # repeated rows of one class fall together
     left = [m for m in members.values() if m[1]]
     right = left if same else [m for m in members.values() if not m[1]]
@@ -201,6 +208,10 @@ def _tile_rows(lead: int, same: bool, rows: list[tuple], percent: int) -> list[t
         x, y = left[i], right[j]
         if x[0] == y[0] or (same and i >= j):
             continue
+        if listed:
+            if min(set(x[3]) & set(y[3])) == lead:
+                out.append((x[0], y[0], len(np.intersect1d(x[4], y[4], assume_unique=True))))
+            continue
         if min(set(x[3]) & set(y[3])) == lead:
             linked[x[0]] = linked.get(x[0], 0) + y[2]
             linked[y[0]] = linked.get(y[0], 0) + x[2]
@@ -211,7 +222,7 @@ def _tile_rows(lead: int, same: bool, rows: list[tuple], percent: int) -> list[t
     return out + [(node, node, n) for node, n in linked.items()]
 
 
-def links(docs: DataFrame, classes: DataFrame, grouped: DataFrame, size: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, grouped: DataFrame, size: int, percent: int, listed: bool = False) -> DataFrame:
     """(a, b, n) as in ``_tile_rows``, from all tiles. ``classes``: node, rep (a document of it), n_docs, n_shingles."""
     leads = grouped.groupBy("node").agg(F.sort_array(F.collect_list("lead")).alias("leads"))  # at most a lead per block of the set
     members = grouped.join(leads, "node").join(classes, "node")
@@ -232,7 +243,7 @@ def links(docs: DataFrame, classes: DataFrame, grouped: DataFrame, size: int, pe
         key, rows, known = None, [], {}
 
         def finished() -> pa.RecordBatch:
-            found = _tile_rows(key[0], key[1] == key[2], rows, percent) if key is not None else []
+            found = _tile_rows(key[0], key[1] == key[2], rows, percent, listed) if key is not None else []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), (), ()))], ["a", "b", "n"])
 
         for batch in batches:

@@ -109,4 +109,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_minhash_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.fingerprints(table(spark, sf_dir, "documents"))
+    return minhash.with_near(table(spark, sf_dir, "documents"))
