@@ -6,7 +6,8 @@
 4. mixing: each source is taken, whole documents once or several times, up to its target, in the order of the curriculum.
 5. packing: the token stream cut into sequences; one row per piece.
 
-All stages but the last return the columns of ``documents``. Rows with a null text, id or source go through all stages. A row that
+All stages but the last return the columns of ``documents``. Rows with a null text, id or source go through all stages as others do; stage 4
+leaves out what its targets leave out, and documents without words of a source that has no words at all. A row that
 repeats the id of another one counts as its copy in stage 2.
 """
 

@@ -74,3 +74,15 @@ def test_documents_keep_their_columns(odd_docs, no_docs):
 def test_no_python_on_the_path(real_docs):
     plan = mixing.mixed_documents(real_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_empty_documents_of_downsampled_sources(spark):
+    """A document without words is taken where it lies before the cut, and only there."""
+    rows = [(i, None if i % 2 else "a " * 10, "hot" if i < 400 else "small") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hot = [r for r in mixing.mix(mixing.sized(docs)).collect() if r.source == "hot"]
+    cut = int(hot[0].target)
+    assert 0 < cut < hot[0].source_size
+    for r in hot:
+        assert r.copies == (1 if r.before < cut else 0), r
+    assert {r.copies for r in hot if r.size == 0} == {0, 1}

@@ -6,7 +6,8 @@ A source's documents form an endless stream in the order of a hash, one epoch af
 The number of tokens of the stream before a document, put into the inverse of the source's cumulative demand, is the training position
 (0 to 1) of that copy; sorting by it interleaves the sources as the schedule says.
 
-Defined results: null text has size 0; a null source is a source of its own, after the others; a source of size 0 has target 0;
+Defined results: null text has size 0, and such a document starts like others where less than the target is before it; a null source is a source of its own, after the others; a source of size 0 has target 0
+and none of its documents is taken;
 repeated rows count each (equal keys go by size); other columns of the input are kept out of the way and not returned; an empty
 table gives an empty result.
 """
@@ -73,7 +74,7 @@ def mix(rows: DataFrame, schedule: Sequence[tuple[float, float]] = SCHEDULE, max
     left = whole - F.col("epochs") * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left - F.col("before")))
     rows = rows.withColumn("part", part.cast("long")).withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
-    return rows.withColumn("copies", F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0))
+    return rows.withColumn("copies", F.col("epochs") + F.when(F.col("before") < left, 1).otherwise(0))
 
 
 def ordered(mixed: DataFrame) -> DataFrame:
