@@ -86,3 +86,19 @@ def test_empty_documents_of_downsampled_sources(spark):
     for r in hot:
         assert r.copies == (1 if r.before < cut else 0), r
     assert {r.copies for r in hot if r.size == 0} == {0, 1}
+
+
+def test_query_follows_the_copies(real_docs, odd_docs):
+    """One row per document, from the copies; another schedule with the same integrals moves the positions and nothing else."""
+    for docs in (real_docs, odd_docs):
+        rows = mixing.trained_on(docs).collect()
+        copies, plan = mixing.ordered(mixing.mix(mixing.sized(docs))).collect(), mixing.mix(mixing.sized(docs)).collect()
+        assert sorted((str(r.doc_id), r.size, r.taken) for r in rows) == sorted((str(r.doc_id), r.size, r.taken) for r in plan)
+        for i in {r.doc_id for r in rows if r.doc_id is not None and r.doc_id != 3}:
+            at = [c.position for c in copies if c.doc_id == i]
+            (r,) = [r for r in rows if r.doc_id == i]
+            assert (r.first_position, r.last_position) == ((min(at), max(at)) if at else (None, None))
+    curved, flat = (
+        {r.doc_id: r for r in mixing.trained_on(real_docs, schedule).collect()} for schedule in (mixing.SCHEDULE, ((1.0, 1.0), (2.0, 2.0), (3.0, 3.0)))
+    )
+    assert all(curved[i].taken == flat[i].taken for i in flat) and any(curved[i].first_position != flat[i].first_position for i in flat)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ticketlens.llm.common import n_words, running_totals
-from ticketlens.runtime import bounded
+from ticketlens.runtime import bounded, written
 
 #: Weight at the start and at the end of training of the first, second, third source, and so on in turn; integrals 1, 2, 3.
 SCHEDULE = ((0.5, 1.5), (2.0, 2.0), (4.5, 1.5))
@@ -85,6 +85,20 @@ def ordered(mixed: DataFrame) -> DataFrame:
     return copies.orderBy("position", "key")
 
 
+def trained_on(docs: DataFrame, schedule: Sequence[tuple[float, float]] = SCHEDULE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """One row per document: size, source's size and target, words ``taken`` by all its copies in the written, range-sorted table of
+    copies, and the training positions of the first and the last of them (null without a copy)."""
+    rows = written(sized(docs, F.monotonically_increasing_id().alias("_id")), "sized")
+    mixed = written(mix(rows, schedule, max_epochs).drop("taken"), "mixed")
+    words = F.when(F.col("epoch") < F.col("epochs"), F.col("size")).otherwise(F.col("part"))
+    copies = written(ordered(mixed).select("_id", "epoch", "position", words.alias("words")), "copies")
+    of_document = copies.groupBy(F.col("_id").alias("_of")).agg(
+        F.sum("words").alias("taken"), F.min("position").alias("first_position"), F.max("position").alias("last_position")
+    )
+    out = mixed.join(of_document, F.col("_id") == F.col("_of"), "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "first_position", "last_position")
+
+
 def mixed_documents(docs: DataFrame, schedule: Sequence[tuple[float, float]] = SCHEDULE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The documents the mix takes, whole, once per epoch that starts them, range-sorted by training position; columns as in ``docs``."""
     rows = sized(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))

@@ -81,10 +81,29 @@ FROM e
 """
 
 
-@query("op5_curriculum_mix", MIX_SQL)
+def _place(epoch: str) -> str:
+    share = f"(({epoch} * source_size + before) / target)"
+    root = f"sqrt(w_start * w_start + (w_end * w_end - w_start * w_start) * {share})"
+    return f"CASE WHEN copies > 0 THEN CASE WHEN {share} <= 0 THEN 0 ELSE (w_start + w_end) * {share} / (w_start + {root}) END END"
+
+
+#: The mix with the training positions of each document's first and last copy.
+POSITIONS_SQL = (
+    MIX_SQL[: MIX_SQL.rindex("\nSELECT doc_id")]
+    + """,
+f AS (
+  SELECT e.*, CAST([0.5, 2.0, 4.5][CAST(weight AS INT)] AS DOUBLE) AS w_start, CAST([1.5, 2.0, 1.5][CAST(weight AS INT)] AS DOUBLE) AS w_end,
+    epochs + CASE WHEN before < CAST(floor(e.target) AS BIGINT) - epochs * e.source_size THEN 1 ELSE 0 END AS copies
+  FROM e JOIN w ON e.source IS NOT DISTINCT FROM w.source)"""
+    + MIX_SQL[MIX_SQL.rindex("\nSELECT doc_id") :].replace(
+        " AS taken\nFROM e", f" AS taken,\n  {_place('0')} AS first_position,\n  {_place('(copies - 1)')} AS last_position\nFROM f"
+    )
+)
+
+
+@query("op5_curriculum_mix", POSITIONS_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(written(mixing.sized(table(spark, sf_dir, "documents")), "sized"))
-    return mixed.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    return mixing.trained_on(table(spark, sf_dir, "documents"))
 
 
 @query("op6_secret_scan")
