@@ -106,3 +106,13 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 300), (7, 7)] + [(1000, 1000 + i) for i in range(1, 40)]
     found = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[i] == 0 for i in range(51)) and found[300] == 100 and found[1020] == 1000
+
+
+def test_repeated_id_with_two_texts(spark):
+    """Both texts of an id keep their links, in whatever order the rows are read."""
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, near), (1, other), (2, near + " tail"), (3, other + " tail")]
+    for order in (rows, rows[::-1]):
+        found = sorted((r.doc_id, r.n_links) for r in ngram_join.join(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect())
+        assert found == [(1, 1), (1, 1), (2, 1), (3, 1)]

@@ -256,9 +256,10 @@ def links(docs: DataFrame, classes: DataFrame, grouped: DataFrame, size: int, pe
                     key, rows = (lead, i, j), []
                 if node not in known:
                     h = shingles(text or "", size)
-                    known[node] = h if set_id(h) == node else None
-                if known[node] is not None:  # else another row with the same id
-                    rows.append((node, chunk == i, n_docs, its_leads, known[node]))
+                    if set_id(h) != node:  # another row with the same id
+                        continue
+                    known[node] = h
+                rows.append((node, chunk == i, n_docs, its_leads, known[node]))
         yield finished()
 
     return stream_map(dealt, run, "a long, b long, n long")
