@@ -1,4 +1,4 @@
-"""Registered queries: each applies one operator, with its production parameters, to the whole ``documents`` table."""
+"""Registered queries: each applies one operator, with its production parameters, to the whole ``documents`` or ``embeddings`` table."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import classifier, language, minhash, mixing, ngram_join, packing, rules, secrets, sharding, suffix_dedup
+from ticketlens.llm import classifier, exact_dedup, language, minhash, mixing, negatives, ngram_join, packing, rules, secrets, sharding, suffix_dedup, whitening
 from ticketlens.llm.common import table
 from ticketlens.runtime import written
 
@@ -129,3 +129,55 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.with_near(table(spark, sf_dir, "documents"))
+
+
+EXACT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(length(text), 0) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
+  FROM documents)
+SELECT doc_id, text_sha256,
+  first_value(doc_id) OVER w AS keep_id,
+  count(*) OVER (PARTITION BY text_sha256) AS group_size,
+  row_number() OVER w = 1 AS kept
+FROM d
+WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
+"""
+
+
+@query("op11_exact_dedup", EXACT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    longest_first = -F.coalesce(F.length("text"), F.lit(0))
+    return exact_dedup.copies(table(spark, sf_dir, "documents"), longest_first)
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+NEGATIVES_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+e AS (SELECT vec_id, label, unnest(q) AS v, generate_subscripts(q, 1) AS i FROM r),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(sum(a.v * b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.i = b.i WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+WHERE 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(rows.select("vec_id", moved.alias("label"), "embedding"), F.col("id") % 50 == 0)
