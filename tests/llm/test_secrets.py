@@ -1,5 +1,9 @@
+import base64
 import hashlib
+import json
+import random
 import re
+import time
 import zlib
 
 from ticketlens.llm import secrets
@@ -55,3 +59,67 @@ def test_redaction(odd_docs, no_docs):
     automaton = secrets.keyword_automaton()
     assert not any(s[0] in ORDER for r in out.values() for s in secrets.find_spans(r.text or "", automaton))
     assert secrets.scan(odd_docs).filter("doc_id = 15").first().spans[0].kind == "assign"
+
+
+def deep_header(depth: int) -> str:
+    head = base64.urlsafe_b64encode(('{"a":' + "[" * depth).encode()).decode().rstrip("=")
+    return f"{head}.abc.def"
+
+
+def test_deep_header_is_no_secret(spark):
+    """JSON nested deeper than any header, closed and unclosed, a text and a number: no span and no error."""
+    closed = base64.urlsafe_b64encode(('{"alg":' + "[" * 90_000 + "]" * 90_000 + "}").encode()).decode().rstrip("=")
+    text_only = base64.urlsafe_b64encode(b'{"x":"alg"}').decode().rstrip("=")
+    texts = [deep_header(100_000), f"{closed}.a.b", f"{text_only}.a.b", "eyJ" + "9" * 9000 + ".a.b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.spans for r in secrets.digest(docs).orderBy("doc_id").collect()] == [secrets.joined([("hex", 3, 9003)]) if i == 3 else "" for i in range(4)]
+    assert [r.text for r in secrets.redacted(docs).orderBy("doc_id").collect()][:3] == texts[:3]
+
+
+def test_long_runs_take_linear_time():
+    automaton = secrets.keyword_automaton()
+    for text in ("eyJ" * 350_000, "eyJ" * 350_000 + ".", "eyJa." * 200_000, "AKIA" * 250_000, "token" * 200_000, "ghp_" * 250_000, "-----BEGIN " * 90_000):
+        began = time.process_time()
+        secrets.find_spans(text, automaton)
+        assert time.process_time() - began < 2, text[:12]
+
+
+def slow_spans(text):
+    """All kinds by plain search from every position after the last match."""
+    spans = []
+    for kind, pattern in (*secrets.PATTERNS.items(), ("hex", re.compile("[0-9a-f]+"))):
+        at = 0
+        while match := pattern.search(text, at):
+            at = match.end()
+            if len(match.group()) >= 24 if kind == "hex" else good(kind, match):
+                spans.append((kind, match.start(), match.end()))
+    return sorted(spans, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+def good(kind, match):
+    if kind == "jwt":
+        head = match.group().split(".")[0]
+        try:
+            header = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+        except ValueError:
+            return False
+        return isinstance(header, dict) and "alg" in header
+    if kind in ("github", "npm"):
+        value = zlib.crc32(match.group()[4:-6].encode())
+        digits = [secrets.BASE62[value // 62**i % 62] for i in reversed(range(6))]
+        return match.group()[-6:] == "".join(digits)
+    return len(match[2]) >= 6 if kind == "assign" else len(match.group()) >= 20 if kind == "access" else True
+
+
+def test_random_texts_of_the_patterns_alphabets():
+    rnd, automaton = random.Random(4), secrets.keyword_automaton()
+    body = "abcdefghijklmnopqrstuvwxyz0123"
+    pieces = ["eyJ", "EYJ", "eyj", "eyJhbGciOiJIUzI1NiJ9", "eyJhbGciOiJIUzI1NiJ9.a.", ".", "..", "a", "-", "_", "AKIA", "akia", "Z9" * 8, "token", "Secret", "api_key", "apikey", "=", ":", " ", '"', "'", "abcdef", "ghp_", "npm_", body,
+              body + secrets.base62_crc(body), f"ghp_{body}{secrets.base62_crc(body)}", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-----END ", "0123456789abcdef", "\n", "é"]
+    kinds = set()
+    for _ in range(6000):
+        text = "".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 14)))
+        want = slow_spans(text)
+        assert secrets.find_spans(text, automaton) == want, text
+        kinds.update(s[0] for s in want)
+    assert kinds >= {"assign", "access", "hex", "github", "npm", "jwt"}

@@ -41,6 +41,7 @@ PATTERNS = {
     "pem": re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )?PRIVATE KEY-----"),
 }
 HEX_RE = re.compile(r"[0-9a-f]{24,}")
+RUNS = {"jwt": re.compile(r"eyJ[A-Za-z0-9_-]*")}
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 SCHEMA = "spans array<struct<kind: string, begin: long, stop: long>>"
@@ -66,9 +67,10 @@ def base62_crc(body: str) -> str:
 def _is_json_header(token: str) -> bool:
     head = token.split(".", 1)[0]
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except (ValueError, TypeError):
+        header = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+    except (ValueError, RecursionError):  # no JSON, or nested too deep for a header
         return False
+    return isinstance(header, dict) and "alg" in header
 
 
 def valid(kind: str, match: re.Match) -> bool:
@@ -83,7 +85,11 @@ def valid(kind: str, match: re.Match) -> bool:
 
 
 def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
-    """All spans by start, then kind as listed."""
+    """All spans by start, then kind as listed.
+
+    A pattern of ``RUNS`` begins with a run of one class and fails for what follows that run, so where it fails at a hit it fails at all
+    hits in the rest of the run; they are passed over, and the time stays in proportion to the text.
+    """
     hits: dict[str, list[int]] = {}
     for last, (length, kind) in automaton.iter(ascii_lower(text)):
         hits.setdefault(kind, []).append(last - length + 1)
@@ -91,10 +97,14 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, i
     for kind, starts in hits.items():
         free, pattern = 0, PATTERNS[kind]
         for start in sorted(starts):
-            if start >= free and (match := pattern.match(text, start)):
+            if start < free:
+                continue
+            if match := pattern.match(text, start):
                 free = match.end()
                 if valid(kind, match):
                     spans.append((kind, start, match.end()))
+            elif kind in RUNS and (run := RUNS[kind].match(text, start)):
+                free = run.end()
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
