@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ticketlens import fixtures as X
 from ticketlens import params
+from ticketlens.catalog.oracle_parts import INPUTS
 from ticketlens.catalog.registry import query
 from ticketlens.catalog.tables import rounded
 from ticketlens.functions.vectors import nearest_centroid
@@ -16,7 +17,8 @@ from ticketlens.operators import metrics as M
 from ticketlens.operators import semantics as S
 from ticketlens.operators.features import build_features
 from ticketlens.operators.prepare import drop_leaks, prepare
-from ticketlens.operators.split import customer_folds
+from ticketlens.operators.folds import fold_balance, stratified_customer_folds
+from ticketlens.operators.split import stratified_split
 from ticketlens.operators.training import feature_matrix, input_names
 from ticketlens.plans.end_to_end import Run, run
 from ticketlens.runtime import pinned, scratch_path
@@ -228,7 +230,7 @@ def save_load_semantics(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ boosted trees
-TREES = 8
+TREES = params.BOOSTING["trees"]
 _LABELLED_BY_ONE = """CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END"""
 
 
@@ -239,15 +241,26 @@ def known_tickets(spark, sf_dir):
     return tickets.withColumn("ULTIMO_CANCELAMENTO", F.when(decides, F.coalesce("DATA_REGISTRO", F.current_timestamp().cast("timestamp_ntz"))))
 
 
-def known_training(spark, sf_dir, **settings) -> training.TrainingRun:
-    """Training on the numeric columns and all row features of these tickets."""
-    return training.train(build_features(prepare(known_tickets(spark, sf_dir))), **settings)
+def known_features(spark, sf_dir):
+    """All row features of these tickets, with their groups and moods; without identifiers."""
+    return drop_leaks(build_features(X.as_semantic(known_tickets(spark, sf_dir))), [c for c in params.LEAK_COLUMNS if c != params.TICKET])
+
+
+_KNOWN: dict[tuple[str, str], training.TrainingRun] = {}
+
+
+def known_training(spark, sf_dir) -> training.TrainingRun:
+    """The production training on all row features, all trees, once per session and table folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KNOWN:
+        _KNOWN[key] = training.train(stratified_split(known_features(spark, sf_dir)).drop(params.TICKET))
+    return _KNOWN[key]
 
 
 @query("M15_boosted_trees", f"SELECT {TREES}::BIGINT * max({_LABELLED_BY_ONE}) AS trees, {TREES}::BIGINT * max({_LABELLED_BY_ONE}) AS led_by_it FROM events")
 def boosted_trees(spark, sf_dir):
     """All trees are fitted, and the deciding column leads in each of them."""
-    done = known_training(spark, sf_dir, trees=TREES)
+    done = known_training(spark, sf_dir)
     leading = [done.inputs[int(t.featureImportances.toArray().argmax())] for t in done.model.stages[-1].trees if t.depth > 0]
     trees = spark.createDataFrame([(name,) for name in leading], "leading string")
     return trees.agg(F.count("*").alias("trees"), F.count_if(F.col("leading") == "MESES").alias("led_by_it"))
@@ -265,15 +278,13 @@ def predict_probability(spark, sf_dir):
     )
 
 
-_INPUTS = ["TICKET_MEDIO", "IDADE_APROX", "MESES"]
 _KNOWN_IMPORTANCES = f"""SELECT feature, CASE WHEN feature = 'MESES' THEN CAST(max({_LABELLED_BY_ONE}) AS DOUBLE) ELSE 0.0::DOUBLE END AS importance
-FROM events, (VALUES {', '.join(f"('{n}')" for n in _INPUTS)}) t(feature) GROUP BY feature"""
+FROM events, (VALUES {', '.join(f"('{n}')" for n in INPUTS)}) t(feature) GROUP BY feature"""
 
 
 def known_importances(spark, sf_dir):
-    """The deciding column has all the importance, the others none."""
-    run_ = training.train(prepare(known_tickets(spark, sf_dir)), trees=TREES)
-    return run_.importances
+    """The deciding column has all the importance, the other inputs none."""
+    return known_training(spark, sf_dir).importances
 
 
 @query("M17_feature_importances", _KNOWN_IMPORTANCES)
@@ -331,7 +342,7 @@ FROM events, (VALUES ('train'), ('validation'), ('test')) t(dataset) GROUP BY da
 @query("M18_training_metrics", _PERFECT)
 def training_metrics(spark, sf_dir):
     """Metrics of each split at the threshold chosen on validation; of equally good thresholds the lowest is chosen."""
-    result = known_training(spark, sf_dir, trees=TREES)
+    result = known_training(spark, sf_dir)
     return rounded(result.metrics, "auc_roc", "precision", "recall", "f1_score").withColumn("threshold", F.lit(result.threshold))
 
 
@@ -348,28 +359,70 @@ FROM known, (VALUES {_STORED_ROWS}) t(dataset, a, p, r, f)""",
 )
 def end_to_end_run(spark, sf_dir):
     """The report's comparison table at the end of a run from raw tickets whose label is known."""
-    table = run(known_tickets(spark, sf_dir), trees=TREES).reports["comparison"]
+    table = run(known_tickets(spark, sf_dir)).reports["comparison"]
     names = ("auc_roc", "precision", "recall", "f1_score")
     return rounded(table, *names, *[f"delta_{n}" for n in names])
 
 
 @query("D4_logistic_baseline", _PERFECT)
 def logistic_baseline(spark, sf_dir):
-    result = known_training(spark, sf_dir, pipeline=training.logistic_baseline)
+    split = stratified_split(known_features(spark, sf_dir)).drop(params.TICKET)
+    result = training.train(split, pipeline=training.logistic_baseline)
     return rounded(result.metrics, "auc_roc", "precision", "recall", "f1_score").withColumn("threshold", F.lit(result.threshold))
 
 
+_FOLDS = 3
+
+
+def _deal(folds: int) -> str:
+    """Customers in dealing order, and every round played one after another: the fold of each place of a round."""
+    return f"""customers AS (
+  SELECT ID_CLIENTE, count(*) AS rows, CAST(sum(TARGET) AS BIGINT) AS positives, md5(concat(CAST(ID_CLIENTE AS string), ':42')) AS h FROM known GROUP BY ID_CLIENTE),
+dealt AS (SELECT *, row_number() OVER (ORDER BY positives DESC, rows DESC, h) - 1 AS place FROM customers),
+seats AS (SELECT *, place // {folds} AS round, row_number() OVER (PARTITION BY place // {folds} ORDER BY rows DESC, place) AS seat FROM dealt),
+rounds AS (SELECT round, list(rows ORDER BY seat) AS sizes FROM seats GROUP BY round),
+played AS (
+  SELECT CAST(-1 AS BIGINT) AS round, [CAST(0 AS BIGINT) FOR x IN range({folds})] AS loads, CAST([] AS BIGINT[]) AS folds
+  UNION ALL
+  SELECT r.round, [coalesce(p.loads[f + 1] + r.sizes[list_position(o.folds, f)], p.loads[f + 1]) FOR f IN range({folds})], o.folds
+  FROM played p JOIN rounds r ON r.round = p.round + 1,
+    LATERAL (SELECT [x % {folds} FOR x IN list_sort([p.loads[f + 1] * {folds} + f FOR f IN range({folds})])] AS folds) o)"""
+
+
+def _known(folds: int) -> str:
+    views = X.oracle_views("tickets").replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"""{views}, known AS (SELECT PROTOCOLO, ID_CLIENTE, {_LABELLED_BY_ONE.replace('event_id', 'PROTOCOLO')} AS TARGET FROM tickets), {_deal(folds)},
+placed AS (SELECT PROTOCOLO, known.ID_CLIENTE, TARGET, CAST(p.folds[seat] AS INTEGER) AS fold
+  FROM known JOIN seats USING (ID_CLIENTE) JOIN played p ON p.round = seats.round)"""
+
+
+def _folded(spark, sf_dir, folds):
+    tickets = X.as_semantic(known_tickets(spark, sf_dir))
+    return stratified_customer_folds(tickets, folds, salt_by=["PROTOCOLO"])
+
+
+@query("D3_stratified_folds", f"{_known(5)} SELECT PROTOCOLO, ID_CLIENTE, TARGET, fold FROM placed")
+def stratified_folds(spark, sf_dir):
+    """Folds by customer, even in rows and in positives."""
+    return _folded(spark, sf_dir, 5).select("PROTOCOLO", "ID_CLIENTE", "TARGET", "fold")
+
+
+@query(
+    "D3_fold_balance",
+    f"""{_known(5)} SELECT fold, count(*) AS rows, CAST(sum(TARGET) AS BIGINT) AS positives, count(DISTINCT ID_CLIENTE) AS customers, 0::BIGINT AS shared_customers
+FROM placed GROUP BY fold""",
+)
+def folds_in_balance(spark, sf_dir):
+    return fold_balance(_folded(spark, sf_dir, 5))
+
+
 @query(
     "D3_cross_validation",
-    f"""{X.oracle_views('tickets_semantic')}, f AS (SELECT TARGET,
-  CAST(CAST('0x' || substr(md5(concat(CAST(ID_CLIENTE AS string), ':42')), 1, 12) AS BIGINT) % 3 AS INTEGER) AS fold FROM tickets_semantic)
-SELECT fold, count(*) AS rows, CAST(sum(TARGET) AS BIGINT) AS positives, true AS auc_valid FROM f GROUP BY fold""",
+    f"{_known(_FOLDS)} SELECT fold, count(*) AS rows, CAST(sum(TARGET) AS BIGINT) AS positives, 1.0::DOUBLE AS auc_roc FROM placed GROUP BY fold",
 )
 def cross_validation(spark, sf_dir):
-    """Customer-grouped folds for the linear baseline."""
-    df = build_features(customer_folds(X.tickets_semantic(spark, sf_dir), 3))
-    matrix = pinned(feature_matrix(drop_leaks(df), carry=["fold"]))
-    inputs = input_names(matrix, ["fold"])
-    auc = training.cross_validate(matrix, inputs, 3, training.logistic_baseline)
-    counts = matrix.groupBy("fold").agg(F.count("*").alias("rows"), F.sum("label").alias("positives"))
-    return counts.withColumn("auc_valid", F.lit(0 <= auc[0] <= 1))
+    """All trees on all row features, fitted on the other folds; one column decides the label, so each fold's AUC is 1."""
+    folded = stratified_customer_folds(X.as_semantic(known_tickets(spark, sf_dir)), _FOLDS, salt_by=["PROTOCOLO"])
+    matrix = pinned(feature_matrix(drop_leaks(build_features(folded)), carry=["fold"]))
+    scored = training.out_of_fold(matrix, input_names(matrix, ["fold"]), _FOLDS, parallelism=_FOLDS)
+    return rounded(training.evaluate_folds(scored), "auc_roc")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -177,6 +180,27 @@ def cross_validate(
     return list(validator.fit(matrix).avgMetrics)
 
 
+def out_of_fold(
+    matrix: DataFrame, inputs: Sequence[str], folds: int, pipeline=boosted_trees, parallelism: int = 1, **settings
+) -> DataFrame:
+    """(fold, y, p): every row scored by a model fitted on the other folds. ``parallelism`` models are fitted at a time."""
+    checkpoint_base(matrix.sparkSession)
+
+    def scored(fold: int) -> DataFrame:
+        model = fit_model(matrix.filter(F.col("fold") != fold), pipeline(inputs, **settings))
+        return predict(model, matrix.filter(F.col("fold") == fold), ["fold"])
+
+    with ThreadPool(min(parallelism, folds)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(matrix.sparkSession)(scored), range(folds)))
+
+
+def evaluate_folds(scored: DataFrame) -> DataFrame:
+    """Rows, positives and exact ROC AUC of each fold of ``out_of_fold``; null for a fold of one class."""
+    table = M.evaluate(pinned(scored), params.FALLBACK_THRESHOLD, ["fold"])
+    positives = F.col("tp") + F.col("fn")
+    return table.select("fold", (positives + F.col("fp") + F.col("tn")).alias("rows"), positives.alias("positives"), "auc_roc")
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
