@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from ticketlens import params
 from ticketlens.catalog.oracle_parts import INPUTS
 from ticketlens.catalog.registry import query
 from ticketlens.catalog.tables import rounded
-from ticketlens.functions.vectors import nearest_centroid
+from ticketlens.functions.vectors import distance_to, is_vector, nearest_centroid, squared_norm
 from ticketlens.operators import encoders, training
 from ticketlens.operators import metrics as M
 from ticketlens.operators import semantics as S
@@ -57,7 +59,7 @@ _SPLIT_TEXTS = f"""{X.oracle_views('split_semantic')}, texts AS (
 
 def _unit_norms(encoder, dictionary):
     encoded = encoder.encode(dictionary, "text")
-    square = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+    square = squared_norm("embedding", is_vector(encoded, "embedding"))
     return encoded.groupBy("tab").agg(
         F.count("*").alias("texts"), F.count_if(F.abs(square - 1) < 1e-5).alias("unit_vectors")
     )
@@ -96,20 +98,27 @@ def batch_encoder(spark, sf_dir):
     return _unit_norms(encoders.BatchEncoder(letter_counts, 64), dictionary)
 
 
-@query("M3_kmeans_fit", f"{_SPLIT_TEXTS} SELECT count(DISTINCT text) AS texts, count(DISTINCT text) AS at_nearest FROM texts WHERE tab = 'TAB_N3'")
+def _at_nearest(encoded, k):
+    """Texts, and how many belong to the centroid that is nearest by direct comparison."""
+    vector = is_vector(encoded, "embedding")
+    model = S.fit_clusters(encoded, k)
+    centroids = list(enumerate(model.clusterCenters()))
+    checked = model.transform(encoded).withColumn("best", nearest_centroid("embedding", centroids, vector))
+    own = F.element_at(F.array(*[distance_to("embedding", c, vector) for _, c in centroids]), F.col("cluster_id") + 1)
+    return checked.agg(F.count("*").alias("texts"), F.count_if(own <= F.col("best.distance") + 1e-9).alias("at_nearest"))
+
+
+@query("M3_kmeans_fit", f"{_TEXTS_PER_TAB} at_nearest FROM texts GROUP BY tab")
 def kmeans_fit(spark, sf_dir):
-    """Every text belongs to the centroid that is nearest by direct comparison."""
-    dictionary = pinned(S.text_dictionary(X.tickets(spark, sf_dir), ["TAB_N3"]))
-    encoded = pinned(encoders.fit_hashed_tfidf(dictionary).encode(dictionary, "text"))
-    model = S.fit_clusters(encoded, 6)
-    centroids = [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())]
-    checked = model.transform(encoded).withColumn("best", nearest_centroid("embedding", centroids))
-    own = F.element_at(
-        F.array(*[nearest_centroid("embedding", [c])["distance"] for c in centroids]), F.col("cluster_id") + 1
-    )
-    return checked.agg(
-        F.count("*").alias("texts"), F.count_if(own <= F.col("best.distance") + 1e-9).alias("at_nearest")
-    )
+    """Each text level with its own number of clusters."""
+    dictionary = pinned(S.text_dictionary(X.tickets(spark, sf_dir), list(params.CLUSTERS_PER_TAB)))
+    parts = []
+    for tab, clusters in params.CLUSTERS_PER_TAB.items():
+        own = dictionary.filter(F.col("tab") == tab)
+        texts, rows = own.agg(F.count("*"), F.sum("n")).first()
+        encoded = pinned(encoders.fit_hashed_tfidf(own).encode(own, "text"))
+        parts.append(_at_nearest(encoded, S.cluster_count(clusters, rows, texts)).withColumn("tab", F.lit(tab)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -117,14 +126,9 @@ def kmeans_fit(spark, sf_dir):
     "SELECT count(DISTINCT trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS texts, count(DISTINCT trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS at_nearest FROM documents",
 )
 def kmeans_of_documents(spark, sf_dir):
-    """The same with very many more texts than clusters: whole documents, 18 clusters."""
+    """The same with very many more texts than clusters: whole documents, 18 clusters, the default encoder."""
     dictionary = pinned(S.text_dictionary(X.documents(spark, sf_dir).select("text"), ["text"]))
-    encoded = pinned(encoders.fit_hashed_tfidf(dictionary, size=128).encode(dictionary, "text"))
-    model = S.fit_clusters(encoded, 18)
-    centroids = [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())]
-    checked = model.transform(encoded).withColumn("best", nearest_centroid("embedding", centroids))
-    own = F.element_at(F.array(*[nearest_centroid("embedding", [c])["distance"] for c in centroids]), F.col("cluster_id") + 1)
-    return checked.agg(F.count("*").alias("texts"), F.count_if(own <= F.col("best.distance") + 1e-9).alias("at_nearest"))
+    return _at_nearest(pinned(encoders.fit_hashed_tfidf(dictionary).encode(dictionary, "text")), 18)
 
 
 @query(

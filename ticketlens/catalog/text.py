@@ -207,12 +207,18 @@ def _precomputed(spark, sf_dir):
     return TableEncoder(table)
 
 
+#: Each level's text is made of another number of the ticket.
+_CODES = {"TAB_N1": "CODIGO", "TAB_N2": "CODIGO * 7 % 997", "TAB_N3": "PROTOCOLO % 613"}
+
+
 def _coded(spark, sf_dir):
-    """Tickets with a text that the embedding table partly knows."""
-    return X.tickets(spark, sf_dir).select("PROTOCOLO", F.concat(F.lit("v"), F.col("CODIGO").cast("string")).alias("TAB_N1"))
+    """Tickets with texts that the embedding table partly knows, in all levels."""
+    texts = [F.concat(F.lit("v"), F.expr(code).cast("string")).alias(tab) for tab, code in _CODES.items()]
+    return X.tickets(spark, sf_dir).select("PROTOCOLO", *texts)
 
 
-_CODED = f"{X.oracle_views('tickets')}, coded AS (SELECT PROTOCOLO, 'v' || CAST(CODIGO AS string) AS text FROM tickets)"
+_CODED = f"""{X.oracle_views('tickets')}, wide AS (SELECT PROTOCOLO, {', '.join(f"'v' || CAST({code} AS string) AS {tab}" for tab, code in _CODES.items())} FROM tickets),
+coded AS (SELECT PROTOCOLO, TAB_N1 AS text FROM wide)"""
 
 
 @query(
@@ -227,16 +233,26 @@ def precomputed_encoder(spark, sf_dir):
     return encoded.select("text", "n", F.round(square, 6).alias("square"))
 
 
+_NAMES = {"TAB_N1": "grupo", "TAB_N2": "tema", "TAB_N3": "caso"}
+
+
 def _given_model(spark, sf_dir):
-    """A level model from given tables: class means as centroids, the mean of all as direction, some labels."""
+    """Level models from given tables: class means as centroids, the mean of all as direction, some labels."""
     df = X.embeddings(spark, sf_dir)
-    centroids = [c for _, c in S.group_centroids(df, "label")]
-    weights = S.group_centroids(df.withColumn("everything", F.lit(0)), "everything")[0][1]
-    labels = tuple((i, f"grupo {i}") for i in range(0, len(centroids), 2))
-    level = S.LevelModel(
-        "TAB_N1", _precomputed(spark, sf_dir), S.GivenCentroids(tuple(tuple(c) for c in centroids)), labels, tuple(weights), (0.0, 0.02)
-    )
-    return S.SemanticModel({"TAB_N1": level})
+    centroids = S.GivenCentroids(tuple(tuple(c) for _, c in S.group_centroids(df, "label")))
+    weights = tuple(S.group_centroids(df.withColumn("everything", F.lit(0)), "everything")[0][1])
+    encoder = _precomputed(spark, sf_dir)
+    levels = {}
+    for tab, name in _NAMES.items():
+        labels = tuple((i, f"{name} {i}") for i in range(0, len(centroids.centroids), 2))
+        levels[tab] = S.LevelModel(tab, encoder, centroids, labels, weights, (0.0, 0.02))
+    return S.SemanticModel(levels)
+
+
+def _given_columns(tab: str) -> str:
+    return f"""wide.{tab}, CASE WHEN {tab}_m.text IS NULL THEN NULL WHEN {tab}_m.cluster_id % 2 = 0 THEN '{_NAMES[tab]} ' || CAST({tab}_m.cluster_id AS string)
+  ELSE 'cluster_' || CAST({tab}_m.cluster_id AS string) END AS {tab}_GROUP, round({tab}_m.score, 9) AS {tab}_SENT_SCORE,
+  CASE WHEN {tab}_m.score <= 0 THEN 'insatisfacao' WHEN {tab}_m.score >= 0.02 THEN 'positivo' ELSE 'neutro' END AS {tab}_SENT_LABEL"""
 
 
 _GIVEN = f"""{_CODED}, {_LONG}, c AS (SELECT label AS cluster_id, i, avg(v) AS m FROM long GROUP BY ALL),
@@ -244,31 +260,34 @@ d AS (SELECT vec_id, cluster_id, sum((v - m) * (v - m)) AS distance FROM long JO
 w AS (SELECT i, avg(v) AS m FROM long GROUP BY i),
 s AS (SELECT vec_id, sum(v * m) AS score FROM long JOIN w USING (i) GROUP BY vec_id),
 a AS (SELECT vec_id, arg_min(cluster_id, distance) AS cluster_id FROM d GROUP BY vec_id),
-model AS (SELECT 'v' || CAST(vec_id AS string) AS text, CASE WHEN cluster_id % 2 = 0 THEN 'grupo ' ELSE 'cluster_' END || CAST(cluster_id AS string)
-  AS grp, score FROM a JOIN s USING (vec_id))
-SELECT PROTOCOLO, text AS TAB_N1, grp AS TAB_N1_GROUP, round(score, 9) AS TAB_N1_SENT_SCORE,
-  CASE WHEN score <= 0 THEN 'insatisfacao' WHEN score >= 0.02 THEN 'positivo' ELSE 'neutro' END AS TAB_N1_SENT_LABEL
-FROM coded LEFT JOIN model USING (text)"""
+model AS (SELECT 'v' || CAST(vec_id AS string) AS text, cluster_id, score FROM a JOIN s USING (vec_id))
+SELECT PROTOCOLO, {', '.join(map(_given_columns, _NAMES))}
+FROM wide {' '.join(f'LEFT JOIN model {tab}_m ON {tab}_m.text = wide.{tab}' for tab in _NAMES)}"""
+
+
+def _given_result(enriched):
+    names = [c for c in enriched.columns if not c.endswith("_CLUSTER")]
+    return rounded(enriched.select(*names), *[f"{tab}_SENT_SCORE" for tab in _NAMES], digits=9)
 
 
 @query("M8_semantic_transform", _GIVEN)
 def semantic_transform(spark, sf_dir):
-    enriched = _given_model(spark, sf_dir).transform(_coded(spark, sf_dir), ["PROTOCOLO"])
-    return rounded(enriched, "TAB_N1_SENT_SCORE", digits=9)
+    """All levels."""
+    return _given_result(_given_model(spark, sf_dir).transform(_coded(spark, sf_dir), ["PROTOCOLO"]))
 
 
 @query("X3_own_encoder", _GIVEN)
 def own_encoder(spark, sf_dir):
-    """An encoder is any object with ``encode``; the row-by-row path gives what the dictionary path gives."""
+    """An encoder is any object with ``encode``; the row-by-row path gives what the dictionary path gives, in all levels."""
+    inner = _precomputed(spark, sf_dir)
 
     class Known:
         def encode(self, df, text):
-            return _precomputed(spark, sf_dir).encode(df, text)
+            return inner.encode(df, text)
 
-    level = _given_model(spark, sf_dir).levels["TAB_N1"]
-    own = S.LevelModel(level.tab, Known(), level.kmeans, level.labels, level.weights, level.bounds)
-    enriched = S.SemanticModel({"TAB_N1": own}).transform_rows(_coded(spark, sf_dir))
-    return rounded(enriched, "TAB_N1_SENT_SCORE", digits=9)
+    given = _given_model(spark, sf_dir).levels
+    own = {tab: S.LevelModel(tab, Known(), m.kmeans, m.labels, m.weights, m.bounds) for tab, m in given.items()}
+    return _given_result(S.SemanticModel(own).transform_rows(_coded(spark, sf_dir)))
 
 
 @query(

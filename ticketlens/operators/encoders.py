@@ -1,6 +1,7 @@
-"""Text encoders: a fitted encoder adds an ``embedding array<float>`` column to a table with a text column.
+"""Text encoders: a fitted encoder adds an ``embedding`` column to a table with a text column.
 
-Any object with ``encode(df, text) -> df + embedding`` and ``save(path)`` is an encoder. Encoders are fitted on
+An embedding is an ML vector, sparse where most places are 0 so that it costs what the text has terms, or an ``array<float>`` from encoders
+that have it so; clustering, projection and saving take both. Any object with ``encode(df, text) -> df + embedding`` and ``save(path)`` is an encoder. Encoders are fitted on
 a dictionary of distinct texts, so a text that stands on a billion rows is encoded once.
 """
 
@@ -48,7 +49,7 @@ class MlEncoder:
     def encode(self, df: DataFrame, text: str) -> DataFrame:
         with_terms = df.withColumn(_TERMS, word_and_trigram_terms(F.coalesce(F.col(text), F.lit(""))))
         out = self.stages.transform(with_terms)
-        return out.select(*df.columns, vector_to_array(_UNIT, "float32").alias(EMBEDDING))
+        return out.select(*df.columns, F.col(_UNIT).alias(EMBEDDING))
 
     def save(self, path: str) -> None:
         self.stages.write().overwrite().save(path)
@@ -59,7 +60,7 @@ class MlEncoder:
 
 
 def fit_hashed_tfidf(dictionary: DataFrame, text: str = "text", size: int = 2_048) -> MlEncoder:
-    """Hashed term frequencies, weighted by rarity, at unit length.
+    """Hashed term frequencies, weighted by rarity, at unit length, as sparse vectors.
 
     Terms share ``size`` places; with a large vocabulary give a larger one (``partial(fit_hashed_tfidf, size=...)``).
     """

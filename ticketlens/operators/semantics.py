@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from ticketlens import params, schemas
 from ticketlens.functions.text import label_sentiment, prepare_text
-from ticketlens.functions.vectors import nearest_centroid, project_score
+from ticketlens.functions.vectors import is_vector, nearest_centroid, project_score
 from ticketlens.operators.clusters import cluster_keywords
+from ticketlens.operators.direction import seed_direction
 from ticketlens.operators.encoders import EMBEDDING, fit_hashed_tfidf, load_encoder, save_encoder
 from ticketlens.operators.joins import attach_cluster_label, lookup_join
 from ticketlens.runtime import local_table, pinned, shuffle_parts
@@ -85,40 +86,14 @@ def fit_clusters(
 
     Texts that all have one vector are one cluster.
     """
-    different = encoded.select(EMBEDDING).distinct().take(2)
-    if len(different) == 1:
-        return GivenCentroids((tuple(float(v) for v in different[0][0]),))
+    plain = F.unwrap_udt(EMBEDDING) if is_vector(encoded, EMBEDDING) else F.col(EMBEDDING)
+    if len(encoded.select(plain).distinct().take(2)) == 1:
+        only = encoded.select(EMBEDDING).first()[0]
+        return GivenCentroids((tuple(float(v) for v in (only.toArray() if hasattr(only, "toArray") else only)),))
     means = KMeans(k=k, seed=seed, maxIter=iterations, featuresCol=EMBEDDING, predictionCol="cluster_id", weightCol=n)
     return means.fit(encoded)
 
 
-def seed_direction(seeds: DataFrame) -> list[float] | None:
-    """Minimum-norm least-squares solution of ``embedding . w = score`` over the seeds; None without seeds.
-
-    Any number of seeds: only the sums of products of their entries other than 0 come to the driver, at most the square of the
-    embedding's length.
-    """
-    rows = seeds.filter(F.col(EMBEDDING).isNotNull()).select(
-        F.size(EMBEDDING).alias("d"), "score", F.posexplode(EMBEDDING).alias("i", "v"), EMBEDDING
-    )
-    d = rows.agg(F.max("d")).first()[0]
-    if d is None:
-        return None
-    rows = rows.filter(F.col("v") != 0).select("score", "i", F.col("v").cast("double").alias("v"), EMBEDDING)
-    right = rows.groupBy("i").agg(F.sum(F.col("v") * F.col("score")).alias("s")).toPandas()
-    pairs = rows.select("i", "v", F.posexplode(EMBEDDING).alias("j", "u")).filter("u <> 0")
-    products = pairs.groupBy("i", "j").agg(F.sum(F.col("v") * F.col("u")).alias("s")).toPandas()
-    used = np.unique(right["i"].to_numpy(int))
-    place = np.zeros(d, int)
-    place[used] = np.arange(len(used))
-    square, score = np.zeros((len(used), len(used))), np.zeros(len(used))
-    square[place[products["i"].to_numpy(int)], place[products["j"].to_numpy(int)]] = products["s"].to_numpy(float)
-    score[place[right["i"].to_numpy(int)]] = right["s"].to_numpy(float)
-    weights = np.zeros(d)
-    weights[used] = np.linalg.pinv(square, rcond=1e-11, hermitian=True) @ score
-    return [float(v) for v in weights]
-
-
 @dataclass(frozen=True)
 class GivenCentroids:
     """Centroids from elsewhere in place of a fitted k-means model."""
@@ -129,7 +104,8 @@ class GivenCentroids:
         return list(self.centroids)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("cluster_id", nearest_centroid(EMBEDDING, list(enumerate(self.centroids)))["cluster_id"])
+        nearest = nearest_centroid(EMBEDDING, list(enumerate(self.centroids)), is_vector(df, EMBEDDING))
+        return df.withColumn("cluster_id", nearest["cluster_id"])
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [(i, list(c)) for i, c in enumerate(self.centroids)]
@@ -143,7 +119,8 @@ class GivenCentroids:
 
 def group_centroids(df: DataFrame, group: str, embedding: str = EMBEDDING) -> list[tuple[int, list[float]]]:
     """Mean embedding per group, by group; as many rows as the model that is made of them has centroids."""
-    means = df.groupBy(group).agg(Summarizer.mean(array_to_vector(F.col(embedding).cast("array<double>"))).alias("mean"))
+    vectors = F.col(embedding) if is_vector(df, embedding) else array_to_vector(F.col(embedding).cast("array<double>"))
+    means = df.groupBy(group).agg(Summarizer.mean(vectors).alias("mean"))
     rows = means.select(group, vector_to_array("mean").alias("mean")).collect()
     return sorted((r[0], list(r[1])) for r in rows)
 
@@ -169,11 +146,13 @@ class LevelModel:
         A text without an embedding has no cluster and no score.
         """
         encoded = self.encoder.encode(df, text).withColumn("__known", F.col(EMBEDDING).isNotNull())
-        blank = F.array_repeat(F.lit(0.0).cast("float"), len(self.kmeans.clusterCenters()[0]))
+        vector = is_vector(encoded, EMBEDDING)
+        blank = F.array_repeat(F.lit(0.0).cast("double" if vector else "float"), len(self.kmeans.clusterCenters()[0]))
+        blank = array_to_vector(blank) if vector else blank
         assigned = self.kmeans.transform(encoded.withColumn(EMBEDDING, F.coalesce(EMBEDDING, blank)))
         assigned = assigned.withColumn("cluster_id", F.when(F.col("__known"), F.col("cluster_id")))
         named = attach_cluster_label(assigned, self.label_table(df.sparkSession))
-        score = F.when(F.col("__known"), project_score(EMBEDDING, self.weights))
+        score = F.when(F.col("__known"), project_score(EMBEDDING, self.weights, vector))
         return (
             named.withColumn("sentiment_score", score)
             .withColumn("sentiment_label", label_sentiment("sentiment_score", self.bounds))
@@ -199,6 +178,8 @@ def fit_level(
     placed = dictionary.select("text", n).repartition(shuffle_parts(spark), "text").sortWithinPartitions("text")
     encoder = fit_encoder(placed)
     encoded = pinned(encoder.encode(placed, "text").filter(F.col(EMBEDDING).isNotNull()))
+    if not encoded.take(1):
+        raise ValueError(f"no texts to fit {level.tab} on: none of them has an embedding")
     kmeans = fit_clusters(encoded, cluster_count(level.clusters, rows, texts), n, seed)
     weights = None
     if level.seeds:
@@ -312,6 +293,22 @@ def enrich(
     return model, model.transform(df, salt_by, dictionary)
 
 
+def sparse_weights(weights: Sequence[float] | None) -> tuple[int | None, list[int] | None, list[float] | None]:
+    """(size, places, values) of a direction, which has as many entries other than 0 as its seeds have."""
+    if weights is None:
+        return None, None, None
+    places = np.flatnonzero(weights)
+    return len(weights), [int(i) for i in places], [float(weights[i]) for i in places]
+
+
+def full_weights(size: int | None, places: Sequence[int] | None, values: Sequence[float] | None) -> tuple[float, ...] | None:
+    if size is None:
+        return None
+    out = np.zeros(size)
+    out[places] = values
+    return tuple(out.tolist())
+
+
 def save_semantics(model: SemanticModel, spark: SparkSession, path: str) -> None:
     """Each level as its encoder, its k-means model and two small tables."""
     if not model.levels:
@@ -325,9 +322,8 @@ def save_semantics(model: SemanticModel, spark: SparkSession, path: str) -> None
         else:
             level.kmeans.write().overwrite().save(f"{base}/kmeans")
         write_table(level.label_table(spark), f"{base}/labels")
-        weights = list(level.weights) if level.weights is not None else None
-        row = [(tab, model.null_text, weights, *level.bounds, given)]
-        columns = "tab string, null_text string, weights array<double>, low double, high double, given boolean"
+        row = [(tab, model.null_text, *sparse_weights(level.weights), *level.bounds, given)]
+        columns = "tab string, null_text string, size int, places array<int>, weights array<double>, low double, high double, given boolean"
         write_table(spark.createDataFrame(row, columns), f"{base}/sentiment")
     write_table(spark.createDataFrame([(tab,) for tab in model.levels], "tab string").coalesce(1), f"{path}/levels")
 
@@ -351,7 +347,7 @@ def load_semantics(
             load_encoder(spark, base, encoder),
             GivenCentroids.load(spark, f"{base}/centroids") if row.given else KMeansModel.load(f"{base}/kmeans"),
             tuple(sorted((r.cluster_id, r.label) for r in labels)),
-            tuple(row.weights) if row.weights is not None else None,
+            full_weights(row.size, row.places, row.weights),
             (row.low, row.high),
         )
     return SemanticModel(levels, null_text)
