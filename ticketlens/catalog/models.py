@@ -14,13 +14,14 @@ from ticketlens.catalog.oracle_parts import INPUTS
 from ticketlens.catalog.registry import query
 from ticketlens.catalog.tables import rounded
 from ticketlens.functions.vectors import distance_to, is_vector, nearest_centroid, squared_norm
-from ticketlens.operators import encoders, training
+from ticketlens.operators import encoders, temporal, training
 from ticketlens.operators import metrics as M
 from ticketlens.operators import semantics as S
 from ticketlens.operators.features import build_features
 from ticketlens.operators.prepare import drop_leaks, prepare
 from ticketlens.operators.folds import fold_balance, stratified_customer_folds
 from ticketlens.operators.split import stratified_split
+from ticketlens.operators.temporal import with_period
 from ticketlens.operators.training import feature_matrix, input_names
 from ticketlens.plans.end_to_end import Run, run
 from ticketlens.runtime import pinned, scratch_path
@@ -430,3 +431,22 @@ def cross_validation(spark, sf_dir):
     matrix = pinned(feature_matrix(drop_leaks(build_features(folded)), carry=["fold"]))
     scored = training.out_of_fold(matrix, input_names(matrix, ["fold"]), _FOLDS, parallelism=_FOLDS)
     return rounded(training.evaluate_folds(scored), "auc_roc")
+
+
+@query(
+    "D5_rolling_origin",
+    f"""{X.oracle_views('tickets')}, w AS (SELECT CAST(date_trunc('week', DATA_REGISTRO) AS DATE) AS period, count(*) AS rows,
+  CAST(sum({_LABELLED_BY_ONE.replace('event_id', 'PROTOCOLO')}) AS BIGINT) AS positives FROM tickets WHERE DATA_REGISTRO IS NOT NULL GROUP BY 1),
+n AS (SELECT *, row_number() OVER (ORDER BY period) AS place FROM w)
+SELECT o.period AS origin, CAST(p.place - o.place + 1 AS INTEGER) AS ahead, p.period, p.rows, p.positives, 1.0::DOUBLE AS auc_roc, 0.0::DOUBLE AS auc_decay
+FROM n o JOIN n p ON p.place BETWEEN o.place AND o.place + 1 WHERE o.place > 1""",
+)
+def rolling_origin(spark, sf_dir):
+    """A linear model per week, fitted on all weeks before it, scores that week and the next one."""
+    tickets = known_tickets(spark, sf_dir)
+    at = with_period(tickets.select(params.TICKET, "DATA_REGISTRO"), "DATA_REGISTRO", "week").select(params.TICKET, "period")
+    labelled = drop_leaks(build_features(X.as_semantic(tickets).join(at, params.TICKET)))
+    matrix = pinned(feature_matrix(labelled, carry=["period"]))
+    scored = temporal.rolling_origin(matrix, input_names(matrix, ["period"]), 2, training.logistic_baseline, parallelism=4)
+    by_week = temporal.metrics_per_period(pinned(scored), 0.5, ["origin", "ahead"])
+    return rounded(by_week.select("origin", "ahead", "period", "rows", "positives", "auc_roc", "auc_decay"), "auc_roc", "auc_decay")

@@ -9,7 +9,7 @@ from ticketlens import params, schemas
 from ticketlens.catalog.oracle_parts import INDICATORS, feature_view, metrics_view, terms_view
 from ticketlens.catalog.registry import query
 from ticketlens.operators import metrics as M
-from ticketlens.operators import profile, split
+from ticketlens.operators import profile, split, temporal
 from ticketlens.operators.clusters import cluster_keywords
 from ticketlens.operators.features import build_features, occurrences
 from ticketlens.operators.prepare import add_target, drop_leaks, prepare
@@ -285,6 +285,56 @@ def temporal_split(spark, sf_dir):
     return placed.select("PROTOCOLO", "split")
 
 
+_TICKET_HASH = "md5(concat(CAST(PROTOCOLO AS string), ':42'))"
+
+
+@query(
+    "D2_temporal_shares",
+    f"""{_ALL('tickets')}, o AS (SELECT PROTOCOLO, row_number() OVER (ORDER BY DATA_REGISTRO, {_TICKET_HASH}) - 1 AS place, count(*) OVER () AS n FROM tickets
+  WHERE DATA_REGISTRO IS NOT NULL)
+SELECT PROTOCOLO, CASE WHEN place < n * 8 // 10 THEN 'train' WHEN place < n * 9 // 10 THEN 'validation' ELSE 'test' END AS split FROM o""",
+)
+def temporal_shares(spark, sf_dir):
+    """Cuts by time at exact shares of the rows."""
+    return temporal.temporal_share_split(X.tickets(spark, sf_dir), "DATA_REGISTRO").select("PROTOCOLO", "split")
+
+
+@query(
+    "D2_temporal_shares_by_day",
+    f"""{_ALL('tickets')}, o AS (SELECT PROTOCOLO, row_number() OVER (ORDER BY CAST(DATA_REGISTRO AS DATE), {_TICKET_HASH}) - 1 AS place, count(*) OVER () AS n
+  FROM tickets WHERE DATA_REGISTRO IS NOT NULL)
+SELECT PROTOCOLO, CASE WHEN place < n * 5 // 10 THEN 'train' WHEN place < n * 7 // 10 THEN 'validation' ELSE 'test' END AS split FROM o""",
+)
+def temporal_shares_by_day(spark, sf_dir):
+    """The same where very many rows have one time."""
+    days = X.tickets(spark, sf_dir).withColumn("DAY", F.col("DATA_REGISTRO").cast("date"))
+    return temporal.temporal_share_split(days, "DAY", shares=(0.5, 0.2, 0.3)).select("PROTOCOLO", "split")
+
+
+@query(
+    "D5_metrics_per_period",
+    f"""{_ALL('tickets')}, known AS (SELECT *, CASE WHEN ULTIMO_CANCELAMENTO IS NOT NULL THEN 1 ELSE 0 END AS TARGET FROM tickets),
+s AS (SELECT CAST(date_trunc('week', DATA_REGISTRO) AS DATE) AS period, TARGET AS y, {X.SCORE} FROM known WHERE DATA_REGISTRO IS NOT NULL),
+g AS (SELECT period, p, sum(y) AS pos, sum(1 - y) AS neg FROM s GROUP BY period, p),
+r AS (SELECT *, sum(neg) OVER (PARTITION BY period ORDER BY p) - neg AS below FROM g),
+a AS (SELECT period, sum(CAST(pos AS DOUBLE) * (CAST(below AS DOUBLE) + CAST(neg AS DOUBLE) / 2)) / nullif(CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE), 0) AS auc_roc
+  FROM r GROUP BY period),
+c AS (SELECT period, count(*) AS rows, CAST(sum(y) AS BIGINT) AS positives, count(*) FILTER (WHERE p >= 0.5 AND y = 1) AS tp,
+  count(*) FILTER (WHERE p >= 0.5 AND y = 0) AS fp FROM s GROUP BY period),
+m AS (SELECT period, rows, positives, auc_roc, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0) AS precision,
+  coalesce(CAST(tp AS DOUBLE) / nullif(positives, 0), 0) AS recall, coalesce(CAST(2 * tp AS DOUBLE) / nullif(tp + fp + positives, 0), 0) AS f1_score FROM c JOIN a USING (period))
+SELECT period, rows, positives, round(auc_roc, 6) AS auc_roc, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score,
+  round(first_value(auc_roc IGNORE NULLS) OVER w - auc_roc, 6) AS auc_decay, round(first_value(f1_score) OVER w - f1_score, 6) AS f1_decay
+FROM m WINDOW w AS (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+)
+def metrics_per_period(spark, sf_dir):
+    """How a model's metrics change with the weeks."""
+    tickets = temporal.with_period(add_target(X.tickets(spark, sf_dir)), "DATA_REGISTRO", "week")
+    scored = tickets.select("period", F.col("TARGET").alias("y"), F.expr(X.SCORE))
+    names = ("auc_roc", "precision", "recall", "f1_score", "auc_decay", "f1_decay")
+    return rounded(temporal.metrics_per_period(scored, 0.5), *names)
+
+
 @query(
     "D3_customer_folds",
     f"""{_ALL('tickets')} SELECT PROTOCOLO, CAST(CAST('0x' || substr(md5(concat(CAST(ID_CLIENTE AS string), ':42')), 1, 12) AS BIGINT) % 5
