@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import StreamingQueryException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from ticketlens.operators.training import feature_matrix, input_names
 from ticketlens.plans.end_to_end import Run, run
 from ticketlens.runtime import pinned, scratch_path
 from ticketlens.sources.tables import read_table, write_importances
+from ticketlens.streaming import scoring
 
 _RUNS: dict[tuple[str, str], Run] = {}
 
@@ -351,6 +353,17 @@ def training_metrics(spark, sf_dir):
     return rounded(result.metrics, "auc_roc", "precision", "recall", "f1_score").withColumn("threshold", F.lit(result.threshold))
 
 
+_KNOWN_RUNS: dict[tuple[str, str], Run] = {}
+
+
+def known_run(spark, sf_dir) -> Run:
+    """A full run from raw tickets whose label is known, once per session and table folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KNOWN_RUNS:
+        _KNOWN_RUNS[key] = run(known_tickets(spark, sf_dir))
+    return _KNOWN_RUNS[key]
+
+
 _STORED_ROWS = ", ".join(f"('{d}', {a}::DOUBLE, {p}::DOUBLE, {r}::DOUBLE, {f}::DOUBLE)" for d, a, p, r, f in params.STORED_METRICS)
 
 
@@ -364,7 +377,7 @@ FROM known, (VALUES {_STORED_ROWS}) t(dataset, a, p, r, f)""",
 )
 def end_to_end_run(spark, sf_dir):
     """The report's comparison table at the end of a run from raw tickets whose label is known."""
-    table = run(known_tickets(spark, sf_dir)).reports["comparison"]
+    table = known_run(spark, sf_dir).reports["comparison"]
     names = ("auc_roc", "precision", "recall", "f1_score")
     return rounded(table, *names, *[f"delta_{n}" for n in names])
 
@@ -450,3 +463,46 @@ def rolling_origin(spark, sf_dir):
     scored = temporal.rolling_origin(matrix, input_names(matrix, ["period"]), 2, training.logistic_baseline, parallelism=4)
     by_week = temporal.metrics_per_period(pinned(scored), 0.5, ["origin", "ahead"])
     return rounded(by_week.select("origin", "ahead", "period", "rows", "positives", "auc_roc", "auc_decay"), "auc_roc", "auc_decay")
+
+
+class _Stopped(Exception):
+    """What a query fails with to be started again."""
+
+
+def stopping_once(output, transform):
+    """Writes batches like the library, and fails after the second batch is written and before it counts as done."""
+    write, stopped = scoring.write_batches(output, transform), []
+
+    def fails(batch, number):
+        write(batch, number)
+        if number == 1 and not stopped:
+            stopped.append(number)
+            raise _Stopped
+
+    return fails
+
+
+@query(
+    "ST1_scored_stream",
+    f"SELECT event_id AS PROTOCOLO, {_LABELLED_BY_ONE} AS decision, true AS like_batch FROM events",
+)
+def scored_stream(spark, sf_dir):
+    """Raw tickets as a stream of files, some of them repeated, to probabilities; the query fails in the middle and is started again."""
+    whole = known_run(spark, sf_dir)
+    tickets = known_tickets(spark, sf_dir).withColumn("TARGET", F.lit(0)).drop("ID_CLIENTE", "CODIGO", "NUMERO_OS")
+    folder, output, checkpoint = (scratch_path(spark, name) for name in ("raw", "scored", "progress"))
+    half = F.col(params.TICKET) % 2 == 0
+    for part in (half, ~half, F.col(params.TICKET) % 3 == 0):  # the last file repeats tickets
+        tickets.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(tickets.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    common = (source, whole.semantics, whole.training.model, output, checkpoint, "TARGET", params.TICKET, "DATA_REGISTRO", "60 days")
+    try:
+        scoring.score_stream(*common, write=stopping_once)
+        raise AssertionError("the query was to fail")
+    except StreamingQueryException:
+        scoring.score_stream(*common)
+    streamed = spark.read.parquet(output).select(params.TICKET, F.col("p").alias("streamed"))
+    batch = scoring.score_tickets(tickets, whole.semantics, whole.training.model, "TARGET", [params.TICKET])
+    both = streamed.join(batch, params.TICKET, "full")
+    decision = (F.col("streamed") >= whole.training.threshold).cast("int")
+    return both.select(params.TICKET, decision.alias("decision"), (F.col("streamed") == F.col("p")).alias("like_batch"))

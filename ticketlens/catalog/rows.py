@@ -11,7 +11,7 @@ from ticketlens.catalog.registry import query
 from ticketlens.catalog.tables import rounded
 from ticketlens.functions.text import feature_kind, label_sentiment, prepare_text
 from ticketlens.operators import features as B
-from ticketlens.operators import training
+from ticketlens.operators import sketches, training
 from ticketlens.operators.joins import attach_cluster_label, lookup_join
 from ticketlens.operators.prepare import drop_leaks
 from ticketlens.runtime import pinned, scratch_path
@@ -298,6 +298,52 @@ def importance_report(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ streaming
+_DRIFTING = ["TICKET_MEDIO", "IDADE_APROX", "MESES"]
+_RATIO, _LEAST = "(1.01::DOUBLE / 0.99)", "1e-9::DOUBLE"
+_BIN = f"""CASE WHEN abs(v) < {_LEAST} THEN 0 WHEN v < 0 THEN -1 - CAST(floor(ln(abs(v) / {_LEAST}) / ln({_RATIO})) AS INTEGER)
+  ELSE 1 + CAST(floor(ln(abs(v) / {_LEAST}) / ln({_RATIO})) AS INTEGER) END"""
+
+
+def _sketched(closed_only: bool) -> str:
+    """WITH clause ending in ``sk``: bins per day and feature."""
+    closed = "WHERE date_trunc('day', DATA_REGISTRO) + INTERVAL 2 DAY <= (SELECT max(DATA_REGISTRO) FROM tickets)" if closed_only else ""
+    values = " UNION ALL ".join(f"SELECT date_trunc('day', DATA_REGISTRO) AS period, '{f}' AS feature, CAST({f} AS DOUBLE) AS v FROM tickets {closed}" for f in _DRIFTING)
+    return f"{X.oracle_views('tickets')}, vals AS ({values}), sk AS (SELECT period, feature, {_BIN} AS bin, count(*) AS rows FROM vals GROUP BY ALL)"
+
+
+@query("D6_stream_sketches", f"{_sketched(True)} SELECT * FROM sk")
+def stream_sketches(spark, sf_dir):
+    """Sketches per day from a stream; days less than a day before the latest ticket are still open."""
+    output = scratch_path(spark, "sketches")
+    stream = scoring.ticket_stream(spark, sf_dir, schemas.EVENTS, "events.parquet")
+    run = scoring.run_available(stream, output, scratch_path(spark, "progress"), lambda df: sketches.sketch_stream(X.as_tickets(df), _DRIFTING, "DATA_REGISTRO"))
+    assert run.exception() is None
+    return spark.read.parquet(output)
+
+
+@query(
+    "D6_drift_of_days",
+    f"""{_sketched(False)}, base AS (SELECT feature, bin, sum(rows) AS rows FROM sk WHERE period < TIMESTAMP '2024-01-08' GROUP BY ALL),
+up AS (SELECT *, sum(rows) OVER (PARTITION BY feature ORDER BY bin) AS upto, sum(rows) OVER (PARTITION BY feature) AS total FROM base),
+ends AS (SELECT DISTINCT feature, bin AS e FROM up, range(1, 10) r(k) WHERE upto * 10 >= k * total AND (upto - rows) * 10 < k * total),
+cuts AS (SELECT feature, list(e ORDER BY e) AS ends FROM ends GROUP BY feature),
+b AS (SELECT feature, len(list_filter(ends, lambda x: x < bin)) AS g, sum(rows) AS n FROM base JOIN cuts USING (feature) GROUP BY ALL),
+p AS (SELECT period, feature, len(list_filter(ends, lambda x: x < bin)) AS g, sum(rows) AS n FROM sk JOIN cuts USING (feature) GROUP BY ALL),
+gs AS (SELECT feature, unnest(range(len(ends) + 1)) AS g FROM cuts),
+bs AS (SELECT feature, g, greatest(CAST(coalesce(n, 0) AS DOUBLE) / CAST(sum(coalesce(n, 0)) OVER (PARTITION BY feature) AS DOUBLE), 0.0001) AS share FROM gs LEFT JOIN b USING (feature, g)),
+days AS (SELECT DISTINCT period, feature FROM sk),
+ps AS (SELECT period, feature, g, greatest(CAST(coalesce(n, 0) AS DOUBLE) / CAST(sum(coalesce(n, 0)) OVER (PARTITION BY period, feature) AS DOUBLE), 0.0001) AS share
+  FROM days JOIN gs USING (feature) LEFT JOIN p USING (period, feature, g)),
+x AS (SELECT period, feature, round(sum((ps.share - bs.share) * ln(ps.share / bs.share)), 6) AS psi FROM ps JOIN bs USING (feature, g) GROUP BY ALL)
+SELECT period, feature, CAST(sum(rows) AS BIGINT) AS rows, 0::BIGINT AS missing, any_value(psi) AS psi FROM sk JOIN x USING (period, feature) GROUP BY ALL""",
+)
+def drift_of_days(spark, sf_dir):
+    """Each day against the first week, from the sketches alone."""
+    table = pinned(sketches.sketch(X.tickets(spark, sf_dir), _DRIFTING, "DATA_REGISTRO"))
+    base = table.filter(F.col("period") < F.lit("2024-01-08").cast("timestamp_ntz"))
+    return rounded(sketches.drift_of_periods(table, base), "psi")
+
+
 @query("ST1_stream_features", P.row_features(P.FEATURES))
 def stream_features(spark, sf_dir):
     """The whole event file as a stream: same functions, same rows."""

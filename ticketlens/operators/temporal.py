@@ -15,9 +15,9 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticketlens import params
+from ticketlens.functions.times import micros
 from ticketlens.operators import metrics as M
 from ticketlens.operators.split import _share, check_shares, key_hash, row_text
 from ticketlens.operators.training import boosted_trees, fit_model, predict
@@ -30,18 +30,6 @@ _TIME, _DIGITS, _HASH = "__time", "__digits", "__hash"
 _LAST_DIGITS = 16**15 - 1
 
 
-def micros(df: DataFrame, time: str) -> Column:
-    """Microseconds of a date, a timestamp or a timestamp without zone; the latter by its wall clock, so no zone can fold it."""
-    column, kind = F.col(time), df.schema[time].dataType
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(column)
-    days = F.date_diff(column.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86_400_000_000
-    if isinstance(kind, T.DateType):
-        return days
-    seconds = (F.date_part(F.lit("SECOND"), column) * 1_000_000).cast("long")
-    return days + (F.hour(column) * 60 + F.minute(column)).cast("long") * 60_000_000 + seconds
-
-
 def _ordered(df: DataFrame, time: str, key: str, seed: int) -> DataFrame:
     hashed = key_hash(key, seed, row_text(df))
     keyed = df.withColumn(_TIME, micros(df, time)).withColumn(_HASH, hashed)
