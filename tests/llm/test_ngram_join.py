@@ -116,3 +116,44 @@ def test_repeated_id_with_two_texts(spark):
     for order in (rows, rows[::-1]):
         found = sorted((r.doc_id, r.n_links) for r in ngram_join.join(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect())
         assert found == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+@pytest.mark.parametrize("percent,k", [(80, 5), (90, 3)])
+def test_small_sets_share_a_key_they_hold(percent, k):
+    """Every pair of linked sets of up to 30 n-grams shares a key; sets that only equal ones link have none."""
+    rng = np.random.default_rng(1)
+    hashes = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    for a_size in range(1, 31):
+        for b_size in range(a_size, a_size * 100 // percent + 1):
+            for _ in range(60):
+                most = (a_size + b_size) * (100 - percent) // (100 + percent)
+                differ = most - (most - b_size + a_size) % 2
+                common = (a_size + b_size - differ) // 2
+                if differ < 1 or common < 1 or 100 * common < percent * (common + differ):
+                    continue
+                both = hashes(common)
+                a, b = np.union1d(both, hashes(a_size - common)), np.union1d(both, hashes(b_size - common))
+                for parts in (ngram_join.PARTS, None):
+                    assert len(np.intersect1d(ngram_join.block_keys(a, percent, parts), ngram_join.block_keys(b, percent, parts)))
+    lonely = 3 if percent == 80 else 8
+    assert all(len(ngram_join.block_keys(hashes(n), percent)) == 0 for n in range(1, lonely + 1))
+    assert len(ngram_join.block_keys(hashes(lonely + 2), percent))
+
+
+def test_short_texts(spark):
+    """Different short texts are not compared with each other, and their links are all found."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(6)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 12))) for _ in range(900)]
+    texts += [" ".join(f"x{i}{j}" for j in range(2)) for i in range(600)] + [" ".join(f"y{i}{j}" for j in range(7)) for i in range(300)]
+    pairs = list(enumerate(texts))
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    for k, percent in ((5, 80), (3, 90), (1, 50)):
+        assert got(ngram_join.join(docs, k, percent)) == brute(pairs, k, percent), (k, percent)
+    sets = ngram_join.described(docs.filter("doc_id >= 900"), 5, 80)
+    assert sets.filter("size(keys) > 0").count() == 0
+
+
+def test_all_blocks(real_docs):
+    pairs = [(r.doc_id, r.text) for r in real_docs.select("doc_id", "text").collect()]
+    assert got(ngram_join.join(real_docs, 5, 80, None)) == brute(pairs, 5, 80)

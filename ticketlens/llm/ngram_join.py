@@ -5,9 +5,11 @@ sizes a and b that reach the similarity differ in at most (a + b)(1 - t)/(1 + t)
 equal in both; documents that share an equal block meet in a group, nothing else is compared. In a group the product accumulates
 overlap counts block of columns by block, and drops documents all whose pairs can no longer reach the bound that their sizes set.
 
-The number of blocks depends on the size (bands of sizes a quarter apart; a set near a band's end takes part in the next one too). Sets
-with at most ``PARTS`` blocks use all: no link can be missed. Larger sets use ``PARTS`` of them; each block of a linked pair is equal with
-probability e^-0.9 or more, so a link is missed with probability below 1e-8.
+The number of blocks depends on the size (a band per size for small sets, bands a quarter apart for others; a set near a band's end takes
+part in the next one too). A size that only equal sets can link has no block at all. Empty blocks are not compared: a set whose n-grams all
+fall into as few blocks as may differ is grouped by its single n-grams instead, so two linked sets share something they hold. Sets with
+at most ``PARTS`` blocks use all: no link can be missed. Larger sets use ``PARTS`` of them; each block of a linked pair is equal with
+probability e^-0.9 or more, so a link is missed with probability below 1e-8; with ``parts=None`` they use all, and none is missed.
 
 Groups are formed by the least class of each block, so a family of copies makes as many rows as it has members. Big groups are cut into
 tiles of two chunks, each pair of members meets in exactly one tile, and a tile returns a spanning forest of its links. Components come
@@ -28,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import arrow_map, ascii_lower, parts, stream_map, texts_of
+from ticketlens.llm.common import ascii_lower, stream_map, texts_of
+from ticketlens.llm.common import parts as shuffle_tasks
 from ticketlens.llm.graph import components
 from ticketlens.runtime import bounded, written
 
@@ -64,26 +67,23 @@ def set_id(hashes: np.ndarray) -> int:
 
 
 def bands(size: int, percent: int) -> list[tuple[int, int]]:
-    """(band, most differences) of the one or two bands a set of this size takes part in; bands in which only equal sets link are left out."""
+    """(band, most differences) of the bands a set of this size takes part in; bands in which only equal sets link are left out."""
     out, band, low = [], 0, 1
     while True:
-        high = FIRST_BAND if band == 0 else int(low * BAND_RATIO) + 1  # sizes low to high - 1
-        most = 2 * (high - 1) * (100 - percent) // (100 + percent)
-        if size < low:  # only as the smaller of a pair
-            if 100 * size >= percent * low and most:
-                out.append((band, most))
+        high = low + 1 if low < FIRST_BAND else int(low * BAND_RATIO) + 1  # sizes low to high - 1
+        most = int(2 * (high - 1) * (100 - percent) // (100 + percent))
+        if size < low and 100 * size < percent * low:  # too small for a partner here and further on
             return out
-        if size < high and most:
+        if size < high and most:  # also as the smaller of a pair
             out.append((band, most))
         band, low = band + 1, high
 
 
-def block_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """One 64-bit key per block of the set that is used."""
+def block_keys(hashes: np.ndarray, percent: int, parts: int | None = PARTS) -> np.ndarray:
+    """One 64-bit key per block of the set that is used and holds n-grams, or, where these lie in too few blocks, per n-gram."""
     keys = []
     for band, most in bands(len(hashes), percent):
-        slack = 3 + most // 8
-        m = most + slack
+        m = most + 3 + most // 8
         mixed = _mix(hashes)
         block = (mixed >> np.uint64(33)) % np.uint64(m)
         order = np.argsort(block, kind="stable")
@@ -91,52 +91,37 @@ def block_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
         starts = np.flatnonzero(np.r_[True, sorted_blocks[1:] != sorted_blocks[:-1]])
         sums = np.add.reduceat(_mix(hashes[order] * _ODD), starts)
         names = sorted_blocks[starts]
-        if m <= PARTS and m - len(names) >= slack:  # so many empty blocks that they may be all that two sets share
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), names)
-            names, sums = np.r_[names, empty], np.r_[sums, np.zeros(len(empty), np.uint64)]
-        used = names < PARTS
+        if len(names) <= most:  # all of them may differ from a linked set's
+            keys.append(_mix(_mix(hashes * _ODD) + np.uint64(band) + _ODD))
+        used = names < (m if parts is None else parts)
         keys.append(_mix(_mix(sums[used] + names[used] * _ODD) + np.uint64(band)))
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
-def sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set; null for the empty one)."""
+def described(docs: DataFrame, size: int, percent: int, parts: int | None = PARTS) -> DataFrame:
+    """doc_id, n_shingles, node (hash of the set; null for the empty one) and keys (of its blocks), from one reading of the texts.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, node = [], []
-        for text in texts_of(batch):
-            h = shingles(text, size)
-            n.append(len(h))
-            node.append(set_id(h) if len(h) else None)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n_shingles", "node"])
-
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, node long")
-
-
-def blocks(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(key, node) of every block used; a task does not repeat a set it has seen."""
+    A task gives the keys of a set once; rows without an id have none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, nodes = [], []
+            n, nodes, keys = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
                 h = shingles(text, size)
-                if not len(h) or doc_id is None or (node := set_id(h)) in seen:
-                    continue
-                seen.add(node)
-                k = block_keys(h, percent)
-                keys.append(k.view(np.int64))
-                nodes.append(np.full(len(k), node, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
-
-    return stream_map(docs.select("doc_id", "text"), run, "key long, node long")
-
+                node = set_id(h) if len(h) else None
+                n.append(len(h))
+                nodes.append(node)
+                if node is None or doc_id is None or node in seen:
+                    keys.append(None)
+                else:
+                    seen.add(node)
+                    keys.append(block_keys(h, percent, parts).view(np.int64))
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "keys"])
 
-def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(lead, node): classes that have to be compared are together under at least one lead."""
-    return meeting(blocks(docs, size, percent))
+    return stream_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, node long, keys array<long>")
 
 
 def meeting(rows: DataFrame) -> DataFrame:
@@ -237,7 +222,7 @@ def links(docs: DataFrame, classes: DataFrame, grouped: DataFrame, size: int, pe
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
     tiles = tiles.join(texts, F.col("rep") == F.col("_id")).drop("_id", "rep")
-    dealt = tiles.repartition(2 * parts(docs.sparkSession), "lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+    dealt = tiles.repartition(2 * shuffle_tasks(docs.sparkSession), "lead", "i", "j").sortWithinPartitions("lead", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, known = None, [], {}
@@ -265,13 +250,15 @@ def links(docs: DataFrame, classes: DataFrame, grouped: DataFrame, size: int, pe
     return stream_map(dealt, run, "a long, b long, n long")
 
 
-def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, parts: int | None = PARTS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links (documents it is linked to)."""
-    narrow = written(sets(docs, size), "sets")
+    sets = written(described(docs, size, percent, parts), "sets")
+    narrow = sets.drop("keys")
+    grouped = meeting(sets.select("node", F.explode("keys").alias("key")))  # (lead, node): classes to compare share a lead
     linked = narrow.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     classes = linked.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.first("n_shingles").alias("n_shingles"))
     classes = written(classes, "classes")
-    found = written(links(docs, classes, groups(docs, size, percent), size, percent), "links")
+    found = written(links(docs, classes, grouped, size, percent), "links")
     roots = components(found.filter("a <> b"))
     degrees = found.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("degree"))
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
