@@ -16,7 +16,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ticketlens.llm import classifier, mixing, ngram_join, packing, secrets
 from ticketlens.llm.common import table
@@ -38,10 +37,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
     if not repeated.take(1):
         return kept
-    first = Window.partitionBy("doc_id").orderBy(F.md5("text"))
     single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    several = kept.join(repeated, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
-    return single.unionByName(several.select(*docs.columns))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.coalesce(F.md5("text"), F.lit("")), F.md5(F.to_json(whole)))
+    several = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, order).alias("_row"))  # copies fall together in each task
+    return single.unionByName(several.select("_row.*"))
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
