@@ -8,6 +8,7 @@ from ticketlens import fixtures as X
 from ticketlens.catalog.oracle_parts import metrics_view
 from ticketlens.catalog.registry import query
 from ticketlens.catalog.tables import metrics_at, rounded
+from ticketlens.operators import calibration
 from ticketlens.operators import metrics as M
 from ticketlens.plans import report
 
@@ -210,3 +211,20 @@ FROM long JOIN before USING (dataset, metric)""",
 def run_comparison(spark, sf_dir):
     table = report.run_comparison_long(metrics_at(spark, sf_dir), M.stored_metrics(spark))
     return rounded(table, "current", "delta")
+
+
+@query(
+    "M16_calibrated_probability",
+    f"""{X.oracle_views('scored')}, pts AS (SELECT p, row_number() OVER (ORDER BY p) AS i, count(*) AS n, sum(y) AS s FROM scored WHERE split = 'validation' GROUP BY p),
+cum AS (SELECT i, p, sum(n) OVER (ORDER BY i) AS cn, sum(s) OVER (ORDER BY i) AS cs, n, s FROM pts),
+spans AS (SELECT a.i AS j, b.i AS k, CAST(b.cs - a.cs + a.s AS DOUBLE) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS mean FROM cum a JOIN cum b ON a.i <= b.i),
+least_ AS (SELECT j, k AS i, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM spans),
+fit AS (SELECT i, max(m) AS calibrated FROM least_ GROUP BY i)
+SELECT p, n AS rows, round(calibrated, 9) AS calibrated FROM fit JOIN pts USING (i)""",
+)
+def calibrated_probability(spark, sf_dir):
+    """Isotonic fit on the validation scores, at each of them: the highest of the lowest means of all spans around a score."""
+    validation = X.scored(spark, sf_dir).filter(F.col("split") == "validation").select("p", "y")
+    points = validation.groupBy("p").agg(F.count("*").alias("rows"))
+    fitted = calibration.fit_calibration(validation)
+    return rounded(calibration.calibrate(fitted, points.select("p", "rows", F.col("p").alias("calibrated")), "calibrated"), "calibrated", digits=9)

@@ -34,14 +34,20 @@ def normalize_text(spark, sf_dir):
     return folded.select("doc_id", F.md5("folded").alias("folded"), F.length("folded").cast("long").alias("chars"))
 
 
+_UNSTRIPPED = r"regexp_replace(strip_accents(upper(replace(coalesce(text, ''), 'ß', 'ss'))), '[^\x00-\x7F]', '', 'g')"
+
+
 @query(
     "F1_normalize_text_full",
-    "SELECT doc_id, '12 DOSE A A DZ FIM TM kg No 3 ' || upper(lang) AS folded FROM documents",
+    rf"""SELECT doc_id, md5(t) AS folded, length(t) AS chars
+FROM (SELECT doc_id, regexp_replace('12 DOSE A A DZ FIM TM kg No 3 ' || upper(lang) || {_UNSTRIPPED}, '[\t-\r\x1c-\x20]+$', '') AS t FROM documents)""",
 )
 def normalize_text_full(spark, sf_dir):
-    """Characters that stand for several, and other scripts, in every row."""
-    odd = F.concat(F.lit(" ½ dose ạ Ạ Ǆ ﬁm ™ ㎏ № ３ "), "lang", F.lit("☃"))
-    return X.documents(spark, sf_dir).select("doc_id", TX.normalize_text(odd).alias("folded"))
+    """Characters that stand for several, and other scripts, before every whole text."""
+    docs = spread(X.documents(spark, sf_dir).select("doc_id", "lang", "text"), "doc_id")
+    odd = F.concat(F.lit(" ½ dose ạ Ạ Ǆ ﬁm ™ ㎏ № ３ "), "lang", F.lit("☃"), F.coalesce("text", F.lit("")))
+    folded = docs.select("doc_id", TX.normalize_text(odd).alias("folded"))
+    return folded.select("doc_id", F.md5("folded").alias("folded"), F.length("folded").cast("long").alias("chars"))
 
 
 _SPACES = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"

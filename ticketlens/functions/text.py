@@ -56,16 +56,17 @@ def normalize_text(text: ColumnOrName) -> Column:
     """Upper case, accents removed, ASCII only, stripped; null gives an empty text.
 
     Characters are replaced by the ASCII part of their compatibility form, in all scripts. Texts of Latin letters below
-    U+0250 need a short table only; in others, characters that stand for several ones are looked up one by one.
+    U+0250 need a short table only. A text is cut into pieces only around characters that stand for several ones.
     """
     one, to_one, many, to_many = _fold_tables()
-    upper = F.upper(_col(text))
+    upper, several = F.upper(_col(text)), f"[{''.join(many)}]"
     table = F.map_from_arrays(F.lit(list(many)), F.lit(list(to_many)))
-    opened = F.concat_ws("", F.transform(F.split(upper, ""), lambda c: F.coalesce(F.element_at(table, c), c)))
+    pieces = F.split(upper, f"(?<={several})|(?={several})")
+    opened = F.concat_ws("", F.transform(pieces, lambda c: F.coalesce(F.try_element_at(table, c), c)))
+    single = F.when(upper.rlike(several), opened).otherwise(upper)
     near = [i for i, c in enumerate(one) if ord(c) < 0x250]
-    latin = F.translate(upper, "".join(one[i] for i in near), "".join(to_one[i] for i in near))
-    rare = upper.rlike(r"[^\x{0}-\x{24f}]|[" + "".join(c for c in many if ord(c) < 0x250) + "]")
-    folded = F.when(rare, F.translate(opened, one, to_one)).otherwise(latin)
+    latin = F.translate(single, "".join(one[i] for i in near), "".join(to_one[i] for i in near))
+    folded = F.when(single.rlike(r"[^\x{0}-\x{24f}]"), F.translate(single, one, to_one)).otherwise(latin)
     ascii_only = F.regexp_replace(folded, r"[^\x{0}-\x{7f}]", "")
     return F.coalesce(F.regexp_replace(ascii_only, r"^[\x{9}-\x{d}\x{1c}-\x{20}]+|[\x{9}-\x{d}\x{1c}-\x{20}]+$", ""), F.lit(""))
 

@@ -13,6 +13,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 from ticketlens import params, schemas
 from ticketlens.functions.text import feature_kind
 from ticketlens.operators import metrics as M
+from ticketlens.operators.calibration import calibrate, fit_calibration
 from ticketlens.runtime import checkpoint_base, local_table, pinned
 from ticketlens.sources.tables import check_splits
 
@@ -130,6 +132,7 @@ class TrainingRun:
     metrics: DataFrame
     sweep: DataFrame
     importances: DataFrame
+    calibration: IsotonicRegressionModel | None = None
 
 
 def train(
@@ -138,17 +141,21 @@ def train(
     pipeline=boosted_trees,
     thresholds: Sequence[float] | None = tuple(params.DECISION_THRESHOLDS),
     carry: Sequence[str] = ("split",),
+    calibrated: bool = False,
     **settings,
 ) -> TrainingRun:
     """Fit on train, choose the threshold on validation, evaluate every split.
 
-    ``features`` has a ``split`` column. ``thresholds=None`` switches the choice off and keeps 0.5.
+    ``features`` has a ``split`` column. ``thresholds=None`` switches the choice off and keeps 0.5. ``calibrated`` puts the probabilities
+    through an isotonic fit on validation first.
     """
     matrix = pinned(feature_matrix(features, label, carry))
     check_splits(matrix)
     inputs = input_names(matrix, carry)
     model = fit_model(matrix, pipeline(inputs, **settings))
     scored = pinned(predict(model, matrix, carry))
+    isotonic = fit_calibration(scored.filter(F.col("split") == "validation")) if calibrated else None
+    scored = pinned(calibrate(isotonic, scored)) if calibrated else scored
     validation = scored.filter(F.col("split") == "validation")
     sweep = M.threshold_sweep(validation, thresholds or [params.FALLBACK_THRESHOLD])
     chosen = M.best_threshold(sweep).first().threshold if thresholds else None
@@ -161,7 +168,7 @@ def train(
         if hasattr(last, "featureImportances")
         else local_table(spark, [(n, abs(float(v))) for n, v in zip(inputs, last.coefficients)], schemas.IMPORTANCES)
     )
-    return TrainingRun(model, inputs, threshold, scored, table, sweep, ranked)
+    return TrainingRun(model, inputs, threshold, scored, table, sweep, ranked, isotonic)
 
 
 def cross_validate(

@@ -66,8 +66,10 @@ def write_splits(df: DataFrame, path: str) -> str:
 
 
 def read_splits(spark: SparkSession, path: str, splits: Iterable[str] | None = None) -> DataFrame:
-    """The split table, or some splits of it; the filter on the partition column prunes folders."""
-    df = nan_to_null(spark.read.parquet(path))
+    """The split table, or some splits of it; the filter on the partition column prunes folders. Names stay text, also ``01``."""
+    found = spark.read.parquet(path).schema
+    kept = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "split" else f for f in found.fields])
+    df = nan_to_null(spark.read.schema(kept).parquet(path))
     wanted = list(splits) if splits is not None else None
     return df if wanted is None else df.filter(F.col("split").isin(wanted))
 
