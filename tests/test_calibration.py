@@ -85,7 +85,7 @@ def test_dashes_and_quotes_cost_little(spark):
     odd = "ação — “reação” do cliente … ½ " * 170
 
     def seconds(text):
-        df = spark.range(4000).select(F.concat(F.lit(text), F.col("id").cast("string")).alias("t")).select(TX.normalize_text("t").alias("f"))
+        df = spark.range(800).select(F.concat(F.lit(text), F.col("id").cast("string")).alias("t")).select(TX.normalize_text("t").alias("f"))
         times = []
         for _ in range(3):
             began = time.perf_counter()
@@ -95,4 +95,4 @@ def test_dashes_and_quotes_cost_little(spark):
 
     seconds(plain)
     assert seconds(odd) < 4 * seconds(plain)
-    assert [r[0] for r in spark.createDataFrame([("a — “b” … ½ ﬁ",)], "t string").select(TX.normalize_text("t")).collect()] == ["A  B ... 12 FI"]
+    assert [r[0] for r in spark.createDataFrame([("a — “b” … \ue000½\ue0ff ﬁ",)], "t string").select(TX.normalize_text("t")).collect()] == ["A  B ... 12 FI"]

@@ -56,14 +56,17 @@ def normalize_text(text: ColumnOrName) -> Column:
     """Upper case, accents removed, ASCII only, stripped; null gives an empty text.
 
     Characters are replaced by the ASCII part of their compatibility form, in all scripts. Texts of Latin letters below
-    U+0250 need a short table only. A text is cut into pieces only around characters that stand for several ones.
+    U+0250 need a short table only. Characters that stand for several ones are first moved into one range of private characters, whose
+    own ones go; only texts that then have one of these are cut into pieces.
     """
     one, to_one, many, to_many = _fold_tables()
-    upper, several = F.upper(_col(text)), f"[{''.join(many)}]"
-    table = F.map_from_arrays(F.lit(list(many)), F.lit(list(to_many)))
-    pieces = F.split(upper, f"(?<={several})|(?={several})")
+    private = [chr(0xE000 + i) for i in range(len(many))]
+    marked = F.translate(F.upper(_col(text)), "".join([*many, *private]), "".join(private))
+    several = f"[{private[0]}-{private[-1]}]"
+    table = F.map_from_arrays(F.lit(private), F.lit(list(to_many)))
+    pieces = F.split(marked, f"(?<={several})|(?={several})")
     opened = F.concat_ws("", F.transform(pieces, lambda c: F.coalesce(F.try_element_at(table, c), c)))
-    single = F.when(upper.rlike(several), opened).otherwise(upper)
+    single = F.when(marked.rlike(several), opened).otherwise(marked)
     near = [i for i, c in enumerate(one) if ord(c) < 0x250]
     latin = F.translate(single, "".join(one[i] for i in near), "".join(to_one[i] for i in near))
     folded = F.when(single.rlike(r"[^\x{0}-\x{24f}]"), F.translate(single, one, to_one)).otherwise(latin)
