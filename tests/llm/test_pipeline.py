@@ -26,7 +26,7 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     numbers = sorted(int(k[2:].split("_")[0]) for k in entry.queries() if k.startswith("op") and k[2].isdigit())
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries() and set(ORACLES) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries() and set(ORACLES) <= set(QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES][1] == "n-gram Jaccard join" and len(corpus_pipeline.STAGES) == 5
 
 
