@@ -91,23 +91,100 @@ def cut_strings(data: bytes, wanted: np.ndarray) -> list[tuple]:
     least, places, at_places = minimisers(data)
     start = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     end, values = np.r_[start[1:], len(least)], least[start]
+    here = np.flatnonzero(np.isin(values, wanted))
+    pieces = -(-(end[here] - start[here]) // RUN)
+    run = np.repeat(here, pieces)
+    at = start[run] + RUN * (np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    count = np.minimum(RUN, end[run] - at)
+    # the places of the minimiser in a string, from all places in order of (hash, place)
+    by_hash = np.lexsort((places, at_places))
+    places, key = places[by_hash], np.unique(at_places, return_inverse=True)[1][by_hash] * (len(data) + 1) + places[by_hash]
+    mine = np.searchsorted(np.unique(at_places), values[run]) * (len(data) + 1)
+    low, high = np.searchsorted(key, mine + at), np.searchsorted(key, mine + at + count + WINDOW - KMER)
+    columns = (values[run].view(np.int64), at, count, high - low > 1, places[low] - at)
     out = []
-    for i in np.flatnonzero(np.isin(values, wanted)):
-        for at in range(int(start[i]), int(end[i]), RUN):
-            count = min(RUN, int(end[i]) - at)
-            piece = data[at : at + count - 1 + WINDOW]
-            a, b = np.searchsorted(places, (at, at + count + WINDOW - KMER))
-            own = places[a:b][at_places[a:b] == values[i]]
-            out.append((int(values[i].view(np.int64)), xxhash.xxh3_64_intdigest(piece) - (1 << 63), at, count, len(own) > 1, int(own[0]) - at, piece))
+    for h, a, n, twice, m in zip(*(c.tolist() for c in columns)):
+        piece = data[a : a + n - 1 + WINDOW]
+        out.append((h, xxhash.xxh3_64_intdigest(piece) - (1 << 63), a, n, twice, m, piece))
     return out
 
 
-def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _packed(symbols: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+    """For every column of a matrix the number that as many symbols as fit into 63 bits make from there on, and how many fit."""
+    fit = 63 // bits
+    key = np.zeros(symbols.shape, np.int64)
+    for k in range(min(fit, symbols.shape[1])):
+        key[:, : symbols.shape[1] - k] |= symbols[:, k:].astype(np.int64) << (bits * (fit - 1 - k))
+    return key, fit
+
+
+def _ranks(order: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Place of each entry among the different ones, from their order and where in it a different one begins."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _pair_order(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (first, second, own place), and where in it a different pair begins."""
+    width = len(first).bit_length()
+    if 3 * width > 63:
+        order = np.lexsort((second, first))
+        pairs = (first << 31 | second)[order]
+        return order, np.r_[False, pairs[1:] != pairs[:-1]]
+    keys = np.sort(first << (2 * width) | second << width | np.arange(len(first)))  # values sort faster than places
+    pairs = keys >> width
+    return keys & ((1 << width) - 1), np.r_[False, pairs[1:] != pairs[:-1]]
+
+
+def _short_suffixes(symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of at most ``most`` symbols in order, equal ones by string: string, length, common prefix with the one before.
+
+    Their symbols are ranked by prefixes of doubled length; common prefixes are put together from the ranks, longest first.
+    """
+    n = len(length)
+    column = np.arange(most + 1)
+    real = column >= most - length[:, None]  # column c begins the suffix of most - c symbols
+    inside = real & (column < most)
+    matrix = np.zeros((n, most + 1), symbols.dtype)
+    matrix[inside] = symbols[((begin + length - most)[:, None] + column)[inside]]
+    bits = int(symbols.max()).bit_length()
+    packed, reach = _packed(matrix, bits)
+    packed = packed.ravel()
+    order = np.argsort(packed, kind="stable")
+    ordered = packed[order]
+    levels = [(reach, _ranks(order, np.r_[False, ordered[1:] != ordered[:-1]]))]
+    while reach < most:
+        rank = levels[-1][1]
+        rest = np.zeros((n, most + 1), np.int64)  # beyond the end there is the empty suffix, whose rank is 0
+        rest[:, : most + 1 - reach] = rank.reshape(n, -1)[:, reach:]
+        order, new = _pair_order(rank, rest.ravel())
+        reach *= 2
+        levels.append((reach, _ranks(order, new)))
+    flat = order[real.ravel()[order]]
+    who, at = np.divmod(flat, most + 1)
+    size = most - at
+    a, b = flat[:-1], flat[1:]
+    bound, shift = np.minimum(size[:-1], size[1:]), np.zeros(len(flat) - 1, np.int64)
+    for reach, rank in reversed(levels):
+        on = np.minimum(shift, bound)
+        shift = np.where(rank[a + on] == rank[b + on], shift + reach, shift)
+    on = np.minimum(shift, bound)
+    differ = packed[a + on] ^ packed[b + on]
+    fit = 63 // bits
+    for k in range(fit):
+        shift += (differ >> (bits * (fit - 1 - k))) == 0
+    prefix = np.r_[0, np.minimum(shift, bound)]
+    return who, size, prefix
+
+
+def suffix_order(strings: list[bytes], most: int = WINDOW - 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all suffixes in order: string, length, common prefix with the suffix before.
 
-    Round j inserts each string's suffix of j symbols in front of which the transform holds the next symbol. A suffix's new place is the
-    number of end marks, of smaller symbols, and of equal symbols further up in the transform. The common prefix of two neighbours with
-    one first symbol is one more than the least prefix between the places of their rests.
+    Suffixes of up to ``most`` symbols, which hold no window, are put in order at once. Then round j inserts each string's suffix of j
+    symbols in front of which the transform holds the next symbol. A suffix's new place is the number of end marks, of smaller symbols,
+    and of equal symbols further up in the transform. The common prefix of two neighbours with one first symbol is one more than the
+    least prefix between the places of their rests.
     """
     n = len(strings)
     length = np.array([len(s) for s in strings])
@@ -117,34 +194,34 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     code = np.zeros(256, kind)
     code[used] = np.arange(1, len(used) + 1)  # 0 is the end mark
     symbols, begin = code[raw], np.cumsum(length) - length
-    before = symbols[begin + length - 1]
-    who, size, prefix = np.arange(n, dtype=np.int32), np.zeros(n, np.uint8), np.zeros(n, np.uint8)
-    place = np.arange(n)
-    active = np.arange(n)
-    for j in range(1, int(length.max()) + 1):
+    longest = int(length.max())
+    most = min(most, longest)
+    who, size, prefix = _short_suffixes(symbols, begin, length, most)
+    before = np.where(size < length[who], symbols[np.maximum(begin[who] + length[who] - 1 - size, 0)], 0).astype(kind)
+    at = np.flatnonzero(size == most)
+    active, place = who[at], at
+    entry, prefix = (size * n + who).astype(np.int32 if n * (longest + 1) < 1 << 31 else np.int64), prefix.astype(np.uint8)
+    for j in range(most + 1, longest + 1):
         alive = length[active] >= j
         active, place = active[alive], place[alive]
         order = np.argsort(before, kind="stable")
-        ends = int((before == 0).sum())
-        where = np.empty(len(order), np.int64)
-        where[order] = np.arange(len(order))
-        at = where[place]  # in the order of symbols
+        ends = len(before) - int(np.count_nonzero(before))
+        where = np.empty(len(order), np.int32)
+        where[order] = np.arange(len(order), dtype=np.int32)
+        at = where[place].astype(np.int64)  # in the order of symbols
         new_place = n + at - ends
         # common prefixes next to the new suffixes
         touched = np.union1d(at, at + 1)
         touched = touched[(touched > ends) & (touched < len(order))]
         touched = touched[before[order[touched]] == before[order[touched - 1]]]
-        least = [prefix]
-        step = 1
-        while 2 * step <= len(prefix):
-            least.append(np.minimum(least[-1][:-step], least[-1][step:]))
-            step *= 2
         low, high = order[touched - 1] + 1, order[touched]
         level = np.frexp((high - low + 1).astype(float))[1] - 1
-        common = np.empty(len(touched), np.uint8)
-        for lv in np.unique(level):
-            here = level == lv
-            common[here] = np.minimum(least[lv][low[here]], least[lv][high[here] - (1 << lv) + 1])
+        common, least = np.empty(len(touched), np.uint8), prefix
+        for lv in range(int(level.max()) + 1 if len(level) else 0):
+            here = np.flatnonzero(level == lv)
+            common[here] = np.minimum(least[low[here]], least[high[here] - (1 << lv) + 1])
+            step = 1 << lv
+            least = np.minimum(least[:-step], least[step:])
         total = n + len(order) - ends
         old = np.ones(total, bool)
         old[new_place] = False
@@ -158,9 +235,10 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         following = np.zeros(len(active), before.dtype)
         more = length[active] > j
         following[more] = symbols[begin[active[more]] + length[active[more]] - 1 - j]
-        before, who, size, prefix = grown(before, following), grown(who, active), grown(size, j), grown(prefix, 0)
+        before, entry, prefix = grown(before, following), grown(entry, active + j * n), grown(prefix, 0)
         prefix[n + touched - ends] = common + 1
         place = new_place
+    size, who = np.divmod(entry, n)
     return who, size, prefix
 
 
@@ -296,21 +374,29 @@ def _within_tasks(strings: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         found: list[tuple] = []
-        ordered: list[tuple] = []
+        waiting: dict[bool, list[tuple]] = {False: [], True: []}  # parts, and longer whole strings, which take more rounds
+
+        def settle() -> None:
+            ranges, ordered = _families(group)
+            found.extend(ranges)
+            mine = waiting[any(r[4] for r in group)]
+            mine.extend(ordered)
+            if len(mine) >= BATCH_STRINGS:
+                found.extend(_window_ranges(mine))
+                mine.clear()
+            group.clear()
+
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("h", "d", "t", "start", "twice", "m", "string"))):
                 if group and row[0] != group[-1][0]:
-                    ranges, parts_ = _families(group)
-                    found += ranges
-                    ordered += parts_
-                    group = []
-                    if len(ordered) >= BATCH_STRINGS or len(found) >= 100_000:
-                        yield _ranges(found + _window_ranges(ordered))
-                        found, ordered = [], []
+                    settle()
+                    if len(found) >= 100_000:
+                        yield _ranges(found)
+                        found.clear()
                 group.append(row)
         if group:
-            ranges, parts_ = _families(group)
-            yield _ranges(found + ranges + _window_ranges(ordered + parts_))
+            settle()
+            yield _ranges(found + _window_ranges(waiting[False]) + _window_ranges(waiting[True]))
 
     return stream_map(dealt.select("h", "d", "t", "start", "twice", "m", "string"), run, RANGE)
 
