@@ -40,17 +40,18 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+def written(df: DataFrame, name: str = "table", codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and go on from the written copy.
 
     Unlike a checkpoint it keeps columns apart, so later reads are pruned. The shuffle files behind it go when it is written.
+    ``codec`` is the compression of the files; without it the session's.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)
