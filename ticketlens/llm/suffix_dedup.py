@@ -49,15 +49,16 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _kmer_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of every KMER-byte substring; hashes of 2s bytes are made from those of s bytes."""
-    h = (data.astype(np.uint64) + np.uint64(1)) * _A
-    h = (h ^ (h >> np.uint64(32))) * _B
+    """Hash of every KMER-byte substring: a polynomial, that of 2s bytes from those of s bytes, then mixed."""
+    h, power = (data.astype(np.uint64) + np.uint64(1)) * _B, int(_A)
     step = 1
     while step < KMER:
-        h = (h[:-step] * _A) ^ ((h[step:] >> np.uint64(7)) + h[step:] * _B)
-        h ^= h >> np.uint64(31)
+        h = h[:-step] * np.uint64(power) + h[step:]
+        power = power * power % (1 << 64)
         step *= 2
-    return h
+    h ^= h >> np.uint64(32)
+    h *= _B
+    return h ^ (h >> np.uint64(29))
 
 
 def _sliding(pick: np.ufunc, h: np.ndarray, width: int) -> np.ndarray:
@@ -85,28 +86,27 @@ def seen_minimisers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return distinct, count > 1
 
 
-def cut_strings(data: bytes, wanted: np.ndarray) -> list[tuple]:
-    """For the wanted minimisers: (minimiser, checksum of the string, first window, number of windows, whether the string holds the
-    minimiser twice, its place there, string)."""
+def cut_strings(data: bytes, wanted: np.ndarray) -> tuple[list[np.ndarray], list[bytes]]:
+    """The strings of the wanted minimisers, and as columns: minimiser, checksum of the string, first window, number of windows, whether
+    the string holds the minimiser twice, its place there."""
     least, places, at_places = minimisers(data)
     start = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    end, values = np.r_[start[1:], len(least)], least[start]
-    here = np.flatnonzero(np.isin(values, wanted))
+    end, values, wanted = np.r_[start[1:], len(least)], least[start], np.sort(wanted)
+    here = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values)
     pieces = -(-(end[here] - start[here]) // RUN)
     run = np.repeat(here, pieces)
     at = start[run] + RUN * (np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     count = np.minimum(RUN, end[run] - at)
     # the places of the minimiser in a string, from all places in order of (hash, place)
-    by_hash = np.lexsort((places, at_places))
-    places, key = places[by_hash], np.unique(at_places, return_inverse=True)[1][by_hash] * (len(data) + 1) + places[by_hash]
-    mine = np.searchsorted(np.unique(at_places), values[run]) * (len(data) + 1)
+    by_hash = np.argsort(at_places, kind="stable")
+    places, at_places = places[by_hash], at_places[by_hash]
+    number = np.cumsum(np.r_[False, at_places[1:] != at_places[:-1]])
+    key = number * (len(data) + 1) + places
+    mine = number[np.searchsorted(at_places, values[run])] * (len(data) + 1)
     low, high = np.searchsorted(key, mine + at), np.searchsorted(key, mine + at + count + WINDOW - KMER)
-    columns = (values[run].view(np.int64), at, count, high - low > 1, places[low] - at)
-    out = []
-    for h, a, n, twice, m in zip(*(c.tolist() for c in columns)):
-        piece = data[a : a + n - 1 + WINDOW]
-        out.append((h, xxhash.xxh3_64_intdigest(piece) - (1 << 63), a, n, twice, m, piece))
-    return out
+    strings = [data[a:b] for a, b in zip(at.tolist(), (at + count - 1 + WINDOW).tolist())]
+    sid = np.array([xxhash.xxh3_64_intdigest(x) for x in strings], np.uint64)
+    return [values[run].view(np.int64), sid.view(np.int64), at, count, high - low > 1, places[low] - at], strings
 
 
 def _packed(symbols: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
@@ -286,7 +286,7 @@ def _repeated_minimisers(rows: DataFrame) -> DataFrame:
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ts))], ["h", "t"])
 
-    found = stream_map(rows.select("t", "text"), run, "h long, t long")
+    found = written(stream_map(rows.select("t", "text"), run, "h long, t long"), "found", "zstd")
     repeated = found.groupBy("h").agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low < high").select("h")
     kept = found.filter("t >= 0").join(repeated, "h", "left_semi")
     return kept.groupBy("t").agg(F.collect_set("h").alias("hs"))  # bounded by the text's own length
@@ -301,14 +301,18 @@ def _strings(rows: DataFrame, firsts: DataFrame, lists: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
+            cut: list[list[np.ndarray]] = []
+            strings: list[bytes] = []
             columns = (batch.column("d").to_pylist(), batch.column("t").to_pylist(), texts_of(batch), batch.column("hs").to_pylist())
             for d, t, text, hs in zip(*columns):
-                data = text.encode("utf-8", "surrogatepass")
-                out += [(h, sid, d, t, at, n, twice, m, s) for h, sid, at, n, twice, m, s in cut_strings(data, np.array(hs, np.int64).view(np.uint64))]
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [f.split()[0] for f in STRING.split(", ")])
+                found, own = cut_strings(text.encode("utf-8", "surrogatepass"), np.array(hs, np.int64).view(np.uint64))
+                cut.append([np.full(len(own), d), np.full(len(own), t), *found])
+                strings += own
+            if strings:
+                d, t, h, sid, at, n, twice, m = (np.concatenate(c) for c in zip(*cut))
+                ready = (h, sid, d, t, at, n.astype(np.int32), twice, m.astype(np.int32))
+                arrays = [*(pa.array(c) for c in ready), pa.array(strings, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in STRING.split(", ")])
 
     return stream_map(chosen, run, STRING)
 
@@ -425,7 +429,7 @@ def _repeated_ranges(strings: DataFrame) -> DataFrame:
     first = strings.groupBy("h", "sid").agg(F.min(F.struct("d", "t", "start")).alias("first"))
     is_first = F.struct("d", "t", "start") == F.col("first")
     judged = strings.join(first, ["h", "sid"]).withColumn("is_first", is_first)
-    judged = written(judged.select("h", "d", "t", "start", "n", "twice", "m", "is_first", F.when(is_first, F.col("string")).alias("string")), "judged")
+    judged = written(judged.select("h", "d", "t", "start", "n", "twice", "m", "is_first", F.when(is_first, F.col("string")).alias("string")), "judged", "zstd")
     whole = judged.filter("NOT is_first").select("d", "t", F.col("start").alias("low"), (F.col("start") + F.col("n") - 1 + WINDOW).alias("high"))
     different = judged.filter("is_first")
     crowded = written(different.groupBy("h").count().filter(F.col("count") > HOT).select("h"), "hot")
@@ -452,8 +456,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     rows = _prepared(docs)
     narrow = written(rows.select("d", "m", "t", F.octet_length("text").alias("n")), "narrow")
     firsts = written(narrow.filter(F.col("n") >= WINDOW).groupBy("m", "t").agg(F.min("d").alias("d")), "firsts")
-    lists = written(_repeated_minimisers(rows), "minimisers")
-    strings = written(_strings(rows, firsts, lists), "strings")
+    lists = written(_repeated_minimisers(rows), "minimisers", "zstd")
+    strings = written(_strings(rows, firsts, lists), "strings", "zstd")
     ranges = _repeated_ranges(strings).groupBy("d", "t").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     ranges = written(firsts.join(ranges, ["d", "t"], "left").select(F.col("m").alias("_m"), F.col("d").alias("_d"), "ranges"), "ranges")
     # one row for each (d, m): whether it is the text's first document, how many equal rows there are, its ranges
