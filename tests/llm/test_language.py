@@ -36,3 +36,10 @@ def test_narrow_margin_is_rejected():
     assert same.guess("abc def")[2] and same.guess("abc def")[0] == "a"
     apart = language.Guesser({"a": b"the cat sat on the mat with a hat " * 30, "b": b"ein zwei drei vier auf dem dach da " * 30})
     assert apart.guess("the cat sat on the mat with a hat")[:1] == ("a",) and not apart.guess("ein zwei drei vier auf dem dach da")[2]
+
+
+def test_signs_that_are_no_letters():
+    guesser = language.Guesser({"a": b"abc def ghi " * 50})
+    for text in ("\u00bd \u00b2", "\u2167 12", "_ -- 7", ""):
+        assert guesser.guess(text) == ("und", 0.0, True)
+    assert guesser.guess("\u00bd \u00e9")[0] == "a"

@@ -108,3 +108,12 @@ def test_near_counts_of_odd_rows(odd_docs, no_docs):
         found.setdefault(r.doc_id, []).append(r.n_near)
     assert found[0] == found[1] == found[2] == [4] and found[3] == [4, 4]  # 0, 1, 2 and both rows of 3
     assert found[None] == found[4] == found[5] == [0] and minhash.with_near(no_docs).count() == 0
+
+
+def test_text_without_words_is_like_its_kind_only():
+    empty = minhash.digits(minhash.signature(minhash.shingle_hashes(" \n")))
+    assert minhash.likeness(empty, empty) == 1.0
+    for i in range(200):
+        other = minhash.digits(minhash.signature(minhash.shingle_hashes(f"some words of text {i}")))
+        assert minhash.likeness(empty, other) == minhash.likeness(other, empty) == 0.0
+        assert minhash.likeness(other, other) == 1.0

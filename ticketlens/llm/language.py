@@ -13,7 +13,6 @@ go to the first language by name; equal texts get equal results.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import pyarrow as pa
 import zstandard
@@ -34,7 +33,6 @@ LEVEL = 6
 #: A guess is rejected when the runner-up needs less than this share of bytes more.
 MARGIN = 0.02
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def training_slices(docs: DataFrame, keep: Column) -> dict[str, bytes]:
@@ -75,7 +73,7 @@ class Guesser:
 
     def guess(self, text: str) -> tuple[str, float, bool]:
         """Language, score (the larger the margin the nearer to 1), rejected."""
-        if not self.coders or not _LETTER.search(text):
+        if not self.coders or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, True
         sizes = self.sizes(text)
         best = min(range(len(sizes)), key=sizes.__getitem__)

@@ -73,6 +73,9 @@ def digits(full: np.ndarray) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    none = [bool((x == 0xFF).all()) for x in (a, b)]  # the fingerprint of no shingle
+    if any(none):
+        return float(all(none))
     chance = 1 / (1 << DIGIT_BITS)
     same = float((a == b).mean())
     return round(max(0.0, (same - chance) / (1 - chance)), 6)
