@@ -194,6 +194,34 @@ def enrich_all_splits(spark, sf_dir):
     return long.groupBy("tab", "split").agg(F.count("*").alias("rows"), F.count_if("ok").alias("enriched"))
 
 
+@query(
+    "M10_growing_dictionary",
+    f"""{X.oracle_views('tickets')}, cells AS (
+{' UNION ALL '.join(f"SELECT 'TAB_N{i}' AS tab, CANAL <> 'error' AS old, coalesce(TAB_N{i}, 'nan') AS text FROM tickets" for i in (1, 2, 3))}),
+texts AS (SELECT tab, text, coalesce(bool_or(old), false) AS old FROM cells GROUP BY tab, text),
+counts AS (SELECT tab, count(*) FILTER (WHERE old) AS first_texts, count(*) FILTER (WHERE NOT old) AS second_texts FROM texts GROUP BY tab)
+SELECT tab, first_texts, second_texts, 0 AS third_texts, (SELECT count(*) FROM tickets) AS equal_rows FROM counts""",
+)
+def growing_dictionary(spark, sf_dir):
+    """Texts scored in runs over tickets of all channels but one, over all tickets, and over all again; rows equal to a run without a store."""
+    df = X.tickets(spark, sf_dir)
+    model = S.fit_semantics(df)
+    path = scratch_path(spark, "scored_texts")
+    runs = [S.enrich_growing(model, part, path, ["PROTOCOLO"]) for part in (df.filter("CANAL <> 'error'"), df, df)]
+    tabs = list(params.CLUSTERS_PER_TAB)
+    scored = reduce(DataFrame.unionByName, [r.new_texts.select("tab", F.lit(i).alias("i")) for i, r in enumerate(runs)])
+    counts = scored.groupBy("tab").agg(*[F.count_if(F.col("i") == i).alias(f"{name}_texts") for i, name in enumerate(("first", "second", "third"))])
+    added = [f"{tab}_{kind}" for tab in tabs for kind in ("GROUP", "SENT_SCORE", "SENT_LABEL")]
+    whole = model.transform(df, ["PROTOCOLO"]).select("PROTOCOLO", *[F.col(c).alias(f"__{c}") for c in added])
+    both = runs[1].tickets.join(whole, "PROTOCOLO")
+    same = [
+        F.struct(F.lit(tab).alias("tab"), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in added if c.startswith(tab)]).alias("same"))
+        for tab in tabs
+    ]
+    equal = both.select(F.inline(F.array(*same))).groupBy("tab").agg(F.count_if("same").alias("equal_rows"))
+    return counts.join(equal, "tab")
+
+
 @query(
     "X2_own_text_level",
     f"""{X.oracle_views('tickets')} SELECT CANAL, count(*) AS rows, 1 AS groups, CASE CANAL WHEN 'error' THEN -1.0 WHEN 'purchase' THEN 1.0 END::DOUBLE

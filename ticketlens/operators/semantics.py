@@ -6,12 +6,14 @@ meet the finished dictionary, in one join per level.
 
 from __future__ import annotations
 
+import hashlib
 import logging
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -220,8 +222,22 @@ class SemanticModel:
             return df
         if dictionary is None:
             dictionary = pinned(text_dictionary(df, present, self.null_text))
-        scored = [self.levels[tab].score(dictionary.filter(F.col("tab") == tab)) for tab in present]
-        named = pinned(reduce(DataFrame.unionByName, scored))
+        return self._attach(df, present, pinned(self._scored(dictionary, present)), salt_by)
+
+    def key(self) -> str:
+        """Tells fitted models apart, by their labels, directions, bounds and centroids."""
+        found = hashlib.md5(self.null_text.encode())
+        for tab, level in sorted(self.levels.items()):
+            found.update(repr((tab, level.labels, level.weights, tuple(level.bounds))).encode())
+            for centre in level.kmeans.clusterCenters():
+                found.update(np.asarray(centre, float).tobytes())
+        return found.hexdigest()
+
+    def _scored(self, dictionary: DataFrame, present: Sequence[str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.levels[tab].score(dictionary.filter(F.col("tab") == tab)) for tab in present])
+
+    def _attach(self, df: DataFrame, present: Sequence[str], named: DataFrame, salt_by: Sequence[str] | None) -> DataFrame:
+        """The tickets with the columns that ``named`` holds for their texts."""
         out = df
         for tab in present:
             lookup = named.filter(F.col("tab") == tab).select(
@@ -293,6 +309,48 @@ def enrich(
     return model, model.transform(df, salt_by, dictionary)
 
 
+_SCORED_TEXT = "text string, cluster_id int, semantic_group string, sentiment_score double, sentiment_label string, model string, tab string"
+
+
+@dataclass(frozen=True)
+class GrownEnrichment:
+    """Enriched tickets, and the texts (tab, text, n) that were scored for them."""
+
+    tickets: DataFrame
+    new_texts: DataFrame
+
+
+def stored_texts(spark: SparkSession, path: str, model: SemanticModel) -> DataFrame:
+    """The texts that were scored with this model, one row each; none where nothing is stored yet."""
+    try:
+        found = spark.read.schema(_SCORED_TEXT).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = spark.createDataFrame([], _SCORED_TEXT)
+    return found.filter(F.col("model") == model.key()).drop("model").dropDuplicates(["tab", "text"])
+
+
+def enrich_growing(model: SemanticModel, df: DataFrame, path: str, salt_by: Sequence[str] | None = None) -> GrownEnrichment:
+    """``model.transform(df)``, with the scored texts kept as a table at ``path``: only texts it lacks are encoded, and appended.
+
+    Rows carry the key of their model, so texts of another fit do not count as known. A text that is appended twice, by two runs at once
+    or by one that was repeated, counts once. Columns that ``df`` lacks are skipped.
+    """
+    present = model._present(df)
+    if not present:
+        return GrownEnrichment(df, text_dictionary(df, []).select("tab", "text", "n"))
+    spark = df.sparkSession
+    dictionary = pinned(text_dictionary(df, present, model.null_text).select("tab", "text", "n"))
+    new = pinned(dictionary.join(stored_texts(spark, path, model), ["tab", "text"], "left_anti"))
+    if new.take(1):
+        rows = model._scored(new, present).withColumn("model", F.lit(model.key()))
+        columns = [F.col(f.split()[0]).cast(f.split()[1]) for f in _SCORED_TEXT.split(", ")]
+        rows.select(*columns).write.mode("append").partitionBy("model", "tab").parquet(path)
+    named = pinned(dictionary.join(stored_texts(spark, path, model), ["tab", "text"]))
+    return GrownEnrichment(model._attach(df, present, named, salt_by), new)
+
+
 def sparse_weights(weights: Sequence[float] | None) -> tuple[int | None, list[int] | None, list[float] | None]:
     """(size, places, values) of a direction, which has as many entries other than 0 as its seeds have."""
     if weights is None:
