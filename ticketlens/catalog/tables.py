@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ticketlens import fixtures as X
 from ticketlens import params, schemas
-from ticketlens.catalog.oracle_parts import INDICATORS, feature_view, metrics_view, terms_view
+from ticketlens.catalog.oracle_parts import INDICATORS, INPUTS, ROUNDED, feature_view, metrics_view, terms_view
 from ticketlens.catalog.registry import query
 from ticketlens.operators import metrics as M
 from ticketlens.operators import profile, split, temporal
@@ -354,6 +354,42 @@ def identifier_check(spark, sf_dir):
     return rounded(profile.identifier_check(X.tickets(spark, sf_dir), "TICKET_MEDIO"), "mean_customers", "single_pct")
 
 
+_PROFILED = ["PROTOCOLO", *INPUTS]
+_EXACT = f"""{feature_view('tickets_semantic')}, cells AS (SELECT ID_CLIENTE AS customer, {', '.join(
+    f"CAST({f'round({c}, 6)' if c in ROUNDED else c} AS VARCHAR) AS {c}" for c in _PROFILED)} FROM tickets_features),
+long AS (UNPIVOT cells ON {', '.join(_PROFILED)} INTO NAME feature VALUE v),
+c AS (SELECT feature, v, count(DISTINCT customer) AS customers FROM long GROUP BY ALL),
+counted AS (SELECT feature, count(*) AS values, CAST(sum(customers) AS BIGINT) AS pairs FROM c GROUP BY feature)"""
+
+
+def _profiled(spark, sf_dir):
+    """The ticket number and all model inputs."""
+    features = build_features(X.tickets_semantic(spark, sf_dir))
+    return rounded(features.select("ID_CLIENTE", *_PROFILED), *ROUNDED)
+
+
+@query(
+    "D5_identifying_features",
+    f"{_EXACT} SELECT feature, CAST(pairs AS DOUBLE) / CAST(values AS DOUBLE) <= CAST(1.05 AS DOUBLE) AS identifying FROM counted",
+)
+def identifying_features(spark, sf_dir):
+    """All columns from one scan; those near the limit counted exactly."""
+    return profile.identifying_features(_profiled(spark, sf_dir), _PROFILED).select("feature", "identifying")
+
+
+@query("D5_identifier_counts", f"{_EXACT} SELECT feature, values, pairs, true AS estimated_well FROM counted")
+def identifier_counts(spark, sf_dir):
+    """Exact counts of all columns, and whether the sketches lie within four deviations of them."""
+    df = _profiled(spark, sf_dir)
+    sketched = profile.identifier_sketches(df, _PROFILED).toDF("feature", "about_values", "about_pairs")
+    margin = 4 * 1.04 / 2 ** (profile.SKETCH_BITS / 2)
+    return profile.identifier_counts(df, _PROFILED).join(sketched, "feature").select(
+        "feature", "values", "pairs",
+        ((F.abs(F.col("about_values") - F.col("values")) <= margin * F.col("values"))
+         & (F.abs(F.col("about_pairs") - F.col("pairs")) <= margin * F.col("pairs"))).alias("estimated_well"),
+    )
+
+
 @query(
     "D6_drift",
     f"""{_ALL('split_semantic')},

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ticketlens import params
+from ticketlens import params, schemas
+from ticketlens.runtime import local_table
+
+#: A column whose values stand for at most this many customers on average tells customers apart.
+IDENTIFYING_MEAN = 1.05
+#: Distinct-count sketches have 2 to this power registers (16 KB a column).
+SKETCH_BITS = 14
 
 
 def label_distribution(df: DataFrame, label: str = params.LABEL) -> DataFrame:
@@ -95,6 +102,80 @@ def identifier_check(df: DataFrame, value: str, customer: str = params.CUSTOMER)
     ).withColumn("single_pct", F.col("single_customer_values") * 100.0 / F.nullif("values", F.lit(0)))
 
 
+def _values(df: DataFrame, name: str) -> Column:
+    """A numeric column with one zero: -0.0 and 0.0 are one value, as in a grouping."""
+    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return F.col(f"`{name}`") + F.lit(0.0) if floating else F.col(f"`{name}`")
+
+
+def identifier_counts(df: DataFrame, columns: Sequence[str], customer: str = params.CUSTOMER) -> DataFrame:
+    """(feature, values, pairs) exactly, for all columns in one pass: different values, and different (value, customer).
+
+    A missing customer counts as one more customer; a column without values has a row of zeros.
+    """
+    if not columns:
+        return df.sparkSession.createDataFrame([], "feature string, values long, pairs long")
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), _values(df, c).cast("string").alias("value")) for c in columns])
+    known = df.select(F.col(customer).alias("_customer"), F.inline(cells))
+    pairs = known.groupBy("feature", "value", "_customer").agg(F.lit(1).alias("one"))
+    per_value = pairs.groupBy("feature", "value").agg(F.count("*").alias("customers"))
+    known_value = F.col("value").isNotNull()
+    return per_value.groupBy("feature").agg(
+        F.count_if(known_value).alias("values"), F.coalesce(F.sum(F.when(known_value, F.col("customers"))), F.lit(0)).alias("pairs")
+    )
+
+
+def identifier_sketches(df: DataFrame, columns: Sequence[str], customer: str = params.CUSTOMER, precision: int = SKETCH_BITS) -> DataFrame:
+    """(feature, values, pairs) estimated, for all columns in one scan that moves a few KB per column and task.
+
+    The distinct-count sketches have ``2 ** precision`` registers, a relative deviation of about ``1.04 / 2 ** (precision / 2)``.
+    """
+    if not columns:
+        return df.sparkSession.createDataFrame([], "feature string, values long, pairs long")
+
+    def estimate(hashed: Column, name: str) -> Column:
+        sketch = F.hll_sketch_agg(F.when(F.col(f"`{name}`").isNotNull(), hashed), F.lit(precision))
+        return F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0)).cast("long")
+
+    sums = []
+    for i, name in enumerate(columns):
+        value = _values(df, name)
+        sums.append(estimate(F.xxhash64(value), name).alias(f"v{i}"))
+        sums.append(estimate(F.xxhash64(value, F.col(customer).isNull(), F.col(customer)), name).alias(f"p{i}"))
+    rows = [
+        F.struct(F.lit(name).alias("feature"), F.col(f"v{i}").alias("values"), F.col(f"p{i}").alias("pairs"))
+        for i, name in enumerate(columns)
+    ]
+    return df.agg(*sums).select(F.inline(F.array(*rows)))
+
+
+def identifying_features(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    customer: str = params.CUSTOMER,
+    limit: float = IDENTIFYING_MEAN,
+    precision: int = SKETCH_BITS,
+) -> DataFrame:
+    """Which numeric columns tell customers apart: those whose values stand for at most ``limit`` customers on average.
+
+    One scan sketches all columns. Only columns whose estimated mean lies within four deviations of ``limit`` are counted exactly, all of them
+    in one pass; ``exact`` marks them. The default is every numeric column but the customer. A column without values has a null mean and is
+    not identifying. Sketches of the same rows give the same estimate, whatever their order.
+    """
+    if columns is None:
+        columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name != customer]
+    sketched = identifier_sketches(df, columns, customer, precision).collect()  # a row per column of the table
+    margin = 4 * 2**0.5 * 1.04 / 2 ** (precision / 2)
+    near = [r.feature for r in sketched if r["values"] and abs(r.pairs / r["values"] / limit - 1) <= margin]
+    counted = {r.feature: r for r in identifier_counts(df, near, customer).collect()} if near else {}
+    rows = []
+    for r in sketched:
+        found = counted.get(r.feature, r)
+        mean = max(1.0, found.pairs / found["values"]) if found["values"] else None
+        rows.append((r.feature, found["values"], found.pairs, mean, mean is not None and mean <= limit, r.feature in counted))
+    return local_table(df.sparkSession, rows, schemas.IDENTIFYING)
+
+
 def drift(df: DataFrame, features: Sequence[str], bins: int = 10, base: str = "train") -> DataFrame:
     """Population stability index of each feature in each split against the base split.
 

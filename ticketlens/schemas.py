@@ -8,6 +8,7 @@ _TYPES = {
     "int": T.IntegerType(),
     "bigint": T.LongType(),
     "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
     "timestamp_ntz": T.TimestampNTZType(),
     "array<float>": T.ArrayType(T.FloatType()),
 }
@@ -38,3 +39,4 @@ IMPORTANCES = table_schema("feature string, importance double")
 SEEDS = table_schema("tab string, seed_text string, score double")
 CRITICAL_CLUSTERS = table_schema("tab string, feature string, label string")
 CLUSTER_DICTIONARY = table_schema("tab string, cluster_id int, label string")
+IDENTIFYING = table_schema("feature string, values bigint, pairs bigint, mean_customers double, identifying boolean, exact boolean")
