@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ticketlens import fixtures as X
+from ticketlens import params
 from ticketlens.catalog.oracle_parts import metrics_view
 from ticketlens.catalog.registry import query
 from ticketlens.catalog.tables import metrics_at, rounded
@@ -183,6 +184,30 @@ def cluster_statistics(spark, sf_dir):
     )
 
 
+_LEVEL_IDS = {"TAB_N1": 4, "TAB_N2": 5, "TAB_N3": 10}
+_LEVELS_BY_ID = " UNION ALL ".join(
+    f"SELECT '{tab}' AS tab, CAST(PROTOCOLO % {k} AS INTEGER) AS cluster_id, {tab}_GROUP AS semantic_group, {tab}_SENT_LABEL AS mood "
+    "FROM tickets_semantic"
+    for tab, k in _LEVEL_IDS.items()
+)
+
+
+@query(
+    "R5_clusters_of_one_label",
+    f"""{X.oracle_views('tickets_semantic')}, long AS ({_LEVELS_BY_ID}),
+m AS (SELECT tab, cluster_id, semantic_group, mood, count(*) AS c FROM long WHERE semantic_group IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY tab, cluster_id, semantic_group ORDER BY c DESC, mood) AS rn,
+  sum(c) OVER (PARTITION BY tab, cluster_id, semantic_group) AS texts FROM m)
+SELECT tab, cluster_id, semantic_group, CAST(texts AS BIGINT) AS texts, mood AS dominant_sentiment,
+  CAST(sum(texts) OVER (PARTITION BY tab) AS BIGINT) AS tab_texts, count(*) OVER (PARTITION BY tab) AS tab_clusters
+FROM r WHERE rn = 1""",
+)
+def clusters_of_one_label(spark, sf_dir):
+    """Clusters by id: two of the second level have one label."""
+    ids = {f"{tab}{params.CLUSTER_SUFFIX}": (F.col("PROTOCOLO") % k).cast("int") for tab, k in _LEVEL_IDS.items()}
+    return report.semantic_clusters(X.tickets_semantic(spark, sf_dir).withColumns(ids)).drop("keywords")
+
+
 _COMPARED = (
     "dataset, "
     + ", ".join(f"round({n}, 6) AS {n}, s_{n} AS stored_{n}, round({n} - s_{n}, 6) AS delta_{n}" for n in _METRICS)

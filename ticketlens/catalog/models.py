@@ -26,6 +26,7 @@ from ticketlens.operators.temporal import with_period
 from ticketlens.operators.training import feature_matrix, input_names
 from ticketlens.plans.end_to_end import Run, run
 from ticketlens.runtime import pinned, scratch_path
+from ticketlens.sources import published
 from ticketlens.sources.tables import read_table, write_importances
 from ticketlens.streaming import scoring
 
@@ -349,6 +350,37 @@ def save_load_model(spark, sf_dir):
     return after.groupBy("split").agg(F.count("*").alias("rows"), F.count_if(gap == 0).alias("same"))
 
 
+@query(
+    "S10_published_scorer",
+    f"{X.oracle_views('split_semantic')} SELECT count(*) AS rows, count(*) AS same, 2 AS versions FROM split_semantic",
+)
+def published_scorer(spark, sf_dir):
+    """Text levels and trees published twice, a third time by a writer that dies; every ticket then scores as by the second."""
+    semantics, _ = enriched_tickets(spark, sf_dir)
+    model = trained(spark, sf_dir).training.model
+    path = scratch_path(spark, "scorer")
+    scoring.save_scorer(S.SemanticModel({"TAB_N1": semantics.levels["TAB_N1"]}), model, spark, path)
+    scoring.save_scorer(semantics, model, spark, path)
+
+    def dies(folder: str) -> None:
+        S.write_semantics(semantics, spark, f"{folder}/semantics")
+        raise RuntimeError("killed")
+
+    try:
+        published.publish(spark, path, dies)
+    except RuntimeError:
+        pass
+    tickets = X.tickets(spark, sf_dir).withColumn("TARGET", F.lit(0)).drop("ID_CLIENTE", "CODIGO", "NUMERO_OS")
+    carry = ["PROTOCOLO"]
+    now = scoring.score_tickets(tickets, *scoring.load_scorer(spark, path), "TARGET", carry).select("PROTOCOLO", F.col("p").alias("now"))
+    both = scoring.score_tickets(tickets, semantics, model, "TARGET", carry).join(now, "PROTOCOLO")
+    return both.agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col("p") == F.col("now")).alias("same"),
+        F.lit(published.versions(spark, path).count()).cast("int").alias("versions"),
+    )
+
+
 @query(
     "M18_training_run",
     f"""{X.oracle_views('split_semantic')} SELECT split, count(*) AS rows, CAST(sum(TARGET) AS BIGINT) AS positives, true AS valid

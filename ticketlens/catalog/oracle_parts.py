@@ -1,4 +1,7 @@
-"""Pieces of oracle SQL that several queries share. Written by hand, not derived from the Spark expressions."""
+"""Pieces of oracle SQL that several queries share. Written by hand, not derived from the Spark expressions.
+
+Names of indicators and the labels and patterns they match are fixed values.
+"""
 
 from __future__ import annotations
 

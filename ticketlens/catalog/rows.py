@@ -267,6 +267,7 @@ def importances(spark, sf_dir):
     return hits.select("feature", (F.col("hits") / wide.select(total).scalar()).alias("importance"))
 
 
+# fixed values: kinds of model inputs by parts of their names
 _KIND = """CASE WHEN contains(feature, 'count_') THEN 'Contador' WHEN contains(feature, 'prop_') OR contains(feature, 'sent_score_')
   THEN 'Sentimento' WHEN contains(feature, 'escalation_') OR contains(feature, 'degradacao_') THEN 'Escalation'
   WHEN contains(feature, 'flag_') THEN 'Flag Crítica' WHEN contains(feature, '_mean') OR contains(feature, '_std')

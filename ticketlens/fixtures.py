@@ -12,6 +12,7 @@ from ticketlens import params, schemas
 from ticketlens.operators.split import stratified_split
 from ticketlens.sources.tables import read_table
 
+# ---- fixed values: label strings of the tables the library is meant for
 TICKETS = [
     "user_id AS ID_CLIENTE",
     "event_id % 997 AS CODIGO",
@@ -56,6 +57,7 @@ SEMANTIC_LABELS = [
     f"ELSE 'neutro' END AS TAB_N{i}_SENT_LABEL"
     for i in (1, 2, 3)
 ]
+# ---- end of fixed values
 SCORE = "CAST(PROTOCOLO * 7919 % 601 + TARGET * 350 AS DOUBLE) / 1000 AS p"
 
 
@@ -71,10 +73,6 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/embeddings.parquet", schema=schemas.EMBEDDINGS)
 
 
-def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/labels.parquet", schema=schemas.LABELS)
-
-
 def as_tickets(events_df: DataFrame) -> DataFrame:
     return events_df.selectExpr(*TICKETS)
 

@@ -104,10 +104,16 @@ def label_clusters(ids: DataFrame, labels: DataFrame, group: Sequence[str]) -> D
 
 
 def unpivot_levels(df: DataFrame, tabs: Sequence[str]) -> DataFrame:
-    """(tab, semantic_group, mood) rows of an enriched ticket table."""
+    """(tab, cluster_id, semantic_group, mood) rows of an enriched ticket table; no id where the table has none."""
+
+    def cluster(tab: str):
+        name = f"{tab}{params.CLUSTER_SUFFIX}"
+        return F.col(f"`{name}`").cast("int") if name in df.columns else F.lit(None).cast("int")
+
     parts = [
         F.struct(
             F.lit(tab).alias("tab"),
+            cluster(tab).alias("cluster_id"),
             F.col(f"{tab}_GROUP").alias("semantic_group"),
             F.col(f"{tab}_SENT_LABEL").alias("mood"),
         )
@@ -118,16 +124,20 @@ def unpivot_levels(df: DataFrame, tabs: Sequence[str]) -> DataFrame:
 
 
 def cluster_statistics(df: DataFrame, tabs: Sequence[str] = tuple(params.CLUSTERS_PER_TAB)) -> DataFrame:
-    """Per level and cluster: texts in it, keywords, dominant mood; and the level's texts and clusters in all."""
+    """Per level and cluster: texts in it, keywords, dominant mood; and the level's texts and clusters in all.
+
+    Clusters are told apart by id, so two of one label stay two; tables without ids by their label.
+    """
     per_mood = unpivot_levels(df, tabs).filter(F.col("semantic_group").isNotNull())
-    per_mood = per_mood.groupBy("tab", "semantic_group", "mood").agg(F.count("*").alias("rows"))
-    per_cluster = per_mood.groupBy("tab", "semantic_group").agg(
+    per_mood = per_mood.groupBy("tab", "cluster_id", "semantic_group", "mood").agg(F.count("*").alias("rows"))
+    per_cluster = per_mood.groupBy("tab", "cluster_id", "semantic_group").agg(
         F.sum("rows").alias("texts"),
         F.min(F.struct(-F.col("rows"), F.col("mood"))).alias("top"),
     )
     level = Window.partitionBy("tab")  # over clusters, of which a level has k
     return per_cluster.select(
         "tab",
+        "cluster_id",
         "semantic_group",
         "texts",
         F.split("semantic_group", ", ").alias("keywords"),

@@ -28,12 +28,12 @@ from ticketlens.operators.direction import seed_direction
 from ticketlens.operators.encoders import EMBEDDING, fit_hashed_tfidf, load_encoder, save_encoder
 from ticketlens.operators.joins import attach_cluster_label, lookup_join
 from ticketlens.runtime import local_table, pinned, shuffle_parts
+from ticketlens.sources.published import current, publish
 from ticketlens.sources.tables import read_table, write_table
 
 log = logging.getLogger(__name__)
 
 
-
 @dataclass(frozen=True)
 class TextLevel:
     """How one text column is treated: number of clusters and sentiment seeds."""
@@ -216,7 +216,7 @@ class SemanticModel:
     def transform(
         self, df: DataFrame, salt_by: Sequence[str] | None = None, dictionary: DataFrame | None = None
     ) -> DataFrame:
-        """Append ``_GROUP``, ``_SENT_SCORE`` and ``_SENT_LABEL`` for each level the table has."""
+        """Append ``_GROUP``, ``_SENT_SCORE``, ``_SENT_LABEL`` and ``_CLUSTER`` (its id) for each level the table has."""
         present = self._present(df) if self.levels or dictionary is None else []
         if not present:
             return df
@@ -245,6 +245,7 @@ class SemanticModel:
                 F.col("semantic_group").alias(f"{tab}_GROUP"),
                 F.col("sentiment_score").alias(f"{tab}_SENT_SCORE"),
                 F.col("sentiment_label").alias(f"{tab}_SENT_LABEL"),
+                F.col("cluster_id").alias(f"{tab}{params.CLUSTER_SUFFIX}"),
                 "n",
             )
             keyed = out.withColumn("__text", prepare_text(tab, self.null_text))
@@ -261,6 +262,7 @@ class SemanticModel:
                 F.col("semantic_group").alias(f"{tab}_GROUP"),
                 F.col("sentiment_score").alias(f"{tab}_SENT_SCORE"),
                 F.col("sentiment_label").alias(f"{tab}_SENT_LABEL"),
+                F.col("cluster_id").alias(f"{tab}{params.CLUSTER_SUFFIX}"),
             )
         return out
 
@@ -367,7 +369,19 @@ def full_weights(size: int | None, places: Sequence[int] | None, values: Sequenc
     return tuple(out.tolist())
 
 
-def save_semantics(model: SemanticModel, spark: SparkSession, path: str) -> None:
+def save_semantics(model: SemanticModel, spark: SparkSession, path: str) -> int:
+    """Publish the model whole, as the next version at ``path``: a save that dies leaves the version before it."""
+    return publish(spark, path, lambda folder: write_semantics(model, spark, folder))
+
+
+def load_semantics(
+    spark: SparkSession, path: str, tabs: Sequence[str] | None = None, encoder: object | None = None
+) -> SemanticModel:
+    """The last published version, its files compared with their checksums. Parameters as in ``read_semantics``."""
+    return read_semantics(spark, current(spark, path), tabs, encoder)
+
+
+def write_semantics(model: SemanticModel, spark: SparkSession, path: str) -> None:
     """Each level as its encoder, its k-means model and two small tables."""
     if not model.levels:
         raise ValueError("the semantic model has not been fitted")
@@ -386,7 +400,7 @@ def save_semantics(model: SemanticModel, spark: SparkSession, path: str) -> None
     write_table(spark.createDataFrame([(tab,) for tab in model.levels], "tab string").coalesce(1), f"{path}/levels")
 
 
-def load_semantics(
+def read_semantics(
     spark: SparkSession, path: str, tabs: Sequence[str] | None = None, encoder: object | None = None
 ) -> SemanticModel:
     """The stored levels, or those of ``tabs`` that are stored; ``encoder`` for levels whose encoder holds code."""

@@ -24,6 +24,7 @@ from ticketlens.functions.text import feature_kind
 from ticketlens.operators import metrics as M
 from ticketlens.operators.calibration import calibrate, fit_calibration
 from ticketlens.runtime import checkpoint_base, local_table, pinned
+from ticketlens.sources.published import current, publish
 from ticketlens.sources.tables import check_splits
 
 _NOT_INPUTS = ("split", "label", "fold")
@@ -49,7 +50,8 @@ def feature_matrix(df: DataFrame, label: str = params.LABEL, carry: Sequence[str
     The inputs are chosen from the one schema all splits share.
     """
     kept = [c for c in carry if c in df.columns]
-    inputs = [c for c in numeric_columns(drop_non_model(df)) if c not in (*kept, *_NOT_INPUTS)]
+    numeric = numeric_columns(drop_non_model(df))
+    inputs = [c for c in numeric if c not in (*kept, *_NOT_INPUTS) and not c.endswith(params.CLUSTER_SUFFIX)]  # an id is no quantity
     labelled = with_label(df, label)
     return labelled.select(*kept, "label", *inputs).fillna(0, subset=inputs)
 
@@ -208,9 +210,11 @@ def evaluate_folds(scored: DataFrame) -> DataFrame:
     return table.select("fold", (positives + F.col("fp") + F.col("tn")).alias("rows"), positives.alias("positives"), "auc_roc")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel, path: str) -> int:
+    """Publish the model whole, as the next version at ``path``: a save that dies leaves the version before it."""
+    return publish(SparkSession.active(), path, model.save)
 
 
 def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    """The last published version, its files compared with their checksums."""
+    return PipelineModel.load(current(SparkSession.active(), path))

@@ -123,3 +123,6 @@ FEATURE_KINDS = [
 ]
 OTHER_KIND = "Original"
 # ------------------------------------------------------------ end fixed values
+
+#: Ending of the columns that hold a text level's cluster id.
+CLUSTER_SUFFIX = "_CLUSTER"

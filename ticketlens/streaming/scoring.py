@@ -15,12 +15,30 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ticketlens.functions.times import event_time
 from ticketlens.operators.features import build_features
-from ticketlens.operators.semantics import SemanticModel
+from ticketlens.operators.semantics import SemanticModel, read_semantics, write_semantics
 from ticketlens.operators.training import feature_matrix, predict
+from ticketlens.sources.published import current, publish
 from ticketlens.sources.tables import nan_to_null
 
 _AT = "__at"
 
+
+def save_scorer(semantics: SemanticModel, model: PipelineModel, spark: SparkSession, path: str) -> int:
+    """Publish text levels and trees together, as one version: a stream never meets the one of a fit and the other of another."""
+
+    def write(folder: str) -> None:
+        write_semantics(semantics, spark, f"{folder}/semantics")
+        model.save(f"{folder}/model")
+
+    return publish(spark, path, write)
+
+
+def load_scorer(spark: SparkSession, path: str, encoder: object | None = None) -> tuple[SemanticModel, PipelineModel]:
+    """Text levels and trees of the last published version; ``encoder`` for levels whose encoder holds code."""
+    folder = current(spark, path)
+    return read_semantics(spark, f"{folder}/semantics", encoder=encoder), PipelineModel.load(f"{folder}/model")
+
+
 def ticket_stream(
     spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = None, files_per_trigger: int = 1_000
 ) -> DataFrame:
