@@ -221,3 +221,29 @@ def test_sources(spark, tmp_path):
     assert back.exceptAll(df).count() == 0 and back.count() == 2
     with pytest.raises(ValueError):
         T.read_table(spark, csv)
+
+
+def test_term_scores_slice_by_slice(spark, monkeypatch):
+    """Terms weighed in slices score as at once; each slice is written before the next one is sent, hot terms and a missing key included."""
+    texts = spark.range(400).selectExpr(
+        "CAST(id % 2 AS int) AS cluster", "CASE WHEN id > 0 THEN id END AS key", "1 + id % 3 AS n",
+        "concat('sinal ', 'rede', id % 7, ' cabo', id % 11, ' sinal fibra', id, CASE WHEN id % 5 = 0 THEN ' modem' ELSE '' END) AS text",
+    )
+    names, write = [], clusters.written
+
+    def recorded(df, name="table", *rest):
+        names.append(name)
+        return write(df, name, *rest)
+
+    def scores():
+        return {(r.cluster, r.term): r.score for r in clusters.term_scores(texts, ["cluster"], "key").collect()}
+
+    monkeypatch.setattr(clusters, "written", recorded)
+    at_once = scores()
+    assert "scores" not in names
+    monkeypatch.setattr(clusters, "SLICE_BYTES", 100)
+    sliced = scores()
+    assert names.count("scores") == clusters.SLICES and names.count("lengths") == clusters.SLICES + 1
+    assert sliced == pytest.approx(at_once, rel=1e-12) and len(sliced) > 800
+    words = {(r.cluster, r.words) for r in texts.selectExpr("cluster", "split(text, ' ') AS words").selectExpr("cluster", "explode(words) AS words").collect()}
+    assert words <= set(sliced)
