@@ -82,3 +82,24 @@ def test_periodic_and_overlapping(spark):
     texts = [(0, "ab" * 300), (1, noise), (2, noise[37:190] + "x" + noise[150:390]), (3, "ab" * 80 + noise[5:110]), (4, noise[:99]), (5, "z" * 101), (6, noise[:100])]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     assert got(suffix_dedup.deduplicated(docs)) == brute(texts)
+
+
+def test_crowded_line_makes_few_windows(spark, monkeypatch):
+    """Around a line that very many texts have, only windows whose core is shared are hashed, each once for a batch."""
+    rnd = random.Random(7)
+    noise = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    line = noise(130)
+    texts = [(i, noise(120) + line + noise(120)) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    tables, write = {}, suffix_dedup.written
+
+    def recorded(df, name, *rest):
+        tables[name] = write(df, name, *rest)
+        return tables[name]
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    monkeypatch.setattr(suffix_dedup, "written", recorded)
+    assert got(suffix_dedup.deduplicated(docs)) == brute(texts)
+    assert tables["hot"].count() > 0
+    made = sum(r.n for r in tables["judged"].join(tables["hot"], "h").collect())
+    assert 0 < tables["windows"].count() < 0.8 * made

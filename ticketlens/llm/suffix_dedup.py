@@ -11,8 +11,8 @@ A byte goes if it lies in a ``WINDOW``-byte string that also starts earlier (sma
    collection is built column by column: each round inserts the next symbol, from the right, of every string at the place its rank in
    the Burrows-Wheeler transform gives, and updates the common prefixes with range minima. Windows are suffixes of at least ``WINDOW``
    bytes, and equal windows are neighbours with common prefixes that long; all but the first of them are repeats.
-   Minimisers with more than ``HOT`` different strings do not go to one task: their windows are spread by their own 128-bit hashes, and
-   the least position of each is aggregated before the shuffle.
+   Minimisers with more than ``HOT`` different strings do not go to one task: their parts are spread by the hash of their core, and of
+   parts whose core another string has, the windows by their own 128-bit hashes; windows equal within a batch are settled there.
 4. The repeated ranges of each document are united and cut out of its text.
 
 A batch is bounded, so transform and prefixes are arrays in the task's memory that are rewritten in sequence each round, not files.
@@ -40,7 +40,7 @@ WINDOW = 100
 KMER = 32
 RUN = 64
 HOT = 2000
-#: Strings whose suffixes are ordered together; a batch ends with the minimiser that reaches it.
+#: Strings at most whose suffixes are ordered together.
 BATCH_STRINGS = 3000
 #: Classes of windows by the place of their minimiser.
 CORES = 3
@@ -340,8 +340,17 @@ def _window_ranges(rows: list[tuple]) -> list[tuple]:
     return [(rows[w][0], rows[w][1], rows[w][2] + int(a), rows[w][2] + int(b) + WINDOW) for w, a, b in zip(who[new], offset[new], offset[last])]
 
 
-def _families(group: list[tuple]) -> tuple[list[tuple], list[tuple]]:
-    """Of the strings (h, d, t, start, twice, m, string) of one minimiser: ranges that are repeats, and parts to be ordered.
+def _cores(m: int, string: bytes) -> Iterator[tuple[int, bytes, int, bytes]]:
+    """(class, core, first window, part) of a string that holds its minimiser at ``m`` only."""
+    width, n = -(-(WINDOW - KMER + 1) // CORES), len(string) - WINDOW + 1
+    for q in range(CORES):
+        low, high = max(0, m - (q + 1) * width + 1), min(n - 1, m - q * width)  # windows of this class
+        if low <= high:
+            yield q, string[max(0, m - q * width) : m - (q + 1) * width + 1 + WINDOW], low, string[low : high + WINDOW]
+
+
+def _families(group: list[tuple]) -> tuple[list[tuple], list[list[tuple]]]:
+    """Of the strings (h, d, t, start, twice, m, string) of one minimiser: ranges that are repeats, and families of parts to be ordered.
 
     Equal windows hold the minimiser at the same place, so windows are put into ``CORES`` classes by that place. All windows of a
     class have a common core; where no other string has the same core, none of them can be a repeat. Of equal parts the first
@@ -350,16 +359,11 @@ def _families(group: list[tuple]) -> tuple[list[tuple], list[tuple]]:
     if len(group) == 1 and not group[0][4]:
         return [], []
     if any(r[4] for r in group):
-        return [], [(r[1], r[2], r[3], r[6]) for r in group]
-    width = -(-(WINDOW - KMER + 1) // CORES)
+        return [], [[(r[1], r[2], r[3], r[6]) for r in group]]
     by_core: dict[tuple, list[tuple]] = {}
     for _, d, t, start, _, m, string in group:
-        n = len(string) - WINDOW + 1
-        for q in range(CORES):
-            low, high = max(0, m - (q + 1) * width + 1), min(n - 1, m - q * width)  # windows of this class
-            if low <= high:
-                core = string[max(0, m - q * width) : m - (q + 1) * width + 1 + WINDOW]
-                by_core.setdefault((q, core), []).append((d, t, start + low, string[low : high + WINDOW]))
+        for q, core, low, part in _cores(m, string):
+            by_core.setdefault((q, core), []).append((d, t, start + low, part))
     ranges, ordered = [], []
     for parts_ in by_core.values():
         if len(parts_) > 1:
@@ -368,7 +372,7 @@ def _families(group: list[tuple]) -> tuple[list[tuple], list[tuple]]:
                 if first.setdefault(part[3], part)[:3] != part[:3]:  # a repeated row gives the same part twice
                     ranges.append((part[0], part[1], part[2], part[2] + len(part[3])))
             if len(first) > 1:
-                ordered += first.values()
+                ordered.append(list(first.values()))
     return ranges, ordered
 
 
@@ -384,10 +388,11 @@ def _within_tasks(strings: DataFrame) -> DataFrame:
             ranges, ordered = _families(group)
             found.extend(ranges)
             mine = waiting[any(r[4] for r in group)]
-            mine.extend(ordered)
-            if len(mine) >= BATCH_STRINGS:
-                found.extend(_window_ranges(mine))
-                mine.clear()
+            for family in ordered:  # equal windows lie in one family, so a batch may end between two of a minimiser
+                if mine and len(mine) + len(family) > BATCH_STRINGS:
+                    found.extend(_window_ranges(mine))
+                    mine.clear()
+                mine.extend(family)
             group.clear()
 
         for batch in batches:
@@ -405,23 +410,69 @@ def _within_tasks(strings: DataFrame) -> DataFrame:
     return stream_map(dealt.select("h", "d", "t", "start", "twice", "m", "string"), run, RANGE)
 
 
+PART = "c1 long, c2 long, d long, t long, start long, string binary"
+FOUND = "w1 long, w2 long, d long, t long, low long, high long"
+
+
+def _halves(data: bytes) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(data)
+    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
+
+
+def _columns(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = [pa.binary() if kind == "binary" else pa.int64() for _, kind in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], [n for n, _ in fields])
+
+
+def _local_windows(strings: list[tuple]) -> list[tuple]:
+    """Of strings (d, t, start, string): windows that have another one equal to them among these as ranges, but for the first ones,
+    which are given with their hashes as (w1, w2, d, t, low, None)."""
+    first: dict[tuple[int, int], tuple] = {}
+    hashed = []
+    for d, t, start, string in strings:
+        own = [_halves(string[i : i + WINDOW]) for i in range(len(string) - WINDOW + 1)]
+        hashed.append(own)
+        for i, w in enumerate(own):
+            at = (d, t, start + i)
+            if first.setdefault(w, at) > at:
+                first[w] = at
+    out = [(*w, *at, None) for w, at in first.items()]
+    for (d, t, start, _), own in zip(strings, hashed):
+        later = [(start + i, start + i + WINDOW) for i, w in enumerate(own) if first[w] < (d, t, start + i)]
+        out += [(None, None, d, t, low, high) for low, high in united(later)]
+    return out
+
+
 def _spread_windows(strings: DataFrame) -> DataFrame:
-    """The same for minimisers with very many strings: windows by their own hash."""
+    """The same for minimisers with very many strings: parts with a core that another string has, then their windows by their own hash.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``mixed`` marks minimisers that a string holds twice; their strings have no cores and go on as they are.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[int]] = [[], [], [], [], []]
-            for d, t, start, n, s in zip(*(batch.column(c).to_pylist() for c in ("d", "t", "start", "n", "string"))):
-                for i in range(n):
-                    h = xxhash.xxh3_128_intdigest(s[i : i + WINDOW])
-                    for column, value in zip(out, ((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), d, t, start + i)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["w1", "w2", "d", "t", "at"])
-
-    windows = stream_map(strings.select("d", "t", "start", "n", "string"), run, "w1 long, w2 long, d long, t long, at long")
+            out: list[tuple] = []
+            for d, t, start, m, mixed, s in zip(*(batch.column(c).to_pylist() for c in ("d", "t", "start", "m", "mixed", "string"))):
+                if mixed:
+                    out.append((None, None, d, t, start, s))
+                else:
+                    out += [(*_halves(core + bytes([q])), d, t, start + low, part) for q, core, low, part in _cores(m, s)]
+            yield _columns(out, PART)
+
+    def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _columns(_local_windows(list(zip(*(batch.column(c).to_pylist() for c in ("d", "t", "start", "string"))))), FOUND)
+
+    pieces = written(stream_map(strings.select("d", "t", "start", "m", "mixed", "string"), cut, PART), "parts", "zstd")
+    shared = pieces.groupBy("c1", "c2").count().filter("count > 1 AND c1 IS NOT NULL").select("c1", "c2")
+    kept = pieces.join(shared, ["c1", "c2"], "left_semi").unionByName(pieces.filter("c1 IS NULL"))
+    found = written(stream_map(kept.select("d", "t", "start", "string"), hash_, FOUND), "windows", "zstd")
+    windows = found.filter("w1 IS NOT NULL").select("w1", "w2", "d", "t", F.col("low").alias("at"))
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("d", "t", "at")).alias("first"))
     later = windows.join(first, ["w1", "w2"]).filter(F.struct("d", "t", "at") > F.col("first"))
-    return later.select("d", "t", F.col("at").alias("low"), (F.col("at") + WINDOW).alias("high"))
+    later = later.select("d", "t", F.col("at").alias("low"), (F.col("at") + WINDOW).alias("high"))
+    return later.unionByName(found.filter("w1 IS NULL").select("d", "t", "low", "high"))
 
 
 def _repeated_ranges(strings: DataFrame) -> DataFrame:
@@ -432,9 +483,11 @@ def _repeated_ranges(strings: DataFrame) -> DataFrame:
     judged = written(judged.select("h", "d", "t", "start", "n", "twice", "m", "is_first", F.when(is_first, F.col("string")).alias("string")), "judged", "zstd")
     whole = judged.filter("NOT is_first").select("d", "t", F.col("start").alias("low"), (F.col("start") + F.col("n") - 1 + WINDOW).alias("high"))
     different = judged.filter("is_first")
-    crowded = written(different.groupBy("h").count().filter(F.col("count") > HOT).select("h"), "hot")
+    crowded = different.groupBy("h").agg(F.count("*").alias("strings"), F.max("twice").alias("mixed"))
+    crowded = written(crowded.filter(F.col("strings") > HOT).select("h", "mixed"), "hot")
     inside = _within_tasks(different.join(crowded, "h", "left_anti"))
-    spread = _spread_windows(different.join(crowded, "h", "left_semi"))
+    # at most a ``HOT``-th of the strings; their strings stay where they are
+    spread = _spread_windows(different.join(F.broadcast(crowded), "h"))
     return whole.unionByName(inside).unionByName(spread)
 
 
