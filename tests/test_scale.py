@@ -1,9 +1,13 @@
 """Work that is to grow no faster than its input: tasks for all cores, texts encoded once, tasks of bounded size."""
 
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
+from ticketlens.operators import semantics as S
 from ticketlens.operators import training
 from ticketlens.runtime import evened, pinned
+from ticketlens.streaming import scoring
 
 
 def test_a_table_in_one_part_is_evened(spark):
@@ -27,3 +31,28 @@ def test_training_uses_more_than_the_stored_part(spark, monkeypatch):
     with pytest.raises(InterruptedError):
         training.train(rows)
     assert seen == [(3, 120_000)]
+
+
+class Counting:
+    """Vectors of the length of a text; remembers how many texts it was given."""
+
+    def __init__(self):
+        self.given = []
+
+    def encode(self, df, text):
+        self.given.append(df.count())
+        return df.withColumn("embedding", array_to_vector(F.array(F.length(text).cast("double"))))
+
+
+def test_a_batch_encodes_each_text_once(spark, monkeypatch):
+    encoder = Counting()
+    level = S.LevelModel("TAB_N1", encoder, S.GivenCentroids(((1.0,), (9.0,))), ((0, "short"), (1, "long")), (1.0,), (2.0, 5.0))
+    monkeypatch.setattr(scoring, "build_features", lambda df: df)
+    monkeypatch.setattr(scoring, "feature_matrix", lambda df, label, carry: df)
+    monkeypatch.setattr(scoring, "predict", lambda model, df, carry: df)
+    texts = ["a", "abcdefgh", None]
+    df = spark.createDataFrame([(i, texts[i % 3], 0) for i in range(90)], "k long, TAB_N1 string, TARGET int")
+    out = scoring.score_tickets(df, S.SemanticModel({"TAB_N1": level}), None, "TARGET", ["k"])
+    got = {(r.TAB_N1, r.TAB_N1_GROUP, r.TAB_N1_SENT_SCORE): r["count"] for r in out.groupBy("TAB_N1", "TAB_N1_GROUP", "TAB_N1_SENT_SCORE").count().collect()}
+    assert got == {("a", "short", 1.0): 30, ("abcdefgh", "long", 8.0): 30, (None, "short", 3.0): 30}
+    assert encoder.given == [3]

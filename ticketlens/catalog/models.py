@@ -356,8 +356,8 @@ def save_load_model(spark, sf_dir):
 )
 def published_scorer(spark, sf_dir):
     """Text levels and trees published twice, a third time by a writer that dies; every ticket then scores as by the second."""
-    semantics, _ = enriched_tickets(spark, sf_dir)
-    model = trained(spark, sf_dir).training.model
+    whole = trained(spark, sf_dir)
+    semantics, model = whole.semantics, whole.training.model
     path = scratch_path(spark, "scorer")
     scoring.save_scorer(S.SemanticModel({"TAB_N1": semantics.levels["TAB_N1"]}), model, spark, path)
     scoring.save_scorer(semantics, model, spark, path)

@@ -17,6 +17,7 @@ from ticketlens.functions.times import event_time
 from ticketlens.operators.features import build_features
 from ticketlens.operators.semantics import SemanticModel, read_semantics, write_semantics
 from ticketlens.operators.training import feature_matrix, predict
+from ticketlens.runtime import evened, pinned
 from ticketlens.sources.published import current, publish
 from ticketlens.sources.tables import nan_to_null
 
@@ -52,9 +53,16 @@ def ticket_stream(
 def score_tickets(
     df: DataFrame, semantics: SemanticModel, model: PipelineModel, label: str, carry: list[str]
 ) -> DataFrame:
-    """Raw tickets to probabilities, row by row. ``label`` may be a constant column for unlabelled tickets."""
-    features = build_features(semantics.transform_rows(df))
-    return predict(model, feature_matrix(features, label, carry), carry)
+    """Raw tickets to probabilities. ``label`` may be a constant column for unlabelled tickets.
+
+    A stream is scored row by row. In a batch each distinct text is encoded once, so that a text of very many tickets costs no more than one.
+    """
+    if df.isStreaming:
+        described = semantics.transform_rows(df)
+    else:
+        tickets = evened(pinned(df))
+        described = semantics.transform(tickets, carry)
+    return predict(model, feature_matrix(build_features(described), label, carry), carry)
 
 
 def distinct_tickets(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
