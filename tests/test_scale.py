@@ -1,9 +1,15 @@
 """Work that is to grow no faster than its input: tasks for all cores, texts encoded once, tasks of bounded size."""
 
+import random
+from dataclasses import replace
+
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from ticketlens.functions.vectors import all_distances, distance_to, nearest_centroid
+from ticketlens.operators import encoders
 from ticketlens.operators import semantics as S
 from ticketlens.operators import training
 from ticketlens.runtime import evened, pinned
@@ -56,3 +62,36 @@ def test_a_batch_encodes_each_text_once(spark, monkeypatch):
     got = {(r.TAB_N1, r.TAB_N1_GROUP, r.TAB_N1_SENT_SCORE): r["count"] for r in out.groupBy("TAB_N1", "TAB_N1_GROUP", "TAB_N1_SENT_SCORE").count().collect()}
     assert got == {("a", "short", 1.0): 30, ("abcdefgh", "long", 8.0): 30, (None, "short", 3.0): 30}
     assert encoder.given == [3]
+
+
+def test_distances_in_batches_are_the_direct_ones(spark):
+    rnd = random.Random(3)
+    points = [[rnd.gauss(0, 1) for _ in range(5)] for _ in range(4)]
+    points.append(points[1])
+    sparse = [Vectors.sparse(5, sorted(rnd.sample(range(5), n)), [rnd.gauss(0, 1) for _ in range(n)]) for n in (0, 1, 3, 5, 0, 2)]
+    data = [(i, v) for i, v in enumerate([*sparse, Vectors.dense([1.0, 0.0, -2.0, 0.0, 3.0]), None, Vectors.dense(points[1])])]
+    df = spark.createDataFrame(data, ["i", "embedding"])
+    for vector in (True, False):
+        rows = df if vector else df.withColumn("embedding", F.when(F.col("embedding").isNotNull(), vector_to_array("embedding")))
+        both = rows.select(
+            "i", all_distances("embedding", points, vector).alias("got"),
+            F.array(*[distance_to("embedding", p, vector) for p in points]).alias("want"),
+            nearest_centroid("embedding", list(enumerate(points)), vector)["cluster_id"].alias("id"),
+        ).collect()
+        assert len(both) == len(data)
+        assert all(r.got is None if data[r.i][1] is None else r.got == pytest.approx(r.want, abs=1e-12) for r in both)
+        known = rows.filter("embedding IS NOT NULL")
+        ids = {r.i: r.cluster_id for r in S.GivenCentroids(tuple(map(tuple, points))).transform(known).collect()}
+        assert ids == {r.i: r.id for r in both if r.i in ids} and ids[8] == 1
+
+
+def test_a_level_is_not_worked_out_for_the_next(spark):
+    """Counting the texts of the second level reads no centroid of the first."""
+    table = encoders.TableEncoder(spark.createDataFrame([("a", [1.0]), ("b", [9.0])], "text string, embedding array<float>"))
+    level = S.LevelModel("A", table, S.GivenCentroids(((1.0,), (9.0,))), ((0, "first"),), None)
+    df = spark.createDataFrame([("a", "b", 1), ("x", "a", 2), (None, None, 3)], "A string, B string, k int")
+    first = S.SemanticModel({"A": level}).transform_rows(df)
+    plan = first.groupBy("B").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "batch(" not in plan and "cluster_id" not in plan
+    got = {r.k: (r.A_GROUP, r.B_GROUP) for r in S.SemanticModel({"A": level, "B": replace(level, tab="B")}).transform_rows(df).collect()}
+    assert got == {1: ("first", "cluster_1"), 2: (None, "first"), 3: (None, None)}

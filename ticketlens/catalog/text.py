@@ -14,7 +14,7 @@ from ticketlens.functions.vectors import nearest_centroid, project_score
 from ticketlens.operators import clusters
 from ticketlens.operators import semantics as S
 from ticketlens.operators.encoders import EMBEDDING, TableEncoder
-from ticketlens.runtime import local_table, spread
+from ticketlens.runtime import evened, local_table, pinned, spread
 from ticketlens.schemas import table_schema
 
 
@@ -293,7 +293,7 @@ def own_encoder(spark, sf_dir):
 
     given = _given_model(spark, sf_dir).levels
     own = {tab: S.LevelModel(tab, Known(), m.kmeans, m.labels, m.weights, m.bounds) for tab, m in given.items()}
-    return _given_result(S.SemanticModel(own).transform_rows(_coded(spark, sf_dir)))
+    return _given_result(S.SemanticModel(own).transform_rows(evened(pinned(_coded(spark, sf_dir)))))
 
 
 @query(

@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,3 +104,45 @@ def nearest_centroid(embedding: str, centroids: Sequence[tuple[int, Sequence[flo
         F.struct(distance_to(embedding, c, vector).alias("distance"), F.lit(int(i)).alias("cluster_id")) for i, c in centroids
     ]
     return F.array_min(F.array(*distances))
+
+
+#: Entries of vectors that are held against all centroids at a time.
+_ENTRIES = 100_000
+
+
+def all_distances(embedding: str, centroids: Sequence[Sequence[float]], vector: bool = False) -> Column:
+    """``array<double>`` of the squared distances to all centroids, as ``distance_to`` has them: a matrix product per batch of rows.
+
+    For very many rows or centroids; an expression per centroid costs an interpreted step per entry. A missing embedding has none.
+    """
+    points = np.asarray(centroids, float)
+    own, across = np.square(points).sum(axis=1), np.ascontiguousarray(points.T)
+
+    def measured(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        out = np.tile(own, (len(rows), 1))
+        sizes = np.array([len(v) for _, v in rows])
+        full = np.flatnonzero(sizes)
+        if full.size:
+            at, value = np.concatenate([rows[r][0] for r in full]), np.concatenate([rows[r][1] for r in full])[:, None]
+            out[full] += np.add.reduceat(value * (value - 2 * across[at]), np.cumsum(sizes[full]) - sizes[full], axis=0)
+        return out
+
+    def batch(places: pd.Series, values: pd.Series) -> pd.Series:
+        found, rows, waiting, held = [None] * len(values), [], [], 0
+        for r, (at, value) in enumerate(zip(places, values)):
+            if value is not None:
+                rows.append((np.arange(len(value)) if at is None else at, np.asarray(value, float)))
+                waiting.append(r)
+                held += len(value)
+            if rows and (held > _ENTRIES or r + 1 == len(values)):
+                for place, line in zip(waiting, measured(rows)):
+                    found[place] = line
+                rows, waiting, held = [], [], 0
+        return pd.Series(found, dtype=object)
+
+    if vector:
+        plain = F.unwrap_udt(embedding)
+        places, values = plain["indices"], plain["values"]
+    else:
+        places, values = F.lit(None).cast("array<int>"), F.col(embedding).cast("array<double>")
+    return F.pandas_udf(batch, "array<double>")(places, values)

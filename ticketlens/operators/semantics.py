@@ -17,16 +17,16 @@ from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens import params, schemas
 from ticketlens.functions.text import label_sentiment, prepare_text
-from ticketlens.functions.vectors import is_vector, nearest_centroid, project_score
+from ticketlens.functions.vectors import all_distances, is_vector, project_score
 from ticketlens.operators.clusters import cluster_keywords
 from ticketlens.operators.direction import seed_direction
 from ticketlens.operators.encoders import EMBEDDING, fit_hashed_tfidf, load_encoder, save_encoder
-from ticketlens.operators.joins import attach_cluster_label, lookup_join
+from ticketlens.operators.joins import lookup_join
 from ticketlens.runtime import local_table, pinned, shuffle_parts
 from ticketlens.sources.published import current, publish
 from ticketlens.sources.tables import read_table, write_table
@@ -106,8 +106,10 @@ class GivenCentroids:
         return list(self.centroids)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        nearest = nearest_centroid(EMBEDDING, list(enumerate(self.centroids)), is_vector(df, EMBEDDING))
-        return df.withColumn("cluster_id", nearest["cluster_id"])
+        distances = all_distances(EMBEDDING, self.centroids, is_vector(df, EMBEDDING))
+        measured = df.withColumn("__distances", distances)
+        nearest = F.array_position("__distances", F.array_min("__distances")) - 1  # the lowest id among equals
+        return measured.withColumn("cluster_id", nearest.cast("int")).drop("__distances")
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [(i, list(c)) for i, c in enumerate(self.centroids)]
@@ -142,6 +144,14 @@ class LevelModel:
         rows = [(self.tab, i, label) for i, label in self.labels]
         return local_table(spark, rows, schemas.CLUSTER_DICTIONARY)
 
+    def _label(self) -> Column:
+        """The label of a cluster id as an expression: a join would keep every level before it in the counts of the next."""
+        default = F.concat(F.lit("cluster_"), F.col("cluster_id").cast("string"))
+        if not self.labels:
+            return default
+        labels = F.create_map(*[F.lit(x) for i, label in self.labels for x in (int(i), label)])
+        return F.coalesce(F.try_element_at(labels, F.col("cluster_id")), default)
+
     def score(self, df: DataFrame, text: str = "text") -> DataFrame:
         """Add cluster_id, semantic_group, sentiment_score and sentiment_label. Row by row, so fit for streams.
 
@@ -153,7 +163,7 @@ class LevelModel:
         blank = array_to_vector(blank) if vector else blank
         assigned = self.kmeans.transform(encoded.withColumn(EMBEDDING, F.coalesce(EMBEDDING, blank)))
         assigned = assigned.withColumn("cluster_id", F.when(F.col("__known"), F.col("cluster_id")))
-        named = attach_cluster_label(assigned, self.label_table(df.sparkSession))
+        named = assigned.withColumn("semantic_group", self._label())
         score = F.when(F.col("__known"), project_score(EMBEDDING, self.weights, vector))
         return (
             named.withColumn("sentiment_score", score)
