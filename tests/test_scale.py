@@ -8,6 +8,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from ticketlens import fixtures as X
+from ticketlens.functions.text import normalize_text
 from ticketlens.functions.vectors import all_distances, distance_to, nearest_centroid
 from ticketlens.operators import encoders
 from ticketlens.operators import semantics as S
@@ -95,3 +97,26 @@ def test_a_level_is_not_worked_out_for_the_next(spark):
     assert "batch(" not in plan and "cluster_id" not in plan
     got = {r.k: (r.A_GROUP, r.B_GROUP) for r in S.SemanticModel({"A": level, "B": replace(level, tab="B")}).transform_rows(df).collect()}
     assert got == {1: ("first", "cluster_1"), 2: (None, "first"), 3: (None, None)}
+
+
+def old_terms(text):
+    words = F.filter(F.split(F.lower(normalize_text(text)), "[^a-z0-9]+"), lambda w: w != "")
+    triples = F.flatten(
+        F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substr(w, i, F.lit(3))))
+    )
+    return F.concat(words, F.transform(triples, lambda t: F.concat(F.lit("#"), t)))
+
+
+def test_terms_by_pattern_are_those_of_the_words(spark):
+    given = ["", " ", "a", "ab", "abc", "abcd é x9", "Não navega, não--NAVEGA 12 a.b", "ß½ ab_cd\nzz", None, "0123456789"]
+    docs = X.documents(spark, "/root/testdata/sf0.001").select("text")
+    df = docs.unionByName(spark.createDataFrame([(t,) for t in given], "text string"))
+    assert df.filter(~encoders.word_and_trigram_terms("text").eqNullSafe(old_terms("text"))).count() == 0
+
+
+def test_texts_are_read_once_for_fit_and_encoding(spark):
+    df = pinned(X.documents(spark, "/root/testdata/sf0.001").select("text").distinct())
+    encoder, encoded = encoders.fit_encode_hashed_tfidf(df)
+    assert "regexp" not in encoded._jdf.queryExecution().optimizedPlan().toString()
+    want = {r.text: r.embedding for r in encoders.fit_hashed_tfidf(df).encode(df, "text").collect()}
+    assert {r.text: r.embedding for r in encoded.collect()} == want == {r.text: r.embedding for r in encoder.encode(df, "text").collect()}
