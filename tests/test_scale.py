@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ticketlens import fixtures as X
 from ticketlens.functions.text import normalize_text
 from ticketlens.functions.vectors import all_distances, distance_to, nearest_centroid
-from ticketlens.operators import encoders
+from ticketlens.operators import encoders, profile
 from ticketlens.operators import semantics as S
 from ticketlens.operators import training
 from ticketlens.runtime import evened, pinned
@@ -120,3 +120,14 @@ def test_texts_are_read_once_for_fit_and_encoding(spark):
     assert "regexp" not in encoded._jdf.queryExecution().optimizedPlan().toString()
     want = {r.text: r.embedding for r in encoders.fit_hashed_tfidf(df).encode(df, "text").collect()}
     assert {r.text: r.embedding for r in encoded.collect()} == want == {r.text: r.embedding for r in encoder.encode(df, "text").collect()}
+
+
+def test_exact_counts_are_dealt_into_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(profile, "TASK_CELLS", 100)
+    df = pinned(spark.range(1_000).coalesce(1).selectExpr("id % 7 AS ID_CLIENTE", "id AS a", "IF(id % 2 = 0, id % 10, NULL) AS b"))
+    seen, dealt = [], type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, n, *by: seen.append(n) or dealt(self, n, *by))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = {r.feature: (r["values"], r.pairs) for r in profile.identifier_counts(df, ["a", "b"]).collect()}
+    assert got == {"a": (1000, 1000), "b": (5, 35)} and seen == [20]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlens import params, schemas
-from ticketlens.runtime import local_table
+from ticketlens.runtime import local_table, settings, shuffle_parts
 
 #: A column whose values stand for at most this many customers on average tells customers apart.
 IDENTIFYING_MEAN = 1.05
 #: Distinct-count sketches have 2 to this power registers (16 KB a column).
 SKETCH_BITS = 14
+#: Cells (rows times columns) that a task of the exact counts takes.
+TASK_CELLS = 4_000_000
 
 
 def label_distribution(df: DataFrame, label: str = params.LABEL) -> DataFrame:
@@ -115,14 +117,22 @@ def identifier_counts(df: DataFrame, columns: Sequence[str], customer: str = par
     """
     if not columns:
         return df.sparkSession.createDataFrame([], "feature string, values long, pairs long")
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), _values(df, c).cast("string").alias("value")) for c in columns])
-    known = df.select(F.col(customer).alias("_customer"), F.inline(cells))
+    # Rows are dealt into tasks of so many cells that what one holds does not grow with the table; both for the rows and for the groups.
+    kept = df.select(F.col(customer).alias("_customer"), *[_values(df, c).alias(c) for c in columns])
+    spark = df.sparkSession
+    tasks = -(-df.count() * len(columns) // TASK_CELLS)
+    if tasks > 1:
+        kept = kept.repartition(tasks, F.xxhash64(*[F.col(f"`{c}`") for c in kept.columns]))
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    known = kept.select("_customer", F.inline(cells))
     pairs = known.groupBy("feature", "value", "_customer").agg(F.lit(1).alias("one"))
     per_value = pairs.groupBy("feature", "value").agg(F.count("*").alias("customers"))
     known_value = F.col("value").isNotNull()
-    return per_value.groupBy("feature").agg(
+    counted = per_value.groupBy("feature").agg(
         F.count_if(known_value).alias("values"), F.coalesce(F.sum(F.when(known_value, F.col("customers"))), F.lit(0)).alias("pairs")
     )
+    with settings(spark, **{"spark.sql.shuffle.partitions": str(max(shuffle_parts(spark), tasks))}):
+        return local_table(spark, counted.collect(), counted.schema)  # a row per column
 
 
 def identifier_sketches(df: DataFrame, columns: Sequence[str], customer: str = params.CUSTOMER, precision: int = SKETCH_BITS) -> DataFrame:
