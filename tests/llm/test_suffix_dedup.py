@@ -103,3 +103,16 @@ def test_crowded_line_makes_few_windows(spark, monkeypatch):
     assert tables["hot"].count() > 0
     made = sum(r.n for r in tables["judged"].join(tables["hot"], "h").collect())
     assert 0 < tables["windows"].count() < 0.8 * made
+
+
+def test_only_shared_stretches_are_ordered():
+    """Bytes beside a core that no other part has there are not put in order; the repeats stay the same."""
+    rng = random.Random(5)
+    shared = rng.randbytes(110)
+    before = [rng.randbytes(n) for n in (20, 25, 3)]
+    group = [(7, d, d, 1000 * d, False, len(b) + 40, b + shared + rng.randbytes(25)) for d, b in enumerate(before)]
+    ranges, families = suffix_dedup._families(group)
+    assert not ranges and [len(f) for f in families] == [3]
+    assert {part for *_, part in families[0]} == {shared}
+    found = suffix_dedup._window_ranges(families[0])
+    assert sorted(found) == [(d, d, 1000 * d + len(b), 1000 * d + len(b) + 110) for d, b in enumerate(before) if d]

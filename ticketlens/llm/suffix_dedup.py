@@ -6,8 +6,8 @@ A byte goes if it lies in a ``WINDOW``-byte string that also starts earlier (sma
    found in two different texts, or twice in one, can belong to repeats. They are counted with partial aggregation.
 2. Consecutive windows with one such minimiser are cut out as a string (at most ``RUN`` windows). Of equal strings only the first
    occurrence goes on; all later ones are repeats altogether.
-3. The different strings of a minimiser meet in one task. Parts of them whose core no other string shares are left out, and of equal
-   parts only the first goes on. What is left of many minimisers makes a batch of bounded size. For a batch the suffix order of the
+3. The different strings of a minimiser meet in one task. Parts of them whose core no other string shares are left out, of equal
+   parts only the first goes on, and bytes beside the core that no other part has there too are cut off. What is left of many minimisers makes a batch of bounded size. For a batch the suffix order of the
    collection is built column by column: each round inserts the next symbol, from the right, of every string at the place its rank in
    the Burrows-Wheeler transform gives, and updates the common prefixes with range minima. Windows are suffixes of at least ``WINDOW``
    bytes, and equal windows are neighbours with common prefixes that long; all but the first of them are repeats.
@@ -41,7 +41,7 @@ KMER = 32
 RUN = 64
 HOT = 2000
 #: Strings at most whose suffixes are ordered together.
-BATCH_STRINGS = 3000
+BATCH_STRINGS = 1000
 #: Classes of windows by the place of their minimiser.
 CORES = 3
 _LAST = (1 << 63) - 1
@@ -211,8 +211,9 @@ def suffix_order(strings: list[bytes], most: int = WINDOW - 1) -> tuple[np.ndarr
         at = where[place].astype(np.int64)  # in the order of symbols
         new_place = n + at - ends
         # common prefixes next to the new suffixes
-        touched = np.union1d(at, at + 1)
-        touched = touched[(touched > ends) & (touched < len(order))]
+        beside = np.zeros(len(order) + 1, bool)
+        beside[at] = beside[at + 1] = True
+        touched = np.flatnonzero(beside[ends + 1 : len(order)]) + ends + 1
         touched = touched[before[order[touched]] == before[order[touched - 1]]]
         low, high = order[touched - 1] + 1, order[touched]
         level = np.frexp((high - low + 1).astype(float))[1] - 1
@@ -340,13 +341,35 @@ def _window_ranges(rows: list[tuple]) -> list[tuple]:
     return [(rows[w][0], rows[w][1], rows[w][2] + int(a), rows[w][2] + int(b) + WINDOW) for w, a, b in zip(who[new], offset[new], offset[last])]
 
 
-def _cores(m: int, string: bytes) -> Iterator[tuple[int, bytes, int, bytes]]:
-    """(class, core, first window, part) of a string that holds its minimiser at ``m`` only."""
+def _cores(m: int, string: bytes) -> Iterator[tuple[int, bytes, int, bytes, int]]:
+    """(class, core, first window, part, place of the core in the part) of a string that holds its minimiser at ``m`` only."""
     width, n = -(-(WINDOW - KMER + 1) // CORES), len(string) - WINDOW + 1
     for q in range(CORES):
         low, high = max(0, m - (q + 1) * width + 1), min(n - 1, m - q * width)  # windows of this class
         if low <= high:
-            yield q, string[max(0, m - q * width) : m - (q + 1) * width + 1 + WINDOW], low, string[low : high + WINDOW]
+            yield q, string[m - q * width : m - (q + 1) * width + 1 + WINDOW], low, string[low : high + WINDOW], m - q * width - low
+
+
+def _common(sides: list[bytes]) -> list[int]:
+    """For each string how many of its first bytes another one begins with too: the most is found with a neighbour in the order."""
+    order, out = sorted(range(len(sides)), key=sides.__getitem__), [0] * len(sides)
+    numbers = [int.from_bytes(s.ljust(WINDOW, b"\0"), "big") for s in sides]
+    for i, j in zip(order, order[1:]):
+        same = min(len(sides[i]), len(sides[j]), WINDOW - ((numbers[i] ^ numbers[j]).bit_length() + 7) // 8)
+        out[i], out[j] = max(out[i], same), max(out[j], same)
+    return out
+
+
+def _trimmed(family: list[tuple], core: int) -> list[tuple]:
+    """Of the parts (d, t, start, part, place of the core of ``core`` bytes) of a family the stretches (d, t, start, part) whose windows may
+    stand in another part: as far as another one goes on alike on each side of the core. Parts without such a window are left out."""
+    left = _common([part[at - 1 :: -1] if at else b"" for _, _, _, part, at in family])
+    right = _common([part[at + core :] for _, _, _, part, at in family])
+    return [
+        (d, t, start + at - a, part[at - a : at + core + b])
+        for (d, t, start, part, at), a, b in zip(family, left, right)
+        if a + core + b >= WINDOW
+    ]
 
 
 def _families(group: list[tuple]) -> tuple[list[tuple], list[list[tuple]]]:
@@ -354,7 +377,7 @@ def _families(group: list[tuple]) -> tuple[list[tuple], list[list[tuple]]]:
 
     Equal windows hold the minimiser at the same place, so windows are put into ``CORES`` classes by that place. All windows of a
     class have a common core; where no other string has the same core, none of them can be a repeat. Of equal parts the first
-    goes on. A string that holds the minimiser twice has no such places and its whole group goes on as it is.
+    goes on, without the bytes beside the core that no other part has there. A string that holds the minimiser twice has no such places and its whole group goes on as it is.
     """
     if len(group) == 1 and not group[0][4]:
         return [], []
@@ -362,17 +385,17 @@ def _families(group: list[tuple]) -> tuple[list[tuple], list[list[tuple]]]:
         return [], [[(r[1], r[2], r[3], r[6]) for r in group]]
     by_core: dict[tuple, list[tuple]] = {}
     for _, d, t, start, _, m, string in group:
-        for q, core, low, part in _cores(m, string):
-            by_core.setdefault((q, core), []).append((d, t, start + low, part))
+        for q, core, low, part, at in _cores(m, string):
+            by_core.setdefault((q, core), []).append((d, t, start + low, part, at))
     ranges, ordered = [], []
-    for parts_ in by_core.values():
+    for (_, core), parts_ in by_core.items():
         if len(parts_) > 1:
             first: dict[bytes, tuple] = {}
             for part in sorted(parts_):
                 if first.setdefault(part[3], part)[:3] != part[:3]:  # a repeated row gives the same part twice
                     ranges.append((part[0], part[1], part[2], part[2] + len(part[3])))
-            if len(first) > 1:
-                ordered.append(list(first.values()))
+            if len(first) > 1 and (family := _trimmed(list(first.values()), len(core))):
+                ordered.append(family)
     return ranges, ordered
 
 
@@ -457,7 +480,7 @@ def _spread_windows(strings: DataFrame) -> DataFrame:
                 if mixed:
                     out.append((None, None, d, t, start, s))
                 else:
-                    out += [(*_halves(core + bytes([q])), d, t, start + low, part) for q, core, low, part in _cores(m, s)]
+                    out += [(*_halves(core + bytes([q])), d, t, start + low, part) for q, core, low, part, _ in _cores(m, s)]
             yield _columns(out, PART)
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
