@@ -131,3 +131,23 @@ def test_exact_counts_are_dealt_into_tasks_of_bounded_size(spark, monkeypatch):
     got = {r.feature: (r["values"], r.pairs) for r in profile.identifier_counts(df, ["a", "b"]).collect()}
     assert got == {"a": (1000, 1000), "b": (5, 35)} and seen == [20]
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_a_run_deals_tickets_of_one_part_first(spark, monkeypatch):
+    """What the run prepares lies in more tasks than the one part that the tickets are stored in; a table with a task per core stays."""
+    from ticketlens.plans import end_to_end
+    from ticketlens.runtime import dealt
+
+    seen = []
+
+    def stops(tickets, *_):
+        seen.append((tickets.rdd.getNumPartitions(), tickets.count()))
+        raise InterruptedError
+
+    monkeypatch.setattr(end_to_end, "prepare", stops)
+    rows = spark.range(120_000).coalesce(1)
+    with pytest.raises(InterruptedError):
+        end_to_end.run(rows)
+    assert seen[0][0] > 1 and seen[0][1] == 120_000
+    each = spark.range(120_000).repartition(spark.sparkContext.defaultParallelism)
+    assert dealt(each, 10) is each and evened(each, 10) is each

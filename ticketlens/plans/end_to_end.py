@@ -17,7 +17,7 @@ from ticketlens.operators.prepare import prepare
 from ticketlens.operators.semantics import SemanticModel, TextLevel, enrich, save_semantics
 from ticketlens.operators.training import TrainingRun, rank_importances, save_model, train
 from ticketlens.plans import report
-from ticketlens.runtime import pinned
+from ticketlens.runtime import dealt, pinned
 from ticketlens.sources.tables import read_splits, splits_present, write_cluster_json, write_importances, write_splits, write_table
 
 
@@ -112,8 +112,11 @@ def run(
     output: str | None = None,
     **settings,
 ) -> Run:
-    """From raw tickets to model and report. ``settings``: ``blocks``, ``null_text``, ``salt_by``, and what ``train`` takes."""
-    prepared = prepare(tickets, key, seed)
+    """From raw tickets to model and report. ``settings``: ``blocks``, ``null_text``, ``salt_by``, and what ``train`` takes.
+
+    Tickets stored in fewer parts than there are cores are dealt to all cores first, so that no later step leaves cores idle.
+    """
+    prepared = prepare(dealt(tickets), key, seed)
     if output:
         write_splits(prepared, f"{output}/splits")
         prepared = read_splits(tickets.sparkSession, f"{output}/splits")
