@@ -110,3 +110,23 @@ def test_restart_loses_and_doubles_nothing(spark, tmp_path):
     once(False)
     got = spark.read.parquet(output).collect()
     assert sorted((r.id, r.twice) for r in got) == [(i, 2.0 * i) for i in range(300)]
+
+
+def test_scored_stream_files_come_from_several_tasks(spark, monkeypatch, tmp_path):
+    """A large table's part of the stream is not one file of one task; a batch takes the files of a part."""
+    from types import SimpleNamespace
+
+    from ticketlens.catalog import models
+
+    def stops(source, *_, **__):
+        raise InterruptedError
+
+    tickets = spark.range(120_000).coalesce(1).selectExpr("id AS PROTOCOLO")
+    monkeypatch.setattr(models, "known_run", lambda *_: SimpleNamespace(semantics=None, training=SimpleNamespace(model=None)))
+    monkeypatch.setattr(models, "known_tickets", lambda *_: tickets)
+    monkeypatch.setattr(models, "scratch_path", lambda _, name: str(tmp_path / name))
+    monkeypatch.setattr(models.scoring, "score_stream", stops)
+    with pytest.raises(InterruptedError):
+        models.scored_stream(spark, "")
+    assert len(list((tmp_path / "raw").glob("*.parquet"))) > 3
+    assert spark.read.parquet(str(tmp_path / "raw")).count() == 160_000
