@@ -67,6 +67,49 @@ def test_words_are_forgotten(monkeypatch):
     assert [np.frombuffer(b, "<u4").tolist() + [2] for b in packing.encode(texts, PATH)] == [plain(t) for t in texts]
 
 
+def test_words_met_again_stay(monkeypatch):
+    """A full table goes on as the older one; a word in it is not tokenised anew, one of neither table is."""
+    monkeypatch.setattr(packing, "WORDS_KEPT", 2)
+    words, anew = packing.Words(PATH), []
+    monkeypatch.setattr(words, "word", lambda word: anew.append(word) or packing.Words.word(words, word))
+    for text in ("a b c", "a d", "e a f", "a", "b"):
+        assert np.frombuffer(words.encode(text), "<u4").tolist() + [2] == plain(text)
+        assert len(words.known) + len(words.known_before) <= 2 * (2 + 3)
+    assert anew == [b"a", b"b", b"c", b"d", b"e", b"f", b"b"]
+
+
+def test_few_rows_at_a_time(spark, monkeypatch):
+    """A worker gets 500 texts at a time, and the second pass runs no Python: both had filled the executors' memory."""
+
+    def counted(df, function, schema):
+        def small(batches):
+            for batch in batches:
+                assert batch.num_rows <= 500
+                yield batch
+
+        return real(df, lambda batches: function(small(batches)), schema)
+
+    real = packing.stream_map
+    monkeypatch.setattr(packing, "stream_map", counted)
+    docs = spark.range(1800).selectExpr("id AS doc_id", "concat('a', id) AS text").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pieces = packing.pack(docs, PATH)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert "Arrow" not in pieces._jdf.queryExecution().executedPlan().toString()
+    assert pieces.filter("start = 0").count() == 1800
+
+
+def test_documents_over_many_windows(spark):
+    """Pieces that begin anywhere in a block of ids, of documents shorter and far longer than a window."""
+    texts = [" ".join(f"{i}a{j}" for j in range(n)) for i, n in enumerate((1, 700, 3, 64, 0, 2000, 15))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for window in (1, 7, 64):
+        rows = sorted(packing.pack(docs, PATH, window=window, with_ids=True).collect(), key=lambda r: (r.sequence_id, r.offset))
+        assert all(r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 4 * r.length and r.offset + r.length <= window for r in rows)
+        assert all(r.sequence_id * window + r.offset == sum(x.length for x in rows[:i]) for i, r in enumerate(rows[:300]))
+        assert np.frombuffer(b"".join(bytes(r.ids) for r in rows), "<u4").tolist() == [t for text in texts for t in plain(text)]
+
+
 def positions(pieces, window=4096):
     return {p.doc_id: p.sequence_id * window + p.offset for p in pieces.filter("start = 0").collect()}
 
