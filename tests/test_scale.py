@@ -1,17 +1,21 @@
 """Work that is to grow no faster than its input: tasks for all cores, texts encoded once, tasks of bounded size."""
 
+import math
 import random
+from collections import Counter
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from ticketlens import fixtures as X
-from ticketlens.functions.text import normalize_text
+from ticketlens import params
+from ticketlens.functions.text import has_token, normalize_text, tokens
 from ticketlens.functions.vectors import all_distances, distance_to, nearest_centroid
-from ticketlens.operators import encoders, profile
+from ticketlens.operators import clusters, encoders, profile, term_blocks
 from ticketlens.operators import semantics as S
 from ticketlens.operators import training
 from ticketlens.runtime import evened, pinned
@@ -151,3 +155,73 @@ def test_a_run_deals_tickets_of_one_part_first(spark, monkeypatch):
     assert seen[0][0] > 1 and seen[0][1] == 120_000
     each = spark.range(120_000).repartition(spark.sparkContext.defaultParallelism)
     assert dealt(each, 10) is each and evened(each, 10) is each
+
+
+def test_words_of_a_block_are_the_tokens(spark):
+    """And whether a text has one is told alike, however late it comes and wherever the first characters end."""
+    given = ["", "a", "ab", "para que", "Para QUE x é", "ΑΣ ΑΣΑ İstanbul 𝔘𝔫 字字 _9 ²³", None, "de " * 80 + "fim", "a\nbc\0de", "x" * 300]
+    given += [" " * n + word + tail for n in range(190, 202) for word in ("com", "comum", "ab") for tail in ("", " ", "o", "--")]
+    docs = X.documents(spark, "/root/testdata/sf0.001").select("text")
+    df = docs.unionByName(spark.createDataFrame([(t,) for t in given], "text string")).select("text", tokens("text").alias("w"), has_token("text").alias("any"))
+    rows = df.collect()
+    found = term_blocks.words_of(pa.array([r.text for r in rows])).to_pylist()
+    stop = set(params.STOPWORDS)
+    assert [[w for w in words if w not in stop] for words in found] == [r.w or [] for r in rows]
+    assert all(r.any == (None if r.text is None else bool(r.w)) for r in rows)
+
+
+def brute_scores(rows):
+    """Mean TF-IDF by definition; rows of (group, words, n)."""
+    out = {}
+    for group in {g for g, _, _ in rows}:
+        texts = [(Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]), n) for g, w, n in rows if g == group]
+        total, df = sum(n for _, n in texts), Counter()
+        for counts, n in texts:
+            df.update({t: n for t in counts})
+        weights = [({t: c * (math.log((1 + total) / (1 + df[t])) + 1) for t, c in counts.items()}, n) for counts, n in texts]
+        for w, n in weights:
+            norm = math.sqrt(sum(x * x for x in w.values()))
+            for t, x in w.items():
+                out[group, t] = out.get((group, t), 0) + n * x / norm / total
+    return out
+
+
+def test_term_scores_of_many_small_blocks(spark, monkeypatch):
+    """Blocks of some words, several buckets and slices: terms that blocks share come out once, with the scores of the definition."""
+    monkeypatch.setattr(clusters, "SLICE_BYTES", 500)
+    rnd = random.Random(5)
+    words = ["sinal", "cabo", "rede", "fatura", "são", "字字", "visita", "fibra", "x1"]
+    rows = [(("a", "b", None)[i % 3], i, " ".join(rnd.choices(words, k=rnd.randint(0, 9)) + ([f"só{i}"] if i % 4 == 0 else [])), rnd.randint(1, 3)) for i in range(240)]
+    texts = spark.createDataFrame(rows, "g string, key int, text string, n int").repartition(5)
+    cut, sent = term_blocks.cut_blocks, clusters.written
+
+    def small(batches):
+        cut.__globals__.update(BLOCK_WORDS=60, BLOCK_TEXTS=7)
+        yield from cut(batches)
+
+    counts = {}
+
+    def counted(df, name="table", *rest):
+        out = sent(df, name, *rest)
+        counts.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(term_blocks, "cut_blocks", small)
+    monkeypatch.setattr(term_blocks, "BUCKET_TERMS", 300)
+    monkeypatch.setattr(clusters, "written", counted)
+    got = {(r.g, r.term): r.score for r in clusters.term_scores(texts, ["g"], "key").collect()}
+    want = brute_scores([(g, t.split(), n) for g, _, t, n in rows])
+    assert counts["blocks"][0] > 30 and sum(counts["scores"]) > counts["blocks"][0]
+    assert got.keys() == want.keys() and all(got[k] is None if k[0] is None else got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    best = clusters.term_scores(texts, ["g"], "key", best=3)
+    some = {(r.g, r.term): r.score for r in best.collect()}
+    assert some.items() <= got.items() and len(some) < len(got)
+    assert sorted(clusters.top_terms(best, ["g"], 3).collect()) == sorted(clusters.top_terms(clusters.term_scores(texts, ["g"], "key"), ["g"], 3).collect())
+
+
+def test_terms_are_not_sent_as_text(spark):
+    """Keyword weights move hashes and numbers between tasks: no exchange of the plan holds the terms or the texts."""
+    texts = spark.range(40).selectExpr("CAST(id % 2 AS int) AS g", "id AS key", "concat('sinal rede', id) AS text", "1 AS n")
+    plan = clusters.term_scores(texts, ["g"], "key")._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.splitlines() if "Exchange" in line]
+    assert keys and not any("term" in line or "text" in line for line in keys) and "Window" not in plan

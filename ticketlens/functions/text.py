@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Sequence
@@ -80,6 +81,15 @@ def tokens(text: ColumnOrName, stopwords: Sequence[str] = tuple(params.STOPWORDS
     return F.filter(words, lambda w: ~w.isin(list(stopwords)))
 
 
+def has_token(text: ColumnOrName, stopwords: Sequence[str] = tuple(params.STOPWORDS)) -> Column:
+    """Whether ``tokens`` finds any. Most texts show one, with its end, in their first characters; only others are read as a whole."""
+    mark = r"[\p{L}\p{N}_]"
+    stop = "|".join(re.escape(w) for w in stopwords)
+    token = rf"(?<!{mark})(?!(?:{stop})(?!{mark})){_WORD}" if stop else _WORD
+    begin = F.lower(F.substring(_col(text), 1, 200))
+    return begin.rlike(rf"{token}+(?!{mark}|$)") | F.lower(_col(text)).rlike(token)
+
+
 def one_and_two_grams(words: ColumnOrName) -> Column:
     """The words, followed by all pairs of neighbours."""
     words = _col(words)
