@@ -113,7 +113,7 @@ def mean_tfidf(spark, sf_dir):
 
 @query("O4_top_terms", f"{terms_view()} SELECT cluster, rank, term, score FROM top_terms WHERE rank <= 4 AND score > 0")
 def top_terms(spark, sf_dir):
-    scores = clusters.term_scores(document_groups(spark, sf_dir), ["cluster"], "doc_id")
+    scores = clusters.term_scores(document_groups(spark, sf_dir), ["cluster"], "doc_id", best=params.KEYWORDS_PER_CLUSTER)
     return clusters.top_terms(scores, ["cluster"]).select("cluster", "rank", "term", F.round("score", 9).alias("score"))
 
 
