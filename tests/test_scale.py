@@ -1,6 +1,7 @@
 """Work that is to grow no faster than its input: tasks for all cores, texts encoded once, tasks of bounded size."""
 
 import math
+import os
 import random
 from collections import Counter
 from dataclasses import replace
@@ -225,3 +226,37 @@ def test_terms_are_not_sent_as_text(spark):
     plan = clusters.term_scores(texts, ["g"], "key")._jdf.queryExecution().executedPlan().toString()
     keys = [line for line in plan.splitlines() if "Exchange" in line]
     assert keys and not any("term" in line or "text" in line for line in keys) and "Window" not in plan
+
+
+def test_kmeans_leaves_no_vectors_on_disk(spark, monkeypatch):
+    """k-means finds its rows kept in memory only, so that it keeps none on disk itself; they are let go at the end."""
+    seen, fit = [], S.KMeans.fit
+
+    def watched(self, rows):
+        seen.append((rows.storageLevel.useMemory, rows.storageLevel.useDisk, rows.count()))
+        return fit(self, rows)
+
+    monkeypatch.setattr(S.KMeans, "fit", watched)
+    kept = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    df = spark.createDataFrame([(Vectors.sparse(3, [i % 3], [1.0 + i % 2]), 1 + i % 2) for i in range(40)], ["embedding", "n"])
+    model = S.fit_clusters(df, 3)
+    assert seen == [(True, False, 40)] and spark.sparkContext._jsc.sc().getPersistentRDDs().size() == kept
+    assert len(model.clusterCenters()) == 3
+    alike = S.fit_clusters(spark.createDataFrame([(Vectors.dense([1.0, 2.0]), 1)] * 9, ["embedding", "n"]), 3)
+    assert alike == S.GivenCentroids(((1.0, 2.0),)) and len(seen) == 1
+
+
+def test_frequencies_are_stored_small(spark, monkeypatch):
+    """What the encoder writes of whole documents takes less room than the documents."""
+    paths, write = [], encoders.written
+
+    def recorded(df, *rest):
+        out = write(df, *rest)
+        paths.extend(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(encoders, "written", recorded)
+    texts = X.documents(spark, "/root/testdata/sf0.01").select("text").filter("text IS NOT NULL").distinct()
+    encoders.fit_encode_hashed_tfidf(texts)
+    stored = sum(os.path.getsize(p.removeprefix("file:").replace("///", "/")) for p in paths)
+    assert 0 < stored < 1.5 * os.path.getsize("/root/testdata/sf0.01/documents.parquet")
